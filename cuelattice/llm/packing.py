@@ -11,6 +11,8 @@ id and text are ignored.
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -73,17 +75,54 @@ class Bins:
                 yield bin_id, self.capacity - free
 
 
+#: ASCII marks that may end a word; the apostrophe is not among them, since the tokenizer keeps some endings with it.
+_MARKS = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~\\'
+#: The normalizer and splitter for which a word of letters may be handed to the model at once.
+_PLAIN_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins for bytes in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class _Encoder(dict):
-    """White-space separated words to their token ids, as little-endian 32-bit bytes."""
+    """White-space separated words to their token ids, as little-endian 32-bit bytes; remembers up to ``_CACHED`` of them."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = any(" " in t.content or "\n" in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = any(any(map(str.isspace, t.content)) for t in self.tokenizer.get_added_tokens_decoder().values())
+        parts = json.loads(self.tokenizer.to_str())
+        steps = (parts.get("normalizer") or {}).get("normalizers", []), (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        pattern = next((x["pattern"].get("Regex") for x in steps[1] if x["type"] == "Split"), "")
+        self.plain = ([x["type"] for x in steps[0]], [x["type"] for x in steps[1]], pattern) == _PLAIN_STEPS
+        self.letters = _byte_letters()
+        self.stems: dict[str, bytes] = {}
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _stem(self, stem: str) -> bytes:
+        ids = self.stems.get(stem)
+        if ids is None:
+            ids = self._packed([t.id for t in self.tokenizer.model.tokenize(stem.encode().decode("latin-1").translate(self.letters))])
+            if len(self.stems) >= _CACHED:
+                self.stems.clear()
+            if len(stem) <= 64:
+                self.stems[stem] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+        stem = word.rstrip(_MARKS)
+        if self.plain and stem.isalpha() and max(stem) < "\u0100":  # letters that the normalizer only lower-cases, then a run of marks
+            ids = self._stem(stem.lower()) + (self[word[len(stem) :]] if len(stem) < len(word) else b"")
+        else:
+            ids = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self) >= _CACHED:
             self.clear()
         if len(word) <= 64:
@@ -93,10 +132,20 @@ class _Encoder(dict):
     def text(self, text: str) -> bytes:
         """The tokenizer drops white space and no token spans it, so words may be encoded apart and remembered."""
         if self.whole:
-            return self.__missing__(text)
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+_encoders: dict[str, _Encoder] = {}
+
+
+def encoder(path: str) -> _Encoder:
+    """One for each worker process and vocabulary."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
+
+
 def _merge_rounds(left: DataFrame, size: int, limit: int, merge_rows: int) -> DataFrame:
     """``left(bin, held)`` to ``(bin, sequence, base)``: where each open bin goes in the end."""
     spark = left.sparkSession
@@ -140,10 +189,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     end = end_id.to_bytes(4, "little")
 
     def pieces(rows: Iterable[tuple]) -> Iterator[tuple]:
-        encoder = _Encoder(tokenizer_path)
+        own_encoder = encoder(tokenizer_path)
         bins = Bins(size, open_bins, TaskContext.get().partitionId() << 32)
         for doc_id, text in rows:
-            ids = encoder.text(text or "") + end
+            ids = own_encoder.text(text or "") + end
             for piece, start in enumerate(range(0, len(ids) // 4, size)):
                 own = ids[4 * start : 4 * (start + size)]
                 yield (doc_id, piece, start, len(own) // 4, own if payload == "ids" else zlib.crc32(own), *bins.place(len(own) // 4))
