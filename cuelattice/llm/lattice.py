@@ -53,24 +53,12 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain[model.id_to_piece(i)] = float(model.get_score(i))
         low, high = min(plain.values()), max(plain.values())
-        ranks = low < -1000 and high >= -1  # not log probabilities, but numbers of merges
+        ranks = high - low > 1000  # not log probabilities, but numbers of merges
         weight = {p: -math.log1p(high - s) if ranks else s for p, s in plain.items()}
         total = math.fsum(map(math.exp, weight.values())) + 2
         scale = math.log(total)
         return cls({p: w - scale for p, w in weight.items()}, [-math.log(256) - scale] * 256, -scale)
 
-    def edges(self, text: str) -> Iterator[tuple[int, int, str | bytes, float]]:
-        """From, to, piece and log weight of each edge of the lattice over ``text``, by its end."""
-        weight, longest = self.weight.get, self.longest
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                w = weight(text[start:end])
-                if w is not None:
-                    yield start, end, text[start:end], w
-                elif start == end - 1:
-                    raw = text[start:end].encode("utf-8", "surrogatepass")
-                    yield start, end, raw, sum(self.byte_weight[b] for b in raw)
-
     def log_probability(self, text: str) -> float:
         """Natural logarithm of the summed weight of all segmentations: the forward recursion."""
         weight, longest, forward = self.weight.get, self.longest, [0.0]
@@ -82,30 +70,44 @@ class Pieces:
                     terms.append(forward[start] + w)
                 elif start == end - 1:
                     terms.append(forward[start] + sum(self.byte_weight[b] for b in text[start:end].encode("utf-8", "surrogatepass")))
-            most = max(terms)
-            forward.append(most if len(terms) == 1 else most + math.log(sum([math.exp(t - most) for t in terms])))
+            forward.append(_log_sum(terms))
         return forward[-1]
 
     def expected(self, text: str, times: float, into: dict[str | bytes, float]) -> None:
-        """Add the expected number of uses of each piece in ``times`` copies of ``text``."""
-        edges = list(self.edges(text))
-        n = len(text)
-        forward: list[list[float]] = [[] for _ in range(n + 1)]
-        alpha = [0.0] * (n + 1)
-        at = 0
+        """Add the expected number of uses of each piece in ``times`` copies of ``text``: forward and backward recursion."""
+        weight, longest, exp, n = self.weight.get, self.longest, math.exp, len(text)
+        forward, edges = [0.0], []
         for end in range(1, n + 1):
-            terms = forward[end]
-            while at < len(edges) and edges[at][1] == end:
-                terms.append(alpha[edges[at][0]] + edges[at][3])
-                at += 1
-            most = max(terms)
-            alpha[end] = most + math.log(sum([math.exp(t - most) for t in terms]))
-        beta = [-math.inf] * n + [0.0]
-        for start, end, piece, w in reversed(edges):
-            through = w + beta[end]
-            a, b = (beta[start], through) if beta[start] > through else (through, beta[start])
-            beta[start] = a + math.log1p(math.exp(b - a)) if b > -math.inf else a
-            into[piece] = into.get(piece, 0.0) + times * math.exp(alpha[start] + through - alpha[n])
+            own, terms = [], []
+            for start in range(max(0, end - longest), end):
+                piece: str | bytes = text[start:end]
+                w = weight(piece)
+                if w is None:
+                    if start < end - 1:
+                        continue
+                    piece = piece.encode("utf-8", "surrogatepass")
+                    w = sum([self.byte_weight[b] for b in piece])
+                own.append((start, piece, w))
+                terms.append(forward[start] + w)
+            edges.append(own)
+            forward.append(_log_sum(terms))
+        whole = forward[n]
+        ahead: list[list[float]] = [[] for _ in range(n)] + [[0.0]]
+        for end in range(n, 0, -1):
+            if not ahead[end]:
+                continue  # no segmentation ends a piece here and goes on
+            back = _log_sum(ahead[end])
+            for start, piece, w in edges[end - 1]:
+                through = back + w
+                ahead[start].append(through)
+                into[piece] = into.get(piece, 0.0) + times * exp(forward[start] + through - whole)
+
+
+def _log_sum(terms: list[float]) -> float:
+    if len(terms) == 1:
+        return terms[0]
+    most = max(terms)
+    return most + math.log(sum([math.exp(t - most) for t in terms]))
 
 
 def _word_text(word: bytes) -> str:
