@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flushed, rows_of, utf8
+from .common import bounded_batches, utf8
 
 #: Item text that one broadcast matcher is made of at most; more items are searched in as many passes as that needs.
 MATCHER_BYTES = 16 << 20
@@ -99,8 +99,8 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return joined
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, matcher_bytes: int = MATCHER_BYTES) -> DataFrame:
-    """``(id_col, n_words, spans array<struct<start,end>>, item_ids array<long>)`` for each document row.
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, matcher_bytes: int = MATCHER_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """``(id_col, carry..., n_words, spans array<struct<start,end>>, item_ids array<long>)`` for each document row.
 
     The item table is read in blocks of about ``matcher_bytes`` of text; each block's matcher is broadcast and searched in a pass over
     all rows, in which earlier hits ride along, so no join or group is needed. Up to ``matcher_bytes`` that is one pass.
@@ -110,26 +110,30 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     source = items.select(F.col(item_id_col).cast("long").alias("i"), utf8(item_text_col).alias("t"))
     size = source.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     passes = max(1, -(-size // matcher_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t"), F.expr("cast(0 as bigint)").alias("n"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items"))
-    fields = [("id", pa.int64()), ("t", pa.binary()), ("n", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64()))]
+    carry = [c for c in carry or [] if c not in (id_col, "n_words", "spans", "item_ids")]
+    read = [utf8(text_col).alias("_t"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("item_ids")]
+    rows = docs.select(*read, F.col(id_col), *[F.col(c) for c in carry])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[3:])
+    span_list = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for k in range(passes):
         part = source if passes == 1 else source.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
         shared = spark.sparkContext.broadcast(pickle.dumps(matchers(((r.i, r.t and bytes(r.t)) for r in part.toLocalIterator()), window)))
-        keep = k + 1 < passes
-        out = pa.schema([f for f in fields if keep or f[0] != "t"])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, keep=keep, out=out) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=k + 1 == passes) -> Iterator[pa.RecordBatch]:
             found_by = pickle.loads(shared.value)
-
-            def each() -> Iterator[tuple]:
-                for i, text, _, spans, ids in rows_of(batches):
+            for batch in batches:
+                counts, spans, ids = [], [], []
+                for text, old, known in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
                     n, new, who = scan(text, found_by)
-                    if spans:
-                        new = merge([*new, *((s["start"], s["end"]) for s in spans)])
-                    row = (n, [{"start": a, "end": b} for a, b in new], sorted(who | set(ids)))
-                    yield (i, text, *row) if keep else (i, *row)
-
-            return flushed(out, each(), 500 if keep else 20_000)
-
-        rows = rows.mapInArrow(run, f"id long, {'t binary, ' if keep else ''}n long, spans array<struct<start:int,end:int>>, items array<long>")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), "spans", F.col("items").alias("item_ids"))
+                    if old:
+                        new = merge([*new, *((s["start"], s["end"]) for s in old)])
+                    counts.append(n)
+                    spans.append([{"start": a, "end": b} for a, b in new])
+                    ids.append(sorted(who | set(known)))
+                hits = {"spans": pa.array(spans, span_list), "item_ids": pa.array(ids, pa.list_(pa.int64()))}
+                rest = dict(zip(batch.schema.names[3:], batch.columns[3:], strict=True))
+                yield pa.RecordBatch.from_pydict(rest | {"n_words": pa.array(counts, pa.int64())} | hits if last else {"_t": batch.column(0)} | hits | rest)
+
+        hits = "spans array<struct<start:int,end:int>>, item_ids array<bigint>"
+        rows = rows.mapInArrow(run, f"{kept}, n_words bigint, {hits}" if k + 1 == passes else f"_t binary, {hits}, {kept}")
+    return rows

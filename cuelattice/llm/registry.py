@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lattice, packing, quality, sharding, simhash, suffix
+from . import chat, decontaminate, langid, lattice, licenses, packing, quality, sharding, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,13 @@ def op9_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["license"])))
+    first = F.transform("findings", lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string")))
+    return found.select("doc_id", "n_blocks", F.size("findings").cast("long").alias("n_findings"), F.array_join(names, ",").alias("licenses"), F.array_join(first, ",").alias("places"), F.array_max(F.transform("findings", lambda f: f["saved"])).alias("most_saved"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f) and name[2].isdigit()}
 

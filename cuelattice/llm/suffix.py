@@ -196,6 +196,15 @@ def _key(text: bytes) -> bytes:
     return hashlib.md5(text, usedforsecurity=False).digest()
 
 
+def _inner(text: bytes, start: int, end: int) -> list[int]:
+    """The part of a span that covers whole characters."""
+    while start < end and text[start] & 0xC0 == 0x80:
+        start += 1
+    while start < end < len(text) and text[end] & 0xC0 == 0x80:
+        end -= 1
+    return [start, end]
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, records: int = RECORDS, symbols: int = SYMBOLS) -> DataFrame:
     """``(key, spans array<struct<start,end>>)``: byte spans of each distinct text (by its MD5) that repeated strings cover."""
     spark = docs.sparkSession
@@ -259,8 +268,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     return spans.unionByName(hot).distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, records: int = RECORDS, symbols: int = SYMBOLS) -> DataFrame:
-    """``(id_col, carry..., n_bytes, spans array<struct<start,end>>, kept binary)``: each row's removed byte spans and what is left."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, records: int = RECORDS, symbols: int = SYMBOLS, whole_characters: bool = False) -> DataFrame:
+    """``(id_col, carry..., n_bytes, spans array<struct<start,end>>, kept binary)``: each row's removed byte spans and what is left.
+
+    With ``whole_characters`` a character that a span covers in part is kept, so that what is left is UTF-8.
+    """
     spark = docs.sparkSession
     covered = durable(repeated_spans(docs, text_col, length, gram, records, symbols))
     bits = spark.sparkContext.broadcast(_filter(covered))
@@ -288,6 +300,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         joined[-1][1] = max(joined[-1][1], s["end"])
                     else:
                         joined.append([s["start"], s["end"]])
+                if whole_characters:
+                    joined = [s for s in (_inner(text, *s) for s in joined) if s[0] < s[1]]
                 spans.append([{"start": a, "end": b} for a, b in joined])
                 ends = [0, *(b for _, b in joined)], [*(a for a, _ in joined), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(*ends, strict=True)))
