@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from . import intervals, library, series, words
+
+_ALL = {**library.QUERIES, **intervals.QUERIES, **series.QUERIES, **words.QUERIES}
+
+
+def queries() -> dict[str, Callable]:
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
