@@ -24,7 +24,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id stays, one of them if it is repeated."""
+    """Of each group of near-duplicates the row with the smallest doc_id stays, one of them if it is repeated.
+
+    Only where ids are missing or repeated are rows numbered, which takes a written copy of them.
+    """
+    seen = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if seen["rows"] == seen["ids"]:
+        groups = simhash.near_duplicates(docs)
+        return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
     groups = simhash.near_duplicates(rows, "_row", "text")
     ranked = groups.join(rows.select("_row", "doc_id"), "_row")
@@ -34,10 +41,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat are cut from texts; a document of which nothing is left goes."""
-    cut = suffix.remove_repeats(docs, carry=docs.columns, whole_characters=True)
+    marked = docs.withColumn("_no_text", F.col("text").isNull())
+    cut = suffix.remove_repeats(marked, carry=[c for c in marked.columns if c != "text"], whole_characters=True)
     touched = F.size("spans") > 0
     left = cut.where(~touched | (F.octet_length("kept") > 0))
-    text = F.when(touched, F.col("kept").cast("string")).otherwise(F.col("text"))
+    text = F.when(~F.col("_no_text"), F.col("kept").cast("string"))
     return left.withColumn("text", text).withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

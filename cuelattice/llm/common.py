@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper limit of one Arrow batch handed to Python, so that long texts do not pile up in a worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 

@@ -32,7 +32,7 @@ GRAM = 272
 #: Distinct contents of one gram that are sorted in one task.
 RECORDS = 4096
 #: Symbols that are sorted at once, unless one gram has more.
-SYMBOLS = 1 << 20
+SYMBOLS = 1 << 18
 _PIECE = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 _FILTER_BITS = 24
@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("key", pa.binary()), ("t", pa.binary())])
-        return flushed(out, ((key, t) for (t,) in rows_of(batches) if _passes(bits.value, key := _key(t))), 500)
+        return flushed(out, ((key, t) for (t,) in rows_of(batches) if _passes(bits.value, key := _key(t))), 200)
 
     held = texts.mapInArrow(named, "key binary, t binary").join(wanted, "key").select("key", "t", F.inline("records"))
     gram_end = F.col("first") + F.col("offset") + gram
@@ -281,35 +281,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[1:])
     span_list = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def split(hit: bool):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = [_key(t) for t in batch.column(0).to_pylist()]
-                chosen = pa.array([_passes(bits.value, k) is hit for k in keys], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"]).filter(chosen)
+    def chosen(batch: pa.RecordBatch, hit: bool) -> tuple[pa.RecordBatch, list[bytes]]:
+        keys = [_key(t) for t in batch.column(0).to_pylist()]
+        passed = [_passes(bits.value, k) is hit for k in keys]
+        return batch.filter(pa.array(passed, pa.bool_())), [k for k, p in zip(keys, passed, strict=True) if p]
 
-        return run
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, keys = chosen(batch, True)
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys, pa.binary())], names=[*own.schema.names, "_key"])
+
+    def result_of(texts: list[bytes], given: list, rest: pa.RecordBatch) -> pa.RecordBatch:
+        spans, kept = [], []
+        for text, found in zip(texts, given, strict=True):
+            joined: list[list[int]] = []
+            for s in found or ():
+                if joined and s["start"] <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], s["end"])
+                else:
+                    joined.append([s["start"], s["end"]])
+            if whole_characters:
+                joined = [s for s in (_inner(text, *s) for s in joined) if s[0] < s[1]]
+            spans.append([{"start": a, "end": b} for a, b in joined])
+            kept.append(b"".join(text[a:b] for a, b in zip([0, *(b for _, b in joined)], [*(a for a, _ in joined), len(text)], strict=True)) if joined else text)
+        columns = [*rest.columns, pa.array(map(len, texts), pa.int64()), pa.array(spans, span_list), pa.array(kept, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[*rest.schema.names, "n_bytes", "spans", "kept"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, kept = [], []
-            for text, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                joined: list[list[int]] = []
-                for s in given or ():
-                    if joined and s["start"] <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], s["end"])
-                    else:
-                        joined.append([s["start"], s["end"]])
-                if whole_characters:
-                    joined = [s for s in (_inner(text, *s) for s in joined) if s[0] < s[1]]
-                spans.append([{"start": a, "end": b} for a, b in joined])
-                ends = [0, *(b for _, b in joined)], [*(a for a, _ in joined), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(*ends, strict=True)))
-            sizes = pa.array([len(t) for t in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], sizes, pa.array(spans, span_list), pa.array(kept, pa.binary())], names=[*batch.schema.names[2:], "n_bytes", "spans", "kept"])
+            yield result_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.select(batch.schema.names[2:]))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, _ = chosen(batch, False)
+            if own.num_rows:
+                yield result_of(own.column(0).to_pylist(), [None] * own.num_rows, own.select(own.schema.names[1:]))
 
     names = [F.col(f"`{f.name}`") for f in base.schema[1:]]
-    touched = base.mapInArrow(split(True), f"_t binary, {columns}, _key binary").join(covered.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left").select("_t", "_spans", *names)
-    clean = base.mapInArrow(split(False), f"_t binary, {columns}, _key binary").select("_t", F.lit(None).cast("array<struct<start:int,end:int>>").alias("_spans"), *names)
     result = f"{columns}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
-    return touched.mapInArrow(cut, result).unionByName(clean.mapInArrow(cut, result))
+    found = covered.select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    touched = base.mapInArrow(named, f"_t binary, {columns}, _key binary").join(found, "_key", "left").select("_t", "_spans", *names)
+    return touched.mapInArrow(cut, result).unionByName(base.mapInArrow(whole, result))
