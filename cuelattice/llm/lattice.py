@@ -12,6 +12,7 @@ keep their first weights; repeated rows are scored each for itself; an empty tab
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -27,8 +28,9 @@ from .common import bounded_batches, durable, flushed, rows_of, utf8
 #: Words that are broadcast at most; the rest, and words unseen in training, are joined.
 BROADCAST_WORDS = 150_000
 #: Distinct words that a task counts before it passes the counts on.
-COUNTED_WORDS = 200_000
+COUNTED_WORDS = 400_000
 _SPACE = "▁"
+_NO_PIECE = 1.0
 _UNIT = 1e6
 _LN10 = math.log(10)
 
@@ -38,7 +40,8 @@ class Pieces:
 
     def __init__(self, weight: dict[str, float], byte_weight: list[float], end: float) -> None:
         self.weight, self.byte_weight, self.end = weight, byte_weight, end
-        self.longest = max(map(len, weight), default=1)
+        # every ending of a piece, so that a search backwards from a position stops as soon as no piece ends so
+        self.endings = {piece[k:]: _NO_PIECE for piece in weight for k in range(1, len(piece))} | weight
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -59,36 +62,45 @@ class Pieces:
         scale = math.log(total)
         return cls({p: w - scale for p, w in weight.items()}, [-math.log(256) - scale] * 256, -scale)
 
+    def _bytes_weight(self, char: str) -> float:
+        return sum([self.byte_weight[b] for b in char.encode("utf-8", "surrogatepass")])
+
     def log_probability(self, text: str) -> float:
         """Natural logarithm of the summed weight of all segmentations: the forward recursion."""
-        weight, longest, forward = self.weight.get, self.longest, [0.0]
+        weight, forward = self.endings.get, [0.0]
         for end in range(1, len(text) + 1):
-            terms = []
-            for start in range(max(0, end - longest), end):
+            terms, last = [], end - 1
+            for start in range(last, -1, -1):
                 w = weight(text[start:end])
-                if w is not None:
+                if w is None or w == _NO_PIECE:
+                    if start == last:
+                        terms.append(forward[start] + self._bytes_weight(text[start:end]))
+                    if w is None:
+                        break
+                else:
                     terms.append(forward[start] + w)
-                elif start == end - 1:
-                    terms.append(forward[start] + sum(self.byte_weight[b] for b in text[start:end].encode("utf-8", "surrogatepass")))
             forward.append(_log_sum(terms))
         return forward[-1]
 
     def expected(self, text: str, times: float, into: dict[str | bytes, float]) -> None:
         """Add the expected number of uses of each piece in ``times`` copies of ``text``: forward and backward recursion."""
-        weight, longest, exp, n = self.weight.get, self.longest, math.exp, len(text)
+        weight, exp, n = self.endings.get, math.exp, len(text)
         forward, edges = [0.0], []
         for end in range(1, n + 1):
-            own, terms = [], []
-            for start in range(max(0, end - longest), end):
+            own, terms, last = [], [], end - 1
+            for start in range(last, -1, -1):
                 piece: str | bytes = text[start:end]
                 w = weight(piece)
-                if w is None:
-                    if start < end - 1:
-                        continue
-                    piece = piece.encode("utf-8", "surrogatepass")
-                    w = sum([self.byte_weight[b] for b in piece])
-                own.append((start, piece, w))
-                terms.append(forward[start] + w)
+                if w is None or w == _NO_PIECE:
+                    if start == last:
+                        lone = self._bytes_weight(piece)
+                        own.append((start, piece.encode("utf-8", "surrogatepass"), lone))
+                        terms.append(forward[start] + lone)
+                    if w is None:
+                        break
+                else:
+                    own.append((start, piece, w))
+                    terms.append(forward[start] + w)
             edges.append(own)
             forward.append(_log_sum(terms))
         whole = forward[n]
@@ -114,9 +126,11 @@ def _word_text(word: bytes) -> str:
     return _SPACE + word.decode("utf-8", "surrogateescape")
 
 
-def _signed_rows(counts: Counter, seen: Counter) -> Iterator[tuple]:
-    for word in seen:
-        yield word, counts.get(word, 0), seen[word]
+def _count_rows(held_out: Counter, learned: Counter) -> Iterator[tuple[bytes, int, int]]:
+    for word, n in learned.items():
+        yield word, n, n + held_out.pop(word, 0)
+    for word, n in held_out.items():
+        yield word, 0, n
 
 
 def word_counts(docs: DataFrame, learn_from: Column, text_col: str = "text", counted: int = COUNTED_WORDS) -> DataFrame:
@@ -126,16 +140,13 @@ def word_counts(docs: DataFrame, learn_from: Column, text_col: str = "text", cou
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
-            learned, seen = Counter(), Counter()
+            counts = (Counter(), Counter())
             for text, training in rows_of(batches):
-                words = (text or b"").lower().split()
-                seen.update(words)
-                if training:
-                    learned.update(words)
-                if len(seen) >= counted:
-                    yield from _signed_rows(learned, seen)
-                    learned, seen = Counter(), Counter()
-            yield from _signed_rows(learned, seen)
+                counts[training].update((text or b"").lower().split())
+                if len(counts[0]) + len(counts[1]) >= counted:
+                    yield from _count_rows(*counts)
+                    counts = (Counter(), Counter())
+            yield from _count_rows(*counts)
 
         return flushed(out, each())
 
@@ -225,7 +236,7 @@ def score(docs: DataFrame, learn_from: Column, pieces_path: str, id_col: str = "
         def each() -> Iterator[tuple]:
             for k, (doc_id, text) in enumerate(rows_of(batches)):
                 words = (text or b"").lower().split()
-                at = np.fromiter((place(w, missing) for w in words), np.int64, len(words))
+                at = np.array(list(map(place, words, itertools.repeat(missing))), np.int64)
                 yield task + k, doc_id, len(words) + 1, int(known[at].sum()) + end[2], float(bases[at].sum()) + end[0], float(lattice[at].sum()) + end[1], None, 0
                 for word, times in Counter([words[i] for i in np.flatnonzero(at == missing).tolist()]).items():
                     yield task + k, None, 0, 0, 0.0, 0.0, word, times
