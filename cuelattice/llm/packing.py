@@ -28,7 +28,9 @@ OPEN_BINS = 512
 #: Open bins of other tasks that one task of the later rounds packs.
 MERGE_ROWS = 65_536
 END_ID = 1
-_CACHED = 400_000
+#: Words, and stems without case and marks, that a worker remembers in each of two generations; what the older one is asked
+#: for moves to the younger. A word is remembered when its stem comes up again.
+_WORDS, _STEMS = 60_000, 200_000
 
 
 class Bins:
@@ -89,7 +91,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Encoder(dict):
-    """White-space separated words to their token ids, as little-endian 32-bit bytes; remembers up to ``_CACHED`` of them."""
+    """White-space separated words to their token ids, as little-endian 32-bit bytes; remembers the latest of them."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -101,32 +103,41 @@ class _Encoder(dict):
         pattern = next((x["pattern"].get("Regex") for x in steps[1] if x["type"] == "Split"), "")
         self.plain = ([x["type"] for x in steps[0]], [x["type"] for x in steps[1]], pattern) == _PLAIN_STEPS
         self.letters = _byte_letters()
+        self.old: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _stem(self, stem: str) -> bytes:
-        ids = self.stems.get(stem)
-        if ids is None:
-            ids = self._packed([t.id for t in self.tokenizer.model.tokenize(stem.encode().decode("latin-1").translate(self.letters))])
-            if len(self.stems) >= _CACHED:
-                self.stems.clear()
-            if len(stem) <= 64:
-                self.stems[stem] = ids
-        return ids
-
     def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(_MARKS)
-        if self.plain and stem.isalpha() and max(stem) < "\u0100":  # letters that the normalizer only lower-cases, then a run of marks
-            ids = self._stem(stem.lower()) + (self[word[len(stem) :]] if len(stem) < len(word) else b"")
-        else:
-            ids = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(self) >= _CACHED:
+        ids = self.old.get(word)
+        if ids is None:
+            mark = word.rstrip(_MARKS)
+            plain = self.plain and mark.isalpha() and (mark.isascii() or max(mark) < "\u0100")  # letters that the normalizer only lower-cases, then a run of marks
+            stem = mark.lower() if plain else word
+            ids = self.stems.get(stem)
+            again = ids is not None
+            if not again:
+                ids = self.old_stems.get(stem)
+                if ids is None:
+                    if plain:
+                        ids = self._packed([t.id for t in self.tokenizer.model.tokenize(stem.encode().decode("latin-1").translate(self.letters))])
+                    else:
+                        ids = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                if len(self.stems) >= _STEMS:
+                    self.stems, self.old_stems = {}, self.stems
+                if len(stem) <= 64:
+                    self.stems[stem] = ids
+            if plain and len(mark) < len(word):
+                ids += self[word[len(mark) :]]
+            if not again or len(word) > 64:
+                return ids
+        if len(self) >= _WORDS:
+            self.old = dict(self)
             self.clear()
-        if len(word) <= 64:
-            self[word] = ids
+        self[word] = ids
         return ids
 
     def text(self, text: str) -> bytes:
