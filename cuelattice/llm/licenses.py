@@ -52,7 +52,10 @@ CUES = re.compile(r"licen[cs]|copyright|©|permission|redistribut|warrant|public
 GAP_LINES = 2
 #: Characters around a cue that make up its block where a line is longer than twice that.
 REACH = 1200
-MIN_SAVED = 0.5
+#: Longest line that may be part of a wrapped notice without a cue of its own.
+WRAPPED = 100
+#: Least share of a notice's compressed size that a block must save. In long blocks a short notice saves little; wording decides.
+MIN_SAVED = 0.15
 MAX_MISSING, MAX_ADDED = 0.1, 0.15
 _WORD = re.compile(r"\w+(?:[.'-]\w+)*")
 _DECISIVE = re.compile(r"\d|^(?:not|no|non|nc|nd|sa|by|by-\w+|lesser|affero|noncommercial|sharealike|noderivatives|mit|apache|gnu|mozilla)$")
@@ -87,13 +90,21 @@ class Scanner:
         self.seen: dict[str, list[Finding]] = {}
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """Places of candidate blocks, disjoint and in order."""
+        """Places of candidate blocks, disjoint and in order: a cue's line and short lines next to it."""
         now: tuple[int, int] | None = None
         for cue in CUES.finditer(text):
             if now and cue.end() <= now[1]:
                 continue
-            start = max(text.rfind("\n", 0, cue.start()) + 1, cue.start() - REACH)
-            end = text.find("\n", cue.end())
+            start, end = text.rfind("\n", 0, cue.start()) + 1, text.find("\n", cue.end())
+            before = text.rfind("\n", 0, max(0, start - 1)) + 1
+            if 0 < start - before <= WRAPPED:  # a notice may be wrapped, so short lines before and after belong to the block
+                start = before
+            if end >= 0:
+                after = text.find("\n", end + 1)
+                after = len(text) if after < 0 else after
+                if after - end <= WRAPPED:
+                    end = after
+            start = max(start, cue.start() - REACH)
             end = min(len(text) if end < 0 else end, cue.end() + REACH)
             if now and (start <= now[1] or text.count("\n", now[1], start) <= GAP_LINES + 1 and start - now[1] <= REACH):
                 now = (now[0], max(end, now[1]))
