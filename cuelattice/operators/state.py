@@ -78,8 +78,9 @@ def cached(rows: DataFrame, group: str, slot: str, current: DataFrame, tolerance
 class Table:
     """A table in a folder of versions; a new version is written whole and then named in one rename, so readers see old or new."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType) -> None:
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType | str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path_of(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 

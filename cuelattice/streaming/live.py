@@ -34,13 +34,10 @@ def bursts(stream: DataFrame, pause: str = "1 hour", late: str = "1 day") -> Dat
     return stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", pause)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("lo"), F.col("session_window.end").alias("hi"), "n")
 
 
-def loops(stream: DataFrame, least: int, hold: str = "10 minutes") -> DataFrame:
-    """Runs of ``least`` equal event types of a user in order of time within a batch of arrivals; state keeps the run that is open."""
+def loops(stream: DataFrame, least: int) -> DataFrame:
+    """Runs of ``least`` equal event types of a user in order of time within a batch of arrivals; state keeps each user's open run."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last, n = state.get if state.exists else (None, 0)
         found: list[tuple[Any, ...]] = []
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
@@ -50,10 +47,9 @@ def loops(stream: DataFrame, least: int, hold: str = "10 minutes") -> DataFrame:
             if n == least:
                 found.append((key[0], int(event_id), kind))
         state.update((last, n))
-        state.setTimeoutDuration(600_000)
         yield pd.DataFrame(found, columns=["user_id", "event_id", "event_type"])
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, event_type string", "last string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, event_type string", "last string, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 class WantedDiff:
