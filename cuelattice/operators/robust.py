@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -57,19 +58,6 @@ def spearman(points: DataFrame, least: int = 4) -> DataFrame:
     return sums.select(KEY, "n", F.when((vx > 0) & (vy > 0), (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(vx * vy)).alias("rho"))
 
 
-def rate_fit(points: DataFrame, p: Params = DEFAULTS, rounds: int | None = None) -> DataFrame:
-    """Line by Theil-Sen and median intercept, refitted to points within ``fit_resid`` of it; each round trims the whole pool anew."""
-    kept, line = points.select(KEY, "a", "c"), None
-    for _ in range(rounds or p.fit_rounds):
-        slope = theil_sen(kept, p.fit_floor).select(KEY, "slope")
-        line = kept.join(slope, KEY).groupBy(KEY).agg(F.first("slope").alias("slope"), F.median(F.col("c") - F.col("slope") * F.col("a")).alias("intercept"))
-        near = points.join(line, KEY).where(F.abs(F.col("c") - F.col("slope") * F.col("a") - F.col("intercept")) <= p.fit_resid)
-        enough = near.groupBy(KEY).agg(F.count("*").alias("n_kept")).where(F.col("n_kept") >= p.fit_floor)
-        kept = near.join(enough, KEY).select(KEY, "a", "c")
-        line = line.join(enough, KEY)
-    return line.select(KEY, "slope", "intercept", "n_kept")
-
-
 def _slope(a: np.ndarray, c: np.ndarray) -> float:
     i, j = np.triu_indices(len(a), 1)
     apart = a[j] - a[i]
@@ -81,9 +69,11 @@ def _ranks(x: np.ndarray) -> np.ndarray:
     return (np.cumsum(count) - (count - 1) / 2)[place]
 
 
-def probe(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple | None:
-    """One series' fit and what it gains; none where a round keeps too few points or all points share a time."""
-    mad = lambda x: float(np.median(np.abs(x - np.median(x))))
+def fit(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple[float, float, int] | None:
+    """Line by median pairwise slope and median intercept, refitted to points within ``fit_resid`` of it; each round trims the whole series anew.
+
+    None where a round keeps fewer than ``fit_floor`` points or all its points share a time.
+    """
     kept = np.ones(len(a), bool)
     slope = intercept = 0.0
     for _ in range(p.fit_rounds):
@@ -92,31 +82,42 @@ def probe(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple | None:
         slope = _slope(a[kept], c[kept])
         intercept = float(np.median(c[kept] - slope * a[kept]))
         kept = np.abs(c - slope * a - intercept) <= p.fit_resid
-    if kept.sum() < p.fit_floor:
+    return (slope, intercept, int(kept.sum())) if kept.sum() >= p.fit_floor else None
+
+
+def probe(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple | None:
+    """One series' fit and what it gains."""
+    if (line := fit(a, c, p)) is None:
         return None
+    slope, intercept, n_kept = line
+    mad = lambda x: float(np.median(np.abs(x - np.median(x))))
     left = c - slope * a - intercept
     ra, rc = _ranks(a), _ranks(c)
     rho = float(np.corrcoef(ra, rc)[0, 1]) if np.ptp(ra) and np.ptp(rc) else None
     span = float(np.ptp(a))
-    return slope, intercept, slope * span, rho, mad(c) - mad(left), float(np.median(np.abs(left))), float((np.abs(left) <= p.fit_keep).mean()), int(kept.sum()), len(a), span
+    return slope, intercept, slope * span, rho, mad(c) - mad(left), float(np.median(np.abs(left))), float((np.abs(left) <= p.fit_keep).mean()), n_kept, len(a), span
 
 
-_PROBE = "slope double, intercept double, tilt double, rho double, gain double, resid double, keep_frac double, n_kept long, n_raw long, span double"
-
-
-def stretch_probe(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """A fit with what it gains: deviation before and after, share of the pool it keeps, tilt over the span, and rank correlation.
-
-    Each round trims the whole pool by the last line, so a file is fitted at once in grouped pandas; files are bounded.
-    """
-    names = [part.split()[0] for part in _PROBE.split(", ")]
+def _fitted(points: DataFrame, f: Callable[[np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
+    """One row of ``f`` for each file. A fit's rounds need all of a file's points, and as joins would nest; files are bounded."""
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "c"], kind="stable")
-        found = probe(pdf["a"].to_numpy(float), pdf["c"].to_numpy(float), p)
+        found = f(pdf["a"].to_numpy(float), pdf["c"].to_numpy(float))
         return pd.DataFrame([(pdf[KEY].iloc[0], *found)] if found else [], columns=[KEY, *names])
 
-    return points.select(KEY, "a", "c").groupBy(KEY).applyInPandas(run, f"{KEY} {points.schema[KEY].dataType.simpleString()}, {_PROBE}")
+    return points.select(KEY, "a", "c").groupBy(KEY).applyInPandas(run, f"{KEY} {points.schema[KEY].dataType.simpleString()}, {schema}")
+
+
+def rate_fit(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``(file_id, slope, intercept, n_kept)``: the trimmed line of each file that has one."""
+    return _fitted(points, lambda a, c: fit(a, c, p), "slope double, intercept double, n_kept long")
+
+
+def stretch_probe(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """A fit with what it gains: deviation before and after, share of the pool it keeps, tilt over the span, and rank correlation."""
+    return _fitted(points, lambda a, c: probe(a, c, p), "slope double, intercept double, tilt double, rho double, gain double, resid double, keep_frac double, n_kept long, n_raw long, span double")
 
 
 def stretch_ratio(slope: Column) -> Column:
