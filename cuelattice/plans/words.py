@@ -141,12 +141,12 @@ def wanted_keys(spark: SparkSession, d: str) -> DataFrame:
     return feeds.wanted_keys(answers, "episode")
 
 
-@query("""SELECT event_id, 2 AS n, [3, 12]::INTEGER[] AS counts, [1.25, -61.5]::DOUBLE[] AS shifts, [0.5, 7.0]::DOUBLE[] AS starts, [1.5, 60.0]::DOUBLE[] AS ends FROM events WHERE event_id < 100""")
+@query("""SELECT event_id, 2 AS n, '3/12' AS counts, '1.25/-61.5' AS shifts, '0.5/7.0' AS starts, '1.5/60.0' AS ends FROM events WHERE event_id < 100""")
 def log_blocks(spark: SparkSession, d: str) -> DataFrame:
     log = F.concat(F.lit("line\nshifted block of 3 subtitles with length 0:00:10.1 by 0:00:01.25\nshifted block of 12 subtitles with length 1:00:10.0 by -0:01:01.5 # "), F.col("event_id").cast("string"))
     quiet = F.lit("silence_start: 0.5\nsilence_end: 1.5 | d: 1\nsilence_start: 7")
     rows = table(spark, d, "events").where("event_id < 100").select("event_id", feeds.aligner_blocks(log).alias("b"), feeds.silences(quiet, F.lit(60.0)).alias("s"))
-    return rows.select("event_id", F.size("b").alias("n"), F.col("b.n").alias("counts"), F.col("b.shift").alias("shifts"), F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    return rows.select("event_id", F.size("b").alias("n"), *[F.array_join(F.col(c).cast("array<string>"), "/").alias(n) for c, n in (("b.n", "counts"), ("b.shift", "shifts"), ("s.start", "starts"), ("s.end", "ends"))])
 
 
 @query(f"WITH {CUES}, r AS (SELECT f, idx, s, greatest(e, s + 500) AS e, t FROM cues WHERE v > 1), n AS (SELECT *, lead(s) OVER (PARTITION BY f ORDER BY s, idx) AS x FROM r) SELECT f AS file_id, idx, s AS start, CASE WHEN x > s AND e > x THEN x ELSE e END AS \"end\", t AS text FROM n")
