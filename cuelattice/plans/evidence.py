@@ -101,10 +101,10 @@ def final_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", verdict.final_verdict(hits).alias("v")).select("doc_id", "v.flag", "v.reason")
 
 
-@query("""WITH r AS (SELECT user_id AS video, event_id % 6 AS slot, event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'm' || event_id % 2 END AS model, CASE WHEN value > 100 THEN 5 ELSE 0 END AS mtime FROM events), s AS (SELECT video FROM r GROUP BY 1 HAVING max(mtime) <= 1)
+@query("""WITH r AS (SELECT user_id AS video, event_id % 6 AS slot, event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'm' || event_id % 2 END AS model, CASE WHEN value > 250 THEN 5 ELSE 0 END AS mtime FROM events), s AS (SELECT video FROM r GROUP BY 1 HAVING max(mtime) <= 1)
 SELECT video, slot, model FROM r WHERE video IN (SELECT video FROM s) QUALIFY row_number() OVER (PARTITION BY video, slot ORDER BY model IS NULL, model) = 1""")
 def cached_pieces(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(F.col("user_id").alias("video"), (F.col("event_id") % 6).alias("slot"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string"))).alias("model"), F.when(F.col("value") > 100, 5.0).otherwise(0.0).alias("mtime"), F.lit(1).alias("size"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("video"), (F.col("event_id") % 6).alias("slot"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string"))).alias("model"), F.when(F.col("value") > 250, 5.0).otherwise(0.0).alias("mtime"), F.lit(1).alias("size"))
     now = rows.select("video").distinct().select("video", F.lit(0.0).alias("mtime"), F.lit(1).alias("size"))
     return state.cached(rows, "video", "slot", now).select("video", "slot", "model")
 
