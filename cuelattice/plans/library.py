@@ -157,10 +157,10 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
     return state.keep_recent(rows, "ts", F.lit(rows.agg(F.max("ts")).first()[0]).cast("timestamp_ntz"), 10)
 
 
-@query("SELECT r_name AS title, n_name AS season, count(*) AS videos, sum(c_acctbal) AS size FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+@query("SELECT r_name AS title, n_name AS season, count(*) AS videos, round(sum(c_acctbal), 2) AS size FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
 def title_season_rollup(spark: SparkSession, d: str) -> DataFrame:
     named = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return named.rollup(F.col("r_name").alias("title"), F.col("n_name").alias("season")).agg(F.count("*").alias("videos"), F.sum("c_acctbal").alias("size"))
+    return named.rollup(F.col("r_name").alias("title"), F.col("n_name").alias("season")).agg(F.count("*").alias("videos"), F.round(F.sum("c_acctbal"), 2).alias("size"))
 
 
 @query("""SELECT r_name AS title, string_agg(n_name || ':' || k, ',' ORDER BY n_name) AS seasons FROM (SELECT r_name, n_name, count(c_custkey) AS k FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1""")
@@ -222,11 +222,11 @@ def scoped_replace(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("url", F.regexp_replace("url", r"^https://m\./", "https://m."))
 
 
-@query("""SELECT user_id AS key, avg(CASE WHEN event_id % 4 <> 0 THEN value END) AS avg_score, count(*) FILTER (event_id % 4 <> 0 AND value >= 10) AS good, count(*) FILTER (event_id % 4 <> 0) AS valid,
+@query("""SELECT user_id AS key, round(avg(CASE WHEN event_id % 4 <> 0 THEN value END), 6) AS avg_score, count(*) FILTER (event_id % 4 <> 0 AND value >= 10) AS good, count(*) FILTER (event_id % 4 <> 0) AS valid,
   CASE WHEN count(*) FILTER (event_id % 4 <> 0) = 0 THEN 'unknown' WHEN 2 * count(*) FILTER (event_id % 4 <> 0 AND value >= 10) >= count(*) FILTER (event_id % 4 <> 0) THEN 'ok' ELSE 'SUSPECT' END AS flag FROM events GROUP BY 1""")
 def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     samples = table(spark, d, "events").select(F.col("user_id").alias("key"), F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("score"))
-    return library.vote(samples, "key", "score", 10.0)
+    return library.vote(samples, "key", "score", 10.0).withColumn("avg_score", F.round("avg_score", 6))
 
 
 @query("""WITH s AS (SELECT user_id, 'a' || user_id AS v, 0 AS p FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0 UNION SELECT user_id, 'b' || user_id, 1 FROM events WHERE event_type = 'click' UNION SELECT user_id, 'c' || user_id, 2 FROM events)

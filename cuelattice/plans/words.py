@@ -125,7 +125,7 @@ def srt_text(spark: SparkSession, d: str) -> DataFrame:
     return subtitle.as_srt(c.select("file_id", "idx", (F.col("start") - 1_704_000_000_000).alias("start_ms"), (F.col("end") - 1_704_000_000_000).alias("end_ms"), "text"))
 
 
-@query("""SELECT event_id, value AS a, value + 1.5 AS b FROM events WHERE event_id % 2 = 0""")
+@query("""SELECT event_id, value AS a, round(value + 1.5, 6) AS b FROM events WHERE event_id % 2 = 0""")
 def transcript_json(spark: SparkSession, d: str) -> DataFrame:
     ms = F.round(F.col("value") * 1000).cast("long")
     part = F.struct(F.struct(ms.alias("from"), (ms + 1500).alias("to")).alias("offsets"), F.col("event_type").alias("text"))
