@@ -59,6 +59,23 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, hash(substr(x, 2 * i - 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 398)) AS i FROM d WHERE length(x) >= 800)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, i AS a, i + 400 AS z FROM w WHERE h IN (SELECT h FROM r)),
+m AS (SELECT *, max(z) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM c),
+k AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS g FROM m),
+s AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM k GROUP BY doc_id, g),
+e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS f FROM s),
+t AS (SELECT doc_id, count(*) AS n, sum(z - a) AS gone, max(z) AS last FROM s GROUP BY doc_id),
+o AS (SELECT e.doc_id, string_agg(substr(d.x, 2 * f - 1, 2 * (a - f)), '' ORDER BY a) AS head FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN t.n IS NULL THEN d.x ELSE coalesce(o.head, '') || substr(d.x, 2 * t.last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
+"""
+
+
 def op8_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     dealt = sharding.shuffle_into_shards(docs, shards=16, seed=20)
@@ -119,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op7_suffix_array_dedup": OP7_SQL}
