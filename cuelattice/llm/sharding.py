@@ -11,6 +11,7 @@ table gives an empty result; all columns given are carried, and the added ones r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from .common import bounded_batches, durable
 
 #: Rows in a bucket at most (but for one), which one task permutes.
 BUCKET_ROWS = 200_000
+_NUMPY_TOTAL = 1_000_000_000
 
 
 def bucket_sizes(rows: int, shards: int, bucket_rows: int = BUCKET_ROWS) -> list[tuple[int, int, int]]:
@@ -40,6 +42,53 @@ def bucket_sizes(rows: int, shards: int, bucket_rows: int = BUCKET_ROWS) -> list
     return out
 
 
+def draw_good(rng: np.random.Generator, good: int, bad: int, taken: int) -> int:
+    """How many of ``taken`` rows drawn from ``good + bad`` are good: the hypergeometric law, for totals of any size.
+
+    Beyond numpy's limit of a billion: few rows one by one, many by ratio of uniforms (Stadlober, 1990) on log factorials.
+    """
+    total = good + bad
+    if total < _NUMPY_TOTAL:
+        return int(rng.hypergeometric(good, bad, taken))
+    few, less = min(good, bad), min(taken, total - taken)
+    if less < 10:
+        hits, left = 0, few
+        for k in range(less):
+            if rng.random() * (total - k) < left:
+                hits, left = hits + 1, left - 1
+    else:
+        share = few / total
+        centre = less * share + 0.5
+        spread = math.sqrt((total - less) * less * share * (1 - share) / (total - 1) + 0.5)
+        width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+        log_weight = lambda x: -(math.lgamma(x + 1) + math.lgamma(few - x + 1) + math.lgamma(less - x + 1) + math.lgamma(total - few - less + x + 1))
+        top = log_weight((less + 1) * (few + 1) // (total + 2))
+        last = min(min(few, less) + 1, math.floor(centre + 16 * spread))
+        while True:
+            u, v = 1 - rng.random(), rng.random()
+            at = centre + width * (v - 0.5) / u
+            if 0 <= at < last and 2 * math.log(u) <= log_weight(math.floor(at)) - top:
+                hits = math.floor(at)
+                break
+    of_good = hits if good <= bad else less - hits
+    return of_good if less == taken else good - of_good
+
+
+def draw_counts(rng: np.random.Generator, room: np.ndarray, taken: int) -> np.ndarray:
+    """How many of ``taken`` rows go to each bucket that has ``room``."""
+    total = int(room.sum())
+    if total < _NUMPY_TOTAL:
+        return rng.multivariate_hypergeometric(room, taken, method="marginals")
+    out = np.zeros_like(room)
+    for k, own in enumerate(room.tolist()):
+        if not taken:
+            break
+        total -= own
+        out[k] = draw_good(rng, own, total, taken)
+        taken -= int(out[k])
+    return out
+
+
 def matrix_row(seed: int, sent: np.ndarray, sizes: np.ndarray, partition: int) -> np.ndarray:
     """Row ``partition`` of the communication matrix: counts for each bucket, given all partitions' row counts."""
     before = np.concatenate(([0], np.cumsum(sent)))
@@ -47,7 +96,7 @@ def matrix_row(seed: int, sent: np.ndarray, sizes: np.ndarray, partition: int) -
     while hi - lo > 1:
         mid = (lo + hi) // 2
         rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(room, int(before[mid] - before[lo]), method="marginals")
+        left = draw_counts(rng, room, int(before[mid] - before[lo]))
         lo, hi, room = (lo, mid, left) if partition < mid else (mid, hi, room - left)
     return room
 

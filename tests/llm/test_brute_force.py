@@ -242,6 +242,20 @@ def test_communication_matrix_is_exact_and_uniform():
     assert np.allclose(total / 400, np.outer(sent, sizes) / sent.sum(), atol=0.25)
 
 
+def test_hypergeometric_draws_beyond_a_billion(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(sharding, "_NUMPY_TOTAL", 0)
+    for good, bad, taken in ((30, 70, 40), (70, 30, 40), (30, 70, 95), (500, 20, 6), (4, 9000, 5000)):
+        drawn = np.array([sharding.draw_good(rng, good, bad, taken) for _ in range(6000)])
+        n, share = good + bad, good / (good + bad)
+        var = taken * share * (1 - share) * (n - taken) / (n - 1)
+        assert drawn.min() >= max(0, taken - bad) and drawn.max() <= min(good, taken)
+        assert abs(drawn.mean() - taken * share) < 4 * math.sqrt(var / 6000) + 1e-9 and abs(drawn.var() - var) < 0.12 * var + 0.02
+    room = np.full(50, 10**9)
+    counts = sharding.draw_counts(rng, room, 20 * 10**9)
+    assert counts.sum() == 20 * 10**9 and abs(counts - 4 * 10**8).max() < 10**5
+
+
 def test_lattice_sums_all_segmentations():
     pieces = lattice.Pieces({"▁a": -1.0, "a": -1.5, "b": -2.0, "ab": -0.7, "▁": -2.5, "bab": -3.0}, [-6.0] * 256, -1.2)
 
