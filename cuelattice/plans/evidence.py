@@ -130,3 +130,22 @@ def numbered_replies(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "conversations").select("conv_id").distinct()
     reply = F.when(F.col("conv_id") % 2 == 0, F.lit("1. one\n2) two\n three")).otherwise("1. one\n1. two")
     return ids.select("conv_id", F.array_join(transcript.numbered_reply(reply, F.lit(2)), "/").alias("lines")).where("lines is not null")
+
+
+@query("""WITH c AS (SELECT l_orderkey % 300 AS video_path, l_partkey AS subs_id, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), t AS (SELECT DISTINCT l_orderkey % 300 AS video_path, l_partkey AS subs_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 40 = 3), u AS (SELECT video_path, count(*) AS used FROM t GROUP BY 1),
+r AS (SELECT c.*, row_number() OVER (PARTITION BY c.video_path ORDER BY score DESC, subs_id) + coalesce(used, 0) AS turn FROM c LEFT JOIN u ON u.video_path = c.video_path WHERE score >= 45 AND NOT EXISTS (SELECT 1 FROM t WHERE t.video_path = c.video_path AND t.subs_id = c.subs_id)) SELECT video_path, subs_id, score, CAST(turn AS BIGINT) AS turn FROM r WHERE turn <= 5""")
+def replacement_candidates(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.archive import due
+
+    rows = table(spark, d, "lineitem").withColumn("video_path", F.col("l_orderkey") % 300).withColumnRenamed("l_partkey", "subs_id")
+    found = rows.groupBy("video_path", "subs_id").agg(F.max("l_quantity").alias("score"))
+    tried = rows.where("l_linenumber = 1 and l_orderkey % 40 = 3").select("video_path", "subs_id").distinct()
+    return due(found, tried, 45.0, 5)
+
+
+@query("""WITH f AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS dir, lpad(CAST(page_id AS VARCHAR), 8, '0') AS name, page_id FROM pages) SELECT page_id FROM f QUALIFY row_number() OVER (PARTITION BY dir ORDER BY name DESC) > 2""")
+def old_reports(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.archive import outdated
+
+    rows = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("dir"), F.lpad(F.col("page_id").cast("string"), 8, "0").alias("name"), "page_id")
+    return outdated(rows, 2).select("page_id")

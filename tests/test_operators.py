@@ -196,3 +196,13 @@ def test_feeds(spark, tmp_path):
     assert [(r.start, r.end) for r in feeds.speech_intervals(spark, f"file://{tmp_path}/v.tsv").collect()] == [(1.0, 2.5)]
     files = spark.createDataFrame([("/m/A.mkv", "/m", "A.mkv", ".mkv"), ("/m/A.en.srt", "/m", "A.en.srt", ".srt"), ("/n/B.mkv", "/n", "B.mkv", ".mkv"), ("/n/subs/x.srt", "/n/subs", "x.srt", ".srt")], "path string, dir string, name string, ending string")
     assert rows(feeds.pairs(files)) == [("/m/A.mkv", "/m/A.en.srt", "en"), ("/n/B.mkv", "/n/subs/x.srt", None)]
+
+
+def test_archives(spark):
+    from cuelattice.operators import archive
+
+    kind = "path string, dir string, name string, ending string, size long, mtime long"
+    files = spark.createDataFrame([("/b/s/a.20240101-010203.srt", "/b/s", "a.20240101-010203.srt", ".srt", 3, 5), ("/m/V.da.srt", "/m", "V.da.srt", ".srt", 3, 9), ("/m/V.en.srt", "/m", "V.en.srt", ".srt", 3, 7), ("/m/V.srt", "/m", "V.srt", ".srt", 3, 2)], kind)
+    assert [(r.relative, r.original) for r in archive.archived(files, "/b/").collect()] == [("s/a.20240101-010203.srt", "a.srt")]
+    videos = spark.createDataFrame([("/m/V.mkv", "/m", "V", 3)], "video_path string, dir string, stem string, since long")
+    assert [r.subtitle_path for r in archive.fresh_sibling(files, videos, "en").collect()] == ["/m/V.en.srt"]
