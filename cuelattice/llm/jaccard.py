@@ -1,0 +1,141 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, whole shingle sets decide.
+
+Two texts of similarity ``s`` share at least one of ``BANDS`` bands of ``ROWS`` minima each, but for a chance of
+``(1 - s**ROWS)**BANDS``: 1.2e-7 at 0.8, less above. Every link is confirmed on the exact sets, so none is wrong. Texts with equal
+sets are one node. Small band groups give pairs; a larger one is cut into pieces, each pair of pieces is one task's work, and
+members that are joined already are not compared again, so a dense group takes about one comparison for each member.
+
+Defined cases: null and empty texts (or white space only) are alike; texts of fewer words than a shingle are one shingle; case and
+white space do not count; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded_batches, durable, flushed, rows_of, sorted_groups, utf8
+from .components import components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 40
+ROWS = 5
+SEED = 42
+#: Members of a band group whose pairs are listed; those of a larger one are compared inside tasks.
+PAIRED = 8
+#: Members of a large group in one piece at most.
+PIECE = 2048
+_CHUNK = 4096
+_U = np.uint64
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=_U)
+    return drawn[0] << _U(1) | _U(1), drawn[1]
+
+
+def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a UTF-8 text's shingles; never empty."""
+    words = (text or b"").lower().split()
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(line, SEED)], _U)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:-shingle])]
+    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)), _U))
+
+
+def band_keys(held: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One signed key for each band of minima."""
+    low = np.full(BANDS * ROWS, ~_U(0))
+    for lo in range(0, len(held), _CHUNK):
+        h = (held[lo : lo + _CHUNK] ^ factors[1]) * factors[0]
+        h ^= h >> _U(32)
+        h *= _U(0xBF58476D1CE4E5B9)
+        np.minimum(low, h.min(1), out=low)
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], _U).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return shared / (len(a) + len(b) - shared)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    return min(len(a), len(b)) / max(len(a), len(b)) >= least and similarity(a, b) >= least
+
+
+def spanning_links(ids: list[int], sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Enough links of the group to join all that are linked; every pair that is not joined yet is compared."""
+    groups: list[list[int]] = []
+    for i, own in enumerate(sets):
+        apart, merged = [], [i]
+        for members in groups:
+            hit = next((j for j in members if _alike(own, sets[j], least)), None)
+            if hit is None:
+                apart.append(members)
+            else:
+                yield ids[i], ids[hit]
+                merged = members + merged
+        groups = [merged, *apart]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, paired: int = PAIRED, piece: int = PIECE) -> DataFrame:
+    """``(id_col, component_id)``: each row and the smallest id it is linked to. Ids must be unique."""
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _factors()
+
+        def each() -> Iterator[tuple]:
+            for i, t in rows_of(batches):
+                held = shingle_set(t, shingle)
+                yield i, xxhash.xxh3_128_digest(held.tobytes()), band_keys(held, factors)
+
+        return flushed(pa.schema([("id", pa.int64()), ("same", pa.binary()), ("keys", pa.list_(pa.int64()))]), each(), 4000)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return flushed(pa.schema([("id", pa.int64()), ("held", pa.binary())]), ((i, shingle_set(t, shingle).tobytes()) for i, t in rows_of(batches)), 500)
+
+    links = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    read = lambda held: np.frombuffer(held, _U)
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return flushed(links, ((u, v) for u, v, a, b in rows_of(batches) if _alike(read(a), read(b), least)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return flushed(links, (x for _, (ids, sets) in sorted_groups(batches, 3) for x in spanning_links(ids, list(map(read, sets)), least)))
+
+    signed = durable(texts.mapInArrow(sign, "id long, same binary, keys array<long>"))
+    classes = durable(signed.groupBy("same").agg(F.min("id").alias("rep")))
+    keyed = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    grouped = durable(keyed.join(sizes, "key"))
+    sets = durable(texts.join(grouped.select("id").distinct(), "id", "left_semi").mapInArrow(hold, "id long, held binary"))
+
+    listed = grouped.where(F.col("n") <= paired).groupBy("key").agg(F.collect_list("id").alias("ids"))
+    pairs = listed.select("ids", F.explode("ids").alias("u")).select("u", F.explode(F.filter("ids", lambda x: x > F.col("u"))).alias("v")).distinct()
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("held").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("held").alias("b")), "v")
+    found = both.select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long")
+
+    large = grouped.where(F.col("n") > paired).withColumn("pieces", F.ceil(F.col("n") / piece).cast("int"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    # A task has both its pieces whole; a piece is by itself only where it is the only one.
+    large = large.withColumn("other", F.explode(F.expr("filter(sequence(0, pieces - 1), x -> pieces = 1 or x <> own)")))
+    dealt = large.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id").join(sets, "id").select("key", "x", "y", "id", "held")
+    spanning = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(search, "u long, v long")
+
+    roots = components(found.unionByName(spanning)).select(F.col("u").alias("rep"), "root")
+    label = classes.join(roots, "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
+    return signed.select("id", "same").join(label, "same").select(F.col("id").alias(id_col), "component_id")

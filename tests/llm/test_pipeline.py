@@ -1,5 +1,8 @@
+import itertools
+import random
+
 import corpus_pipeline
-from cuelattice.llm import registry
+from cuelattice.llm import jaccard, registry
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir):
@@ -27,3 +30,41 @@ def test_stages_take_empty_tables(spark, sf_dir):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def _components(texts):
+    """Smallest index each text is linked to, by comparing all pairs of five-word shingle sets."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    low = list(range(len(texts)))
+    for a, b in itertools.combinations(low[:], 2):
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and low[a] != low[b]:
+            keep, gone = sorted((low[a], low[b]))
+            low = [keep if x == gone else x for x in low]
+    return low
+
+
+def test_near_duplicates_are_those_of_brute_force(spark, sf_dir):
+    """Chains, edits on both sides of the threshold, and a group larger than a piece."""
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = ["", " ", "one two", "One  two", "one two three"]
+    for _ in range(40):
+        words = r.choices(vocabulary, k=r.randint(20, 200))
+        for _ in range(r.randint(1, 6)):
+            texts.append(" ".join(words))
+            words = [r.choice(vocabulary) if r.random() < 0.02 else w for w in words]
+    base = r.choices(vocabulary, k=120)
+    for _ in range(60):
+        at = r.randrange(120)
+        texts.append(" ".join(w if i not in (at, (at + 40) % 120) else r.choice(vocabulary) for i, w in enumerate(base)))
+    want = _components(texts)
+    assert len(set(want)) < len(texts) - 80
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for paired, piece in ((8, 2048), (4, 16)):
+        found = {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs, paired=paired, piece=piece).collect()}
+        assert [found[i] for i in range(len(texts))] == want
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()
+    assert sorted(x.doc_id for x in kept) == sorted(set(want))
