@@ -41,13 +41,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat are cut from texts; a document of which nothing is left goes."""
+    """Passages of more than 50 words that repeat are cut from texts; a document of which nothing is left goes."""
     marked = docs.withColumn("_no_text", F.col("text").isNull())
-    cut = suffix.remove_repeats(marked, carry=[c for c in marked.columns if c != "text"], whole_characters=True)
-    touched = F.size("spans") > 0
-    left = cut.where(~touched | (F.octet_length("kept") > 0))
+    cut = suffix.remove_repeated_words(marked, carry=marked.columns)
+    left = cut.where(~F.col("touched") | F.col("kept").cast("string").rlike(r"\S"))
     text = F.when(~F.col("_no_text"), F.col("kept").cast("string"))
-    return left.withColumn("text", text).withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return left.withColumn("text", text).withColumn("n_chars", F.when(F.col("touched"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

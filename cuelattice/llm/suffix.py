@@ -17,6 +17,7 @@ are carried only when named.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -323,3 +324,51 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = covered.select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     touched = base.mapInArrow(named, f"_t binary, {columns}, _key binary").join(found, "_key", "left").select("_t", "_spans", *names)
     return touched.mapInArrow(cut, result).unionByName(base.mapInArrow(whole, result))
+
+
+def word_symbols(text: bytes | None) -> bytes:
+    """Four bytes of hash for each word of a text, so that equal runs of words are equal strings whatever their length in bytes."""
+    return np.fromiter(map(xxhash.xxh32_intdigest, (text or b"").split()), "<u4").tobytes()
+
+
+def without_words(text: bytes, spans: list[tuple[int, int]], least: int) -> tuple[bytes, bool]:
+    """The text less the whole words under spans of its symbols, where these are ``least`` or more, and whether any went."""
+    places = None
+    kept, at = [], 0
+    for start, end in spans:
+        first, last = -(-start // 4), end // 4
+        if last - first < least:
+            continue
+        places = places or [m.span() for m in re.finditer(rb"\S+", text)]
+        kept.append(text[at : places[first][0]])
+        at = places[last - 1][1]
+    return b"".join([*kept, text[at:]]), at > 0
+
+
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = 51, gram: int = 34) -> DataFrame:
+    """``(id_col, carry..., touched boolean, kept binary)``: every run of ``words`` or more words that occurs again is cut from all places.
+
+    Words are what white space (ASCII) parts; white space between them does not count. The sort is that of :func:`remove_repeats` over four
+    bytes a word. A string that starts inside a word tells of one whole word less and is left out by :func:`without_words`.
+    """
+    bounded_batches(docs.sparkSession)
+    carry = [c for c in carry or [] if c not in (id_col, text_col)]
+    base = docs.select(F.coalesce(utf8(text_col), F.lit(b"")).alias("_text"), F.col(id_col), *[F.col(c) for c in carry])
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = pa.array(map(word_symbols, batch.column(0).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, symbols], names=[*batch.schema.names, "_symbols"])
+
+    coded = base.mapInArrow(encode, f"{kind}, _symbols binary")
+    found = remove_repeats(coded, id_col, "_symbols", ["_text", *carry], 4 * words, 4 * gram).select("_text", "spans", id_col, *carry)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [without_words(t, [(s["start"], s["end"]) for s in spans], words) for t, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            columns = [*batch.columns[2:], pa.array([x for _, x in done], pa.bool_()), pa.array([x for x, _ in done], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[2:], "touched", "kept"])
+
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema[2:])
+    return found.mapInArrow(cut, f"{rest}, touched boolean, kept binary")

@@ -68,3 +68,20 @@ def test_near_duplicates_are_those_of_brute_force(spark, sf_dir):
         assert [found[i] for i in range(len(texts))] == want
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()
     assert sorted(x.doc_id for x in kept) == sorted(set(want))
+
+
+def test_repeated_passages_of_more_than_fifty_words_go(spark, sf_dir):
+    """Planted runs of 45 to 60 short words, at starts, ends and between; 51 are cut from both places, 50 stay."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyzåé", k=r.randint(1, 6)))
+    rows, want = [], []
+    for n in [45, 49, *[50] * 12, *range(51, 61)]:
+        passage = [word() for _ in range(n)]
+        for k in range(2):
+            before, after = [f"x{len(rows)}"] + [word() for _ in range(20 * k)], [f"y{len(rows)}"] + [word() for _ in range(9)]
+            rows.append(" ".join(before + passage + after))
+            want.append(before + after if n > 50 else before + passage + after)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {x.doc_id: x for x in corpus_pipeline.repeated_passage_stage(spark, docs, sf_dir).collect()}
+    assert [left[i].text.split() for i in range(len(rows))] == want
+    assert all(x.n_chars == len(x.text) for x in left.values())
