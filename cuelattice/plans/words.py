@@ -160,7 +160,7 @@ def sequence_order(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("l1")).withColumn("l2", F.lead("l1").over(w)).where("l2 is not null")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("l1")).withColumn("l2", F.lead("l1").over(w)).where("l2 is not null")
     told = F.when(F.col("turn") % 2 == 0, F.concat_ws(" ", "l1", "l2")).otherwise(F.concat_ws(" ", "l2", "l1"))
     return rows.select("conv_id", "turn", text.order_verdict(told, F.col("l1"), F.col("l2")).alias("swapped"))
 

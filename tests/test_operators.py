@@ -206,3 +206,27 @@ def test_archives(spark):
     assert [(r.relative, r.original) for r in archive.archived(files, "/b/").collect()] == [("s/a.20240101-010203.srt", "a.srt")]
     videos = spark.createDataFrame([("/m/V.mkv", "/m", "V", 3)], "video_path string, dir string, stem string, since long")
     assert [r.subtitle_path for r in archive.fresh_sibling(files, videos, "en").collect()] == ["/m/V.en.srt"]
+
+
+def test_sequence_order_reads_whole_texts(spark, tmp_path):
+    """Texts that differ only after their first 200 characters are told apart, as difflib does."""
+    import difflib
+    import re
+
+    from cuelattice.plans import words
+
+    long = [c * 120 + "".join(chr(97 + (i * i * k + i) % 26) for i in range(140)) for k, c in ((3, "a"), (5, "a"), (7, "b"), (11, "b"))]
+    said = {1: ["one two three", "four five six"], 2: [long[0], long[1]], 3: ["q" * 200 + " short tail", "q" * 200 + " 0123456789" * 9], 4: [long[2], "x" * 10, long[3]]}
+    rows = [(c, i, "user", t) for c, ts in said.items() for i, t in enumerate(ts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plain = lambda t: re.sub("[^a-z0-9 ]", "", t.lower())
+    want, cut = {}, {}
+    for size, out in ((None, want), (200, cut)):
+        for c, ts in said.items():
+            for i, (a, b) in enumerate(zip(ts, ts[1:], strict=False)):
+                a, b = plain(a[:size]), plain(b[:size])
+                told = f"{a} {b}" if i % 2 == 0 else f"{b} {a}"
+                gap = difflib.SequenceMatcher(None, told, f"{a} {b}").ratio() - difflib.SequenceMatcher(None, told, f"{b} {a}").ratio()
+                out[c, i] = True if gap <= -0.1 else False if gap >= 0.1 else None
+    assert want != cut
+    assert {(r.conv_id, r.turn): r.swapped for r in words.sequence_order(spark, str(tmp_path)).collect()} == want
