@@ -56,11 +56,11 @@ def anchor_match(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file_id", "s_idx", "c_idx", "shared", "share")
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text[1:4000], chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents WHERE len(text) < 4000)
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)
 SELECT doc_id, p[1] AS l1, p[2] AS l2, regexp_matches(p[1], '^[^\p{L}]*\p{Ll}') AND regexp_matches(p[2], '^[^\p{L}]*\p{Lu}') AND NOT regexp_matches(p[1], '[.!?][^A-Za-z0-9_]*$') AS swapped FROM l WHERE len(p) = 2""")
 def two_line_swaps(spark: SparkSession, d: str) -> DataFrame:
     pair = text.two_lines(F.col("text"))
-    rows = table(spark, d, "documents").where("length(text) < 4000").select("doc_id", pair.alias("p")).where("p is not null")
+    rows = table(spark, d, "documents").select("doc_id", pair.alias("p")).where("p is not null")
     first, second = F.get("p", F.lit(0)), F.get("p", F.lit(1))
     return rows.select("doc_id", first.alias("l1"), second.alias("l2"), text.cap_signal(first, second).alias("swapped"))
 
@@ -125,12 +125,12 @@ def srt_text(spark: SparkSession, d: str) -> DataFrame:
     return subtitle.as_srt(c.select("file_id", "idx", (F.col("start") - 1_704_000_000_000).alias("start_ms"), (F.col("end") - 1_704_000_000_000).alias("end_ms"), "text"))
 
 
-@query("""SELECT event_id, value AS a, round(value + 1.5, 6) AS b FROM events WHERE event_id % 2 = 0""")
+@query("""SELECT event_id, value AS a, round(value + 1.5, 6) AS b FROM events""")
 def transcript_json(spark: SparkSession, d: str) -> DataFrame:
     ms = F.round(F.col("value") * 1000).cast("long")
     part = F.struct(F.struct(ms.alias("from"), (ms + 1500).alias("to")).alias("offsets"), F.col("event_type").alias("text"))
     body = F.to_json(F.struct(F.array(part).alias("transcription"), F.struct(F.lit("en").alias("language")).alias("result")))
-    rows = table(spark, d, "events").where("event_id % 2 = 0").select("event_id", F.inline(feeds.transcript_segments(body)))
+    rows = table(spark, d, "events").select("event_id", F.inline(feeds.transcript_segments(body)))
     return rows.select("event_id", F.col("start").alias("a"), F.round("end", 6).alias("b"))
 
 
@@ -141,11 +141,11 @@ def wanted_keys(spark: SparkSession, d: str) -> DataFrame:
     return feeds.wanted_keys(answers, "episode")
 
 
-@query("""SELECT event_id, 2 AS n, '3/12' AS counts, '1.25/-61.5' AS shifts, '0.5/7.0' AS starts, '1.5/60.0' AS ends FROM events WHERE event_id < 100""")
+@query("""SELECT event_id, 2 AS n, '3/12' AS counts, '1.25/-61.5' AS shifts, '0.5/7.0' AS starts, '1.5/60.0' AS ends FROM events""")
 def log_blocks(spark: SparkSession, d: str) -> DataFrame:
     log = F.concat(F.lit("line\nshifted block of 3 subtitles with length 0:00:10.1 by 0:00:01.25\nshifted block of 12 subtitles with length 1:00:10.0 by -0:01:01.5 # "), F.col("event_id").cast("string"))
     quiet = F.lit("silence_start: 0.5\nsilence_end: 1.5 | d: 1\nsilence_start: 7")
-    rows = table(spark, d, "events").where("event_id < 100").select("event_id", feeds.aligner_blocks(log).alias("b"), feeds.silences(quiet, F.lit(60.0)).alias("s"))
+    rows = table(spark, d, "events").select("event_id", feeds.aligner_blocks(log).alias("b"), feeds.silences(quiet, F.lit(60.0)).alias("s"))
     return rows.select("event_id", F.size("b").alias("n"), *[F.array_join(F.col(c).cast("array<string>"), "/").alias(n) for c, n in (("b.n", "counts"), ("b.shift", "shifts"), ("s.start", "starts"), ("s.end", "ends"))])
 
 
