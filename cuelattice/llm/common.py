@@ -18,9 +18,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset and Spark runs in one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='cuelattice-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -69,6 +71,17 @@ def utf8(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 
 
+def join_classes(rows: DataFrame, labels: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Rows joined to their class's one row in ``labels(key, size, ...)``, where ``size`` counts the class's rows of ``total``.
+
+    Classes of more than a 10,000th of all rows, of which there are at most 10,000, are broadcast, so no large class meets in one task.
+    """
+    often = F.col(size) > max(1000, total // 10_000)
+    hot = F.broadcast(labels.where(often).drop(size))
+    rest = rows.join(F.broadcast(labels.where(often).select(key)), key, "left_anti").join(labels.where(~often).drop(size), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)

@@ -54,12 +54,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    cut = suffix.remove_repeats(_table(spark, sf_dir, "documents"), words=suffix.WORDS)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
-    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeat_words")
 
 
-OP7_SQL = """
+OP7_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 w AS (SELECT doc_id, i, hash(substr(x, 2 * i - 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 398)) AS i FROM d WHERE length(x) >= 800)),
 r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
@@ -69,10 +69,15 @@ k AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p THEN 1 ELSE 0 END) OVER (PARTIT
 s AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM k GROUP BY doc_id, g),
 e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS f FROM s),
 t AS (SELECT doc_id, count(*) AS n, sum(z - a) AS gone, max(z) AS last FROM s GROUP BY doc_id),
-o AS (SELECT e.doc_id, string_agg(substr(d.x, 2 * f - 1, 2 * (a - f)), '' ORDER BY a) AS head FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+o AS (SELECT e.doc_id, string_agg(substr(d.x, 2 * f - 1, 2 * (a - f)), '' ORDER BY a) AS head FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id),
+ww AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS v FROM documents),
+wi AS (SELECT doc_id, i, hash(array_to_string(v[i:i + 50], ' ')) AS h FROM (SELECT doc_id, v, unnest(range(1, len(v) - 49)) AS i FROM ww WHERE len(v) >= 51)),
+wr AS (SELECT h FROM wi GROUP BY h HAVING count(*) > 1),
+wn AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 51)) AS p FROM wi WHERE h IN (SELECT h FROM wr)) GROUP BY doc_id)
 SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN t.n IS NULL THEN d.x ELSE coalesce(o.head, '') || substr(d.x, 2 * t.last - 1) END)) AS kept_sha256
-FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
+  sha256(unhex(CASE WHEN t.n IS NULL THEN d.x ELSE coalesce(o.head, '') || substr(d.x, 2 * t.last - 1) END)) AS kept_sha256,
+  CAST(coalesce(wn.n, 0) AS BIGINT) AS n_repeat_words
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN wn ON wn.doc_id = d.doc_id
 """
 
 

@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, durable, flushed, rows_of, sorted_groups, utf8
 
 LENGTH = 400
-GRAM = 272
+#: A shorter gram is shared by more contents, a longer one makes more records.
+GRAM = 112
+#: Least repeated passage and gram where strings are told in words.
+WORDS, WORD_GRAM = 51, 15
 #: Distinct contents of one gram that are sorted in one task.
 RECORDS = 4096
 #: Symbols that are sorted at once, unless one gram has more.
@@ -37,6 +41,7 @@ SYMBOLS = 1 << 18
 _PIECE = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 _FILTER_BITS = 24
+_SALTS = 64
 _U = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -206,21 +211,28 @@ def _inner(text: bytes, start: int, end: int) -> list[int]:
     return [start, end]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, records: int = RECORDS, symbols: int = SYMBOLS) -> DataFrame:
-    """``(key, spans array<struct<start,end>>)``: byte spans of each distinct text (by its MD5) that repeated strings cover."""
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, records: int = RECORDS, symbols: int = SYMBOLS, encode: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """``(key, spans array<struct<start,end>>, copies)``: spans of each distinct text (by its MD5) that repeated strings cover, and its rows.
+
+    With ``encode`` a text's strings are those of its encoded form, and so are the spans.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     width = length - gram + 1
-    texts = docs.select(utf8(text_col).alias("t")).where(F.octet_length("t") >= length)
+    encode = encode or (lambda t: t)
+    texts = docs.select(utf8(text_col).alias("t")).where("t is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("key", pa.binary()), ("first", pa.int32()), ("n", pa.int32()), ("offset", pa.int32()), ("fp", pa.int64()), ("content", pa.int64())])
 
         def each() -> Iterator[tuple]:
             for (text,) in rows_of(batches):
+                coded = encode(text)
+                if len(coded) < length:
+                    continue
                 key = _key(text)
-                for first, n, offset, fp in runs(text, length, gram):
-                    h = xxhash.xxh3_64_intdigest(text[first : first + n - 1 + length], offset)
+                for first, n, offset, fp in runs(coded, length, gram):
+                    h = xxhash.xxh3_64_intdigest(coded[first : first + n - 1 + length], offset)
                     yield key, first, n, offset, fp, h - (1 << 63)
 
         return flushed(out, each())
@@ -237,13 +249,22 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     bits = spark.sparkContext.broadcast(_filter(wanted))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("key", pa.binary()), ("t", pa.binary())])
-        return flushed(out, ((key, t) for (t,) in rows_of(batches) if _passes(bits.value, key := _key(t))), 200)
+        def each() -> Iterator[tuple]:
+            seen: set[bytes] = set()
+            for (text,) in rows_of(batches):
+                key = _key(text)
+                if key not in seen and _passes(bits.value, key):
+                    seen.add(key)
+                    yield key, encode(text)
+
+        return flushed(pa.schema([("key", pa.binary()), ("t", pa.binary())]), each(), 200)
 
-    held = texts.mapInArrow(named, "key binary, t binary").join(wanted, "key").select("key", "t", F.inline("records"))
+    # one copy of a text a task, then one of all, before texts meet their records
+    single = texts.mapInArrow(named, "key binary, t binary").groupBy("key").agg(F.first("t").alias("t"))
+    held = single.join(wanted, "key").select("key", "t", F.inline("records"))
     gram_end = F.col("first") + F.col("offset") + gram
     both = held.select("fp", "contents", "key", "first", "n", "offset", F.expr("substring(t, first + 1, offset)").alias("left"), F.substring(F.col("t"), gram_end + 1, F.col("n") - 1 + length - F.col("offset") - gram).alias("right"))
-    sides = durable(both.dropDuplicates(["fp", "key", "first"]))
+    sides = durable(both)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return flushed(pa.schema([("key", pa.binary()), ("start", pa.int32()), ("end", pa.int32())]), _sort_records(batches, length, gram, symbols))
@@ -266,21 +287,38 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     single = durable(many.mapInArrow(windows, "fp long, offset int, h binary, key binary, start int"))
     again = single.groupBy("fp", "offset", "h").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     hot = single.join(again, ["fp", "offset", "h"], "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
-    return spans.unionByName(hot).distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    covered = spans.unionByName(hot).distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    # every row that is long enough has one run that starts at zero
+    rows = found.where("first = 0").groupBy("key").agg(F.count("*").alias("copies"))
+    return covered.join(rows, "key")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, records: int = RECORDS, symbols: int = SYMBOLS, whole_characters: bool = False) -> DataFrame:
-    """``(id_col, carry..., n_bytes, spans array<struct<start,end>>, kept binary)``: each row's removed byte spans and what is left.
+def _joined(spans: list[dict] | None) -> list[list[int]]:
+    """Sorted spans with those that touch made one."""
+    joined: list[list[int]] = []
+    for s in spans or ():
+        if joined and s["start"] <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], s["end"])
+        else:
+            joined.append([s["start"], s["end"]])
+    return joined
 
-    With ``whole_characters`` a character that a span covers in part is kept, so that what is left is UTF-8.
+
+def _applied(docs: DataFrame, id_col: str, text_col: str, carry: list[str], covered: DataFrame, act: Callable[..., tuple], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """``(id_col, carry..., fields...)``: what ``act`` makes of each row's text and its text's columns in ``covered(key, copies, ...)``.
+
+    Rows whose text is not covered stay where they are. Texts of more than a 10,000th of all covered rows, at most 10,000, are named to
+    all tasks, and their rows are spread over salts.
     """
     spark = docs.sparkSession
-    covered = durable(repeated_spans(docs, text_col, length, gram, records, symbols))
+    covered = durable(covered)
     bits = spark.sparkContext.broadcast(_filter(covered))
-    carry = [c for c in carry or [] if c not in (id_col, "n_bytes", "spans", "kept")]
-    base = docs.select(F.coalesce(utf8(text_col), F.lit(b"")).alias("_t"), F.col(id_col), *[F.col(c) for c in carry])
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[1:])
-    span_list = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    total = covered.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    often = frozenset(bytes(r.key) for r in covered.where(F.col("copies") > max(_SALTS, total // 10_000)).select("key").collect())
+    hot = spark.sparkContext.broadcast(often)
+    marks = [c for c in covered.columns if c not in ("key", "copies")]
+    base = docs.select(F.coalesce(utf8(text_col), F.lit(b"")).alias("__text"), F.col(id_col), *[F.col(c) for c in carry])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[1:])
 
     def chosen(batch: pa.RecordBatch, hit: bool) -> tuple[pa.RecordBatch, list[bytes]]:
         keys = [_key(t) for t in batch.column(0).to_pylist()]
@@ -291,84 +329,101 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             own, keys = chosen(batch, True)
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys, pa.binary())], names=[*own.schema.names, "_key"])
-
-    def result_of(texts: list[bytes], given: list, rest: pa.RecordBatch) -> pa.RecordBatch:
-        spans, kept = [], []
-        for text, found in zip(texts, given, strict=True):
-            joined: list[list[int]] = []
-            for s in found or ():
-                if joined and s["start"] <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], s["end"])
-                else:
-                    joined.append([s["start"], s["end"]])
-            if whole_characters:
-                joined = [s for s in (_inner(text, *s) for s in joined) if s[0] < s[1]]
-            spans.append([{"start": a, "end": b} for a, b in joined])
-            kept.append(b"".join(text[a:b] for a, b in zip([0, *(b for _, b in joined)], [*(a for a, _ in joined), len(text)], strict=True)) if joined else text)
-        columns = [*rest.columns, pa.array(map(len, texts), pa.int64()), pa.array(spans, span_list), pa.array(kept, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=[*rest.schema.names, "n_bytes", "spans", "kept"])
+                salts = [zlib.crc32(repr(i).encode()) % _SALTS if k in hot.value else 0 for k, i in zip(keys, own.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys, pa.binary()), pa.array(salts, pa.int32())], names=[*own.schema.names, "__key", "__salt"])
+
+    def result_of(texts: list[bytes], given: Iterable[tuple], rest: pa.RecordBatch) -> pa.RecordBatch:
+        made = list(zip(*(act(t, *g) for t, g in zip(texts, given, strict=True)), strict=True))
+        columns = [*rest.columns, *(pa.array(m, kind) for m, (_, _, kind) in zip(made, fields, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, names=[*rest.schema.names, *(name for name, _, _ in fields)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 1 + len(marks)
         for batch in batches:
-            yield result_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.select(batch.schema.names[2:]))
+            given = zip(*(c.to_pylist() for c in batch.columns[1:n]), strict=True)
+            if batch.num_rows:
+                yield result_of(batch.column(0).to_pylist(), given, batch.select(batch.schema.names[n:]))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, _ = chosen(batch, False)
             if own.num_rows:
-                yield result_of(own.column(0).to_pylist(), [None] * own.num_rows, own.select(own.schema.names[1:]))
+                yield result_of(own.column(0).to_pylist(), [(None,) * len(marks)] * own.num_rows, own.select(own.schema.names[1:]))
 
     names = [F.col(f"`{f.name}`") for f in base.schema[1:]]
-    result = f"{columns}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
-    found = covered.select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    touched = base.mapInArrow(named, f"_t binary, {columns}, _key binary").join(found, "_key", "left").select("_t", "_spans", *names)
+    result = f"{kept}, " + ", ".join(f"`{name}` {kind}" for name, kind, _ in fields)
+    salts = F.when(F.col("copies") > max(_SALTS, total // 10_000), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = covered.select(F.col("key").alias("__key"), *[F.col(m).alias(f"__{m}") for m in marks], F.explode(salts).alias("__salt"))
+    touched = base.mapInArrow(named, f"__text binary, {kept}, __key binary, __salt int").join(found, ["__key", "__salt"], "left").select("__text", *[f"__{m}" for m in marks], *names)
     return touched.mapInArrow(cut, result).unionByName(base.mapInArrow(whole, result))
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, records: int = RECORDS, symbols: int = SYMBOLS, whole_characters: bool = False, words: int | None = None) -> DataFrame:
+    """``(id_col, carry..., n_bytes, spans array<struct<start,end>>, kept binary)``: each row's removed byte spans and what is left.
+
+    With ``whole_characters`` a character that a span covers in part is kept, so that what is left is UTF-8. With ``words`` a column
+    ``n_repeat_words`` follows: words inside runs of so many or more words that occur again, whatever their bytes; nothing of these is removed.
+    """
+    own = ("n_bytes", "spans", "kept", "n_repeat_words")
+    carry = [c for c in carry or [] if c not in (id_col, *own)]
+    covered = repeated_spans(docs, text_col, length, gram, records, symbols)
+    span_list = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    fields = [("n_bytes", "long", pa.int64()), ("spans", "array<struct<start:int,end:int>>", span_list), ("kept", "binary", pa.binary())]
+    if words:
+        by_word = repeated_word_spans(docs, text_col, words).select("key", F.col("spans").alias("word_spans"), F.col("copies").alias("_copies"))
+        covered = covered.join(by_word, "key", "full").select("key", "spans", "word_spans", F.coalesce("copies", "_copies").alias("copies"))
+        fields.append(("n_repeat_words", "long", pa.int64()))
+
+    def act(text: bytes, spans: list[dict] | None, of_words: list[dict] | None = None) -> tuple:
+        joined = _joined(spans)
+        if whole_characters:
+            joined = [s for s in (_inner(text, *s) for s in joined) if s[0] < s[1]]
+        kept = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in joined)], [*(a for a, _ in joined), len(text)], strict=True)) if joined else text
+        out = len(text), [{"start": a, "end": b} for a, b in joined], kept
+        return (*out, sum(b - a for a, b in _whole_words(of_words, words))) if words else out
+
+    return _applied(docs, id_col, text_col, carry, covered, act, fields)
+
+
 def word_symbols(text: bytes | None) -> bytes:
     """Four bytes of hash for each word of a text, so that equal runs of words are equal strings whatever their length in bytes."""
     return np.fromiter(map(xxhash.xxh32_intdigest, (text or b"").split()), "<u4").tobytes()
 
 
-def without_words(text: bytes, spans: list[tuple[int, int]], least: int) -> tuple[bytes, bool]:
-    """The text less the whole words under spans of its symbols, where these are ``least`` or more, and whether any went."""
-    places = None
+def _whole_words(spans: list[dict] | None, least: int) -> list[tuple[int, int]]:
+    """The whole words under spans of a text's symbols, where these are ``least`` or more."""
+    inner = [(-(-a // 4), b // 4) for a, b in _joined(spans)]
+    return [(a, b) for a, b in inner if b - a >= least]
+
+
+def without_words(text: bytes, spans: list[dict] | None, least: int) -> tuple[bytes, bool]:
+    """The text less the whole words under spans of its symbols, and whether any went."""
+    gone = _whole_words(spans, least)
+    if not gone:
+        return text, False
+    places = [m.span() for m in re.finditer(rb"\S+", text)]
     kept, at = [], 0
-    for start, end in spans:
-        first, last = -(-start // 4), end // 4
-        if last - first < least:
-            continue
-        places = places or [m.span() for m in re.finditer(rb"\S+", text)]
+    for first, last in gone:
         kept.append(text[at : places[first][0]])
         at = places[last - 1][1]
-    return b"".join([*kept, text[at:]]), at > 0
+    return b"".join([*kept, text[at:]]), True
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = 51, gram: int = 34) -> DataFrame:
+def repeated_word_spans(docs: DataFrame, text_col: str = "text", words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
+    """:func:`repeated_spans` over four bytes a word: runs of ``words`` or more words that occur again, in bytes of :func:`word_symbols`."""
+    return repeated_spans(docs, text_col, 4 * words, 4 * gram, encode=word_symbols)
+
+
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
     """``(id_col, carry..., touched boolean, kept binary)``: every run of ``words`` or more words that occurs again is cut from all places.
 
     Words are what white space (ASCII) parts; white space between them does not count. The sort is that of :func:`remove_repeats` over four
-    bytes a word. A string that starts inside a word tells of one whole word less and is left out by :func:`without_words`.
+    bytes a word. A string that starts inside a word tells of one whole word less and is left out.
     """
-    bounded_batches(docs.sparkSession)
-    carry = [c for c in carry or [] if c not in (id_col, text_col)]
-    base = docs.select(F.coalesce(utf8(text_col), F.lit(b"")).alias("_text"), F.col(id_col), *[F.col(c) for c in carry])
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            symbols = pa.array(map(word_symbols, batch.column(0).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, symbols], names=[*batch.schema.names, "_symbols"])
+    carry = [c for c in carry or [] if c not in (id_col, "touched", "kept")]
 
-    coded = base.mapInArrow(encode, f"{kind}, _symbols binary")
-    found = remove_repeats(coded, id_col, "_symbols", ["_text", *carry], 4 * words, 4 * gram).select("_text", "spans", id_col, *carry)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [without_words(t, [(s["start"], s["end"]) for s in spans], words) for t, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            columns = [*batch.columns[2:], pa.array([x for _, x in done], pa.bool_()), pa.array([x for x, _ in done], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[2:], "touched", "kept"])
+    def act(text: bytes, spans: list[dict] | None) -> tuple:
+        kept, touched = without_words(text, spans, words)
+        return touched, kept
 
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema[2:])
-    return found.mapInArrow(cut, f"{rest}, touched boolean, kept binary")
+    return _applied(docs, id_col, text_col, carry, repeated_word_spans(docs, text_col, words, gram), act, [("touched", "boolean", pa.bool_()), ("kept", "binary", pa.binary())])

@@ -1,8 +1,11 @@
 import itertools
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from cuelattice.llm import jaccard, registry
+from cuelattice.llm import registry, shingles, simhash, suffix
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir):
@@ -63,13 +66,41 @@ def test_near_duplicates_are_those_of_brute_force(spark, sf_dir):
     want = _components(texts)
     assert len(set(want)) < len(texts) - 80
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    for paired, piece in ((8, 2048), (4, 16)):
-        found = {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs, paired=paired, piece=piece).collect()}
+    for listed, size in ((8, 2048), (4, 16)):
+        found = {x.doc_id: x.component_id for x in simhash.near_duplicate_texts(docs, listed=listed, tree_size=size).collect()}
         assert [found[i] for i in range(len(texts))] == want
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()
     assert sorted(x.doc_id for x in kept) == sorted(set(want))
 
 
+def test_fingerprints_of_similar_sets_are_within_the_radius():
+    """Pairs of similarity 0.8 and little more, of few and of many shingles: at most one in a thousand is farther apart than the radius."""
+    rng = np.random.default_rng(11)
+    far = pairs = 0
+    for shared in [4, 8, 12, 20, 40, 80, 200]:
+        for _ in range(400):
+            own = max(0, shared // 8)
+            drawn = rng.integers(0, 1 << 63, shared + 2 * own + (own == 0), dtype=np.uint64) * np.uint64(2)
+            a, b = np.concatenate((drawn[:shared], drawn[shared : shared + max(1, own)])), np.concatenate((drawn[:shared], drawn[shared + max(1, own) :]))
+            assert shingles.similarity(np.sort(a), np.sort(b)) >= 0.8
+            pairs += 1
+            far += (shingles.set_fingerprint(a) ^ shingles.set_fingerprint(b)).bit_count() > simhash.TEXT_RADIUS
+    assert far <= pairs / 1000
+
+
+def test_one_text_repeated_very_often(spark, sf_dir):
+    """A hot text of 100,000 rows, among others, in near-duplicates, repeated passages and fingerprints."""
+    n = 100_000
+    hot = " ".join(f"hot{i}" for i in range(60))
+    many = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 != 7, F.lit(hot)).otherwise(F.concat(F.lit("cold "), F.col("id").cast("string"))).alias("text"))
+    groups = simhash.near_duplicates(many).groupBy("component_id").count().orderBy(F.desc("count")).first()
+    assert groups["count"] == n - n // 1000 and groups.component_id == 0
+    texts = simhash.near_duplicate_texts(many).groupBy("component_id").count().orderBy(F.desc("count")).first()
+    assert texts["count"] == n - n // 1000 and texts.component_id == 0
+    cut = suffix.remove_repeats(many, length=40, gram=12, words=51).agg(F.sum((F.size("spans") == 1).cast("long")).alias("cut"), F.count("*").alias("n"), F.sum("n_repeat_words").alias("words")).first()
+    assert cut.n == n and cut.cut == n - n // 1000 and cut.words == 60 * (n - n // 1000)
+
+
 def test_repeated_passages_of_more_than_fifty_words_go(spark, sf_dir):
     """Planted runs of 45 to 60 short words, at starts, ends and between; 51 are cut from both places, 50 stay."""
     r = random.Random(5)
