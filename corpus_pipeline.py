@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.llm import decontaminate, jaccard, langid, packing, suffix
+from cuelattice.llm import decontaminate, langid, packing, simhash, suffix
 from cuelattice.llm.common import durable
 from cuelattice.llm.registry import tokenizer_file
 
@@ -26,15 +26,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id stays, one of them if it is repeated.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles; op1's four bits find few of these.
+    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles; fingerprints in BK-trees propose them, shingle sets decide.
     Only where ids are missing or repeated are rows numbered, which takes a written copy of them.
     """
     seen = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     if seen["rows"] == seen["ids"]:
-        groups = jaccard.near_duplicates(docs)
+        groups = simhash.near_duplicate_texts(docs)
         return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = jaccard.near_duplicates(rows, "_row", "text")
+    groups = simhash.near_duplicate_texts(rows, "_row", "text")
     ranked = groups.join(rows.select("_row", "doc_id"), "_row")
     first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("one"))
     return rows.join(first.select("one._row"), "_row", "left_semi").select(*docs.columns)
