@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, flushed, rows_of, sorted_groups, utf8
+from .common import bounded_batches, durable, flushed, rows_of, sorted_groups, to_batch, utf8
 
 LENGTH = 400
 #: A shorter gram is shared by more contents, a longer one makes more records.
-GRAM = 112
+GRAM = 200
 #: Least repeated passage and gram where strings are told in words.
-WORDS, WORD_GRAM = 51, 15
+WORDS, WORD_GRAM = 51, 21
 #: Distinct contents of one gram that are sorted in one task.
 RECORDS = 4096
 #: Symbols that are sorted at once, unless one gram has more.
@@ -59,13 +59,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def least_grams(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Start of the least gram of the string at each position, and the hash of the gram at each position."""
+def least_grams(text: bytes, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the least gram of the string at each place, and the hash of the gram at each place; ``unit`` bytes are one place."""
     n = len(text)
     up, down = _power_tables(n)
     prefix = np.zeros(n + 1, _U)
     np.cumsum((np.frombuffer(text, np.uint8).astype(_U) + _U(1)) * up[:n], out=prefix[1:])
-    h = (prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1]
+    size = gram * unit
+    h = (prefix[size::unit] - prefix[:-size:unit]) * down[: n - size + 1 : unit]
     for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
         h ^= h >> _U(shift)
         h *= _U(factor)
@@ -80,17 +81,17 @@ def least_grams(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np
     return (np.minimum(ahead[:last], behind[width - 1 : width - 1 + last]) & low).astype(np.int64), h
 
 
-def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
-    """First string, number of strings, offset of the gram from the first, and the gram's hash, for each run."""
-    for at in range(0, max(1, len(text) - length + 1), _PIECE):
-        part = text if len(text) <= _PIECE + length else text[at : at + _PIECE + length - 1]
-        if len(part) < length:
+def runs(text: bytes, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First string, number of strings, offset of the gram from the first, and the gram's hash, for each run; whole arrays, one for each part of a very long text."""
+    size = length * unit
+    for at in range(0, max(1, len(text) - size + 1), _PIECE):
+        part = text if len(text) <= _PIECE + size else text[at : at + _PIECE + size - unit]
+        if len(part) < size:
             return
-        least, h = least_grams(part, length, gram)
+        least, h = least_grams(part, length, gram, unit)
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        sizes = np.diff(np.concatenate((first, [len(least)])))
         grams = least[first]
-        yield from zip((first + at).tolist(), sizes.tolist(), (grams - first).tolist(), h[grams].view(np.int64).tolist(), strict=True)
+        yield first + at // unit, np.diff(np.concatenate((first, [len(least)]))), grams - first, h[grams].view(np.int64)
         if part is text:
             return
 
@@ -148,33 +149,39 @@ def repeated_windows(s: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray
     return out
 
 
-def _spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def _sort_records(batches: Iterator[pa.RecordBatch], length: int, gram: int, symbols: int) -> Iterator[tuple[bytes, int, int]]:
-    """Records ``(fp, key, first, n, left, right)`` sorted by ``fp`` to repeated byte spans ``(key, start, end)``."""
-    width = length - gram + 1
-    parts: list[np.ndarray] = []
-    held: list[tuple[bytes, int, int, int]] = []
+def _sort_records(batches: Iterator[pa.RecordBatch], length: int, gram: int, symbols: int, unit: int = 1) -> Iterator[tuple[bytes, int, int]]:
+    """Records ``(fp, key, first, n, left, right)`` sorted by ``fp`` to repeated spans ``(key, start, end)``."""
+    width, kind = length - gram + 1, "<u4" if unit == 4 else np.uint8
+    blank = bytes(unit)
+    parts: list[bytes] = []
+    held: list[tuple[bytes, int, int, int, int, int]] = []
     size, group = 0, 0
 
     def sort() -> Iterator[tuple[bytes, int, int]]:
-        s = np.concatenate(parts)
-        valid = np.zeros(len(s), bool)
-        for _, _, n, at in held:
-            valid[at : at + n] = True
-        found = repeated_windows(s, valid, width)
-        for key, first, n, at in held:
-            for a, b in _spans_of(found[at : at + n]):
-                yield key, first + a, first + b - 1 + length
+        # each record is its left side, the gram as one symbol, its right side, and an end
+        text = np.frombuffer(b"".join(parts), kind)
+        kinds, s = (256, text.astype(np.int64)) if unit == 1 else (lambda u: (len(u[0]), u[1].astype(np.int64)))(np.unique(text, return_inverse=True))
+        _, _, ns, starts, marks, groups = (np.array(c) if k else c for k, c in enumerate(zip(*held, strict=True)))
+        ends = np.append(starts[1:], len(s))
+        s += 2
+        s[marks] = kinds + 2 + groups
+        s[ends - 1] = 1
+        edges = np.zeros(len(s) + 1, np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + ns, -1)
+        found = repeated_windows(s, np.cumsum(edges[:-1]) > 0, width)
+        # a record has places after its last string, so runs of found places do not join those of the next record
+        steps = np.flatnonzero(np.diff(np.concatenate(([0], found.astype(np.int8), [0]))))
+        for a, b, k in zip(steps[::2].tolist(), steps[1::2].tolist(), (np.searchsorted(starts, steps[::2], "right") - 1).tolist(), strict=True):
+            key, first, _, at, _, _ = held[k]
+            yield key, first + a - at, first + b - at - 1 + length
 
     for _, (keys, firsts, counts, lefts, rights) in sorted_groups(batches, 1):
         for key, first, n, left, right in zip(keys, firsts, counts, lefts, rights, strict=True):
-            held.append((key, first, n, size))
-            parts.append(np.concatenate((np.frombuffer(left, np.uint8).astype(np.int32) + 2, [258 + group], np.frombuffer(right, np.uint8).astype(np.int32) + 2, [1])).astype(np.int32))
-            size += len(parts[-1])
+            mark = size + len(left) // unit
+            held.append((key, first, n, size, mark, group))
+            parts += (left, blank, right, blank)
+            size = mark + len(right) // unit + 2
         group += 1
         if size >= symbols:
             yield from sort()
@@ -211,10 +218,10 @@ def _inner(text: bytes, start: int, end: int) -> list[int]:
     return [start, end]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, records: int = RECORDS, symbols: int = SYMBOLS, encode: Callable[[bytes], bytes] | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, records: int = RECORDS, symbols: int = SYMBOLS, unit: int = 1, encode: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """``(key, spans array<struct<start,end>>, copies)``: spans of each distinct text (by its MD5) that repeated strings cover, and its rows.
 
-    With ``encode`` a text's strings are those of its encoded form, and so are the spans.
+    With ``encode`` a text's strings are those of its encoded form, of which ``unit`` bytes are one symbol (1 or 4); lengths and spans count symbols.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -225,17 +232,27 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("key", pa.binary()), ("first", pa.int32()), ("n", pa.int32()), ("offset", pa.int32()), ("fp", pa.int64()), ("content", pa.int64())])
 
-        def each() -> Iterator[tuple]:
-            for (text,) in rows_of(batches):
-                coded = encode(text)
-                if len(coded) < length:
-                    continue
-                key = _key(text)
-                for first, n, offset, fp in runs(coded, length, gram):
-                    h = xxhash.xxh3_64_intdigest(coded[first : first + n - 1 + length], offset)
-                    yield key, first, n, offset, fp, h - (1 << 63)
-
-        return flushed(out, each())
+        keys, contents, columns = [], [], []
+
+        def done() -> pa.RecordBatch:
+            first, n, offset, fp = (np.concatenate(c) for c in zip(*columns, strict=True))
+            made = to_batch(out, [keys, first.astype(np.int32), n.astype(np.int32), offset.astype(np.int32), fp, np.array(contents, np.uint64).view(np.int64)])
+            keys.clear(), contents.clear(), columns.clear()
+            return made
+
+        for (text,) in rows_of(batches):
+            coded = encode(text)
+            key = _key(text)
+            for found in runs(coded, length, gram, unit) if len(coded) >= length * unit else ():
+                first, n, offset, _ = found
+                digest = xxhash.xxh3_64_intdigest
+                contents += [digest(coded[a:b], k) for a, b, k in zip((first * unit).tolist(), ((first + n - 1 + length) * unit).tolist(), offset.tolist(), strict=True)]
+                keys += [key] * len(first)
+                columns.append(found)
+                if len(keys) >= 20_000:
+                    yield done()
+        if keys:
+            yield done()
 
     found = durable(texts.mapInArrow(cut, "key binary, first int, n int, offset int, fp long, content long"))
     by_content = found.groupBy("fp", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "first", "n", "offset")).alias("one"))
@@ -263,11 +280,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     single = texts.mapInArrow(named, "key binary, t binary").groupBy("key").agg(F.first("t").alias("t"))
     held = single.join(wanted, "key").select("key", "t", F.inline("records"))
     gram_end = F.col("first") + F.col("offset") + gram
-    both = held.select("fp", "contents", "key", "first", "n", "offset", F.expr("substring(t, first + 1, offset)").alias("left"), F.substring(F.col("t"), gram_end + 1, F.col("n") - 1 + length - F.col("offset") - gram).alias("right"))
+    both = held.select("fp", "contents", "key", "first", "n", "offset", F.expr(f"substring(t, first * {unit} + 1, offset * {unit})").alias("left"), F.substring(F.col("t"), gram_end * unit + 1, (F.col("n") - 1 + length - F.col("offset") - gram) * unit).alias("right"))
     sides = durable(both)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return flushed(pa.schema([("key", pa.binary()), ("start", pa.int32()), ("end", pa.int32())]), _sort_records(batches, length, gram, symbols))
+        return flushed(pa.schema([("key", pa.binary()), ("start", pa.int32()), ("end", pa.int32())]), _sort_records(batches, length, gram, symbols, unit))
 
     few = sides.where(F.col("contents") <= records).select("fp", "key", "first", "n", "left", "right")
     spans = spans.unionByName(few.repartition("fp").sortWithinPartitions("fp").mapInArrow(search, "key binary, start int, end int"))
@@ -279,7 +296,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             for fp, key, first, n, offset, left, right in rows_of(batches):
                 for i in range(n):
                     own = offset - i
-                    yield fp, own, xxhash.xxh3_128_digest(left[i:] + right[: width - 1 - own]), key, first + i
+                    yield fp, own, xxhash.xxh3_128_digest(left[i * unit :] + right[: (width - 1 - own) * unit]), key, first + i
 
         return flushed(out, each())
 
@@ -380,7 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             joined = [s for s in (_inner(text, *s) for s in joined) if s[0] < s[1]]
         kept = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in joined)], [*(a for a, _ in joined), len(text)], strict=True)) if joined else text
         out = len(text), [{"start": a, "end": b} for a, b in joined], kept
-        return (*out, sum(b - a for a, b in _whole_words(of_words, words))) if words else out
+        return (*out, sum(b - a for a, b in _joined(of_words))) if words else out
 
     return _applied(docs, id_col, text_col, carry, covered, act, fields)
 
@@ -390,15 +407,9 @@ def word_symbols(text: bytes | None) -> bytes:
     return np.fromiter(map(xxhash.xxh32_intdigest, (text or b"").split()), "<u4").tobytes()
 
 
-def _whole_words(spans: list[dict] | None, least: int) -> list[tuple[int, int]]:
-    """The whole words under spans of a text's symbols, where these are ``least`` or more."""
-    inner = [(-(-a // 4), b // 4) for a, b in _joined(spans)]
-    return [(a, b) for a, b in inner if b - a >= least]
-
-
-def without_words(text: bytes, spans: list[dict] | None, least: int) -> tuple[bytes, bool]:
-    """The text less the whole words under spans of its symbols, and whether any went."""
-    gone = _whole_words(spans, least)
+def without_words(text: bytes, spans: list[dict] | None) -> tuple[bytes, bool]:
+    """The text less the words under spans of its words, and whether any went."""
+    gone = _joined(spans)
     if not gone:
         return text, False
     places = [m.span() for m in re.finditer(rb"\S+", text)]
@@ -410,20 +421,20 @@ def without_words(text: bytes, spans: list[dict] | None, least: int) -> tuple[by
 
 
 def repeated_word_spans(docs: DataFrame, text_col: str = "text", words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
-    """:func:`repeated_spans` over four bytes a word: runs of ``words`` or more words that occur again, in bytes of :func:`word_symbols`."""
-    return repeated_spans(docs, text_col, 4 * words, 4 * gram, encode=word_symbols)
+    """:func:`repeated_spans` with words as symbols: runs of ``words`` or more words that occur again."""
+    return repeated_spans(docs, text_col, words, gram, unit=4, encode=word_symbols)
 
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
     """``(id_col, carry..., touched boolean, kept binary)``: every run of ``words`` or more words that occurs again is cut from all places.
 
-    Words are what white space (ASCII) parts; white space between them does not count. The sort is that of :func:`remove_repeats` over four
-    bytes a word. A string that starts inside a word tells of one whole word less and is left out.
+    Words are what white space (ASCII) parts; white space between them does not count. The sort is that of :func:`remove_repeats` with
+    words as symbols.
     """
     carry = [c for c in carry or [] if c not in (id_col, "touched", "kept")]
 
     def act(text: bytes, spans: list[dict] | None) -> tuple:
-        kept, touched = without_words(text, spans, words)
+        kept, touched = without_words(text, spans)
         return touched, kept
 
     return _applied(docs, id_col, text_col, carry, repeated_word_spans(docs, text_col, words, gram), act, [("touched", "boolean", pa.bool_()), ("kept", "binary", pa.binary())])
