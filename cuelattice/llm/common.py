@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,20 +38,36 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables that :func:`durable` wrote; results that still read them must be stored before."""
-    while _written:
+def release(since: int = 0, keep: Sequence[str] = ()) -> None:
+    """Delete the tables that :func:`durable` wrote after the first ``since``; results that still read them must be stored before."""
+    kept = [entry for entry in _written[since:] if entry[1] in keep]
+    while len(_written) > since:
         spark, path = _written.pop()
         jvm = spark.sparkContext._jvm
-        if jvm is None or spark.sparkContext._jsc is None:
+        if path in keep or jvm is None or spark.sparkContext._jsc is None:
             continue
         hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
         hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    _written.extend(kept)
 
 
-def _release_at_exit() -> None:
-    import contextlib
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Yields a ``durable`` whose tables stay; all others written inside the block are deleted at its end."""
+    since, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = durable(df)
+        kept.append(_written[-1][1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        release(since, kept)
 
+
+def _release_at_exit() -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone already
         release()
 

@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, flushed, rows_of, sorted_groups, to_batch, utf8
+from .common import bounded_batches, durable, flushed, rows_of, scratch, sorted_groups, to_batch, utf8
 
 LENGTH = 400
 #: A shorter gram is shared by more contents, a longer one makes more records.
-GRAM = 200
+GRAM = 160
 #: Least repeated passage and gram where strings are told in words.
-WORDS, WORD_GRAM = 51, 21
+WORDS, WORD_GRAM = 51, 12
 #: Distinct contents of one gram that are sorted in one task.
 RECORDS = 4096
 #: Symbols that are sorted at once, unless one gram has more.
@@ -223,10 +223,14 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     With ``encode`` a text's strings are those of its encoded form, of which ``unit`` bytes are one symbol (1 or 4); lengths and spans count symbols.
     """
+    with scratch() as keep:
+        return _spans(keep, docs, text_col, length, gram, records, symbols, unit, encode or (lambda t: t))
+
+
+def _spans(keep: Callable, docs: DataFrame, text_col: str, length: int, gram: int, records: int, symbols: int, unit: int, encode: Callable[[bytes], bytes]) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     width = length - gram + 1
-    encode = encode or (lambda t: t)
     texts = docs.select(utf8(text_col).alias("t")).where("t is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +311,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     covered = spans.unionByName(hot).distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     # every row that is long enough has one run that starts at zero
     rows = found.where("first = 0").groupBy("key").agg(F.count("*").alias("copies"))
-    return covered.join(rows, "key")
+    return keep(covered.join(rows, "key"))
 
 
 def _joined(spans: list[dict] | None) -> list[list[int]]:
@@ -328,7 +332,6 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, carry: list[str], cove
     all tasks, and their rows are spread over salts.
     """
     spark = docs.sparkSession
-    covered = durable(covered)
     bits = spark.sparkContext.broadcast(_filter(covered))
     total = covered.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     often = frozenset(bytes(r.key) for r in covered.where(F.col("copies") > max(_SALTS, total // 10_000)).select("key").collect())
@@ -388,7 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = [("n_bytes", "long", pa.int64()), ("spans", "array<struct<start:int,end:int>>", span_list), ("kept", "binary", pa.binary())]
     if words:
         by_word = repeated_word_spans(docs, text_col, words).select("key", F.col("spans").alias("word_spans"), F.col("copies").alias("_copies"))
-        covered = covered.join(by_word, "key", "full").select("key", "spans", "word_spans", F.coalesce("copies", "_copies").alias("copies"))
+        covered = durable(covered.join(by_word, "key", "full").select("key", "spans", "word_spans", F.coalesce("copies", "_copies").alias("copies")))
         fields.append(("n_repeat_words", "long", pa.int64()))
 
     def act(text: bytes, spans: list[dict] | None, of_words: list[dict] | None = None) -> tuple:
