@@ -1,10 +1,12 @@
 """Quality rules: word and line statistics of whole texts, and robust multivariate outliers, in DataFrame functions alone.
 
-For each language and source the minimum covariance determinant is approached by concentration steps: from distances to
-coordinate-wise medians, the closest ``share`` of rows is kept, mean and covariance are taken from it, distances are taken
-anew, and so on. A row is rejected when its Mahalanobis distance, made consistent at the median, exceeds ``cutoff``. Groups
-with too few rows are pooled by language, then altogether. Statistics are scaled to whole numbers, so that sums are exact,
-quantiles have bounded state, and the verdict does not depend on how rows are dealt out.
+For each language and source the minimum covariance determinant is sought by concentration steps from several deterministic starts (after
+DetMCD, Hubert et al. 2012): medians with deviations, and with the correlations of hyperbolic tangents and of spatial signs. A step keeps
+the closest ``share`` of rows and takes mean and covariance from it. Each start makes two steps, the one of least determinant goes on until
+the determinant stands, and a last estimate is taken from all rows within the 0.975 quantile of chi-squared. A row is rejected when its
+squared Mahalanobis distance has a chi-squared chance under ``tail``. Groups with too few rows are pooled by language, then altogether.
+Statistics are scaled to whole numbers, so that sums are exact, distances are told in bounded levels, and the verdict does not depend on
+how rows are dealt out; one aggregation by level gives a step its quantile and its sums.
 
 Defined cases: a null or blank text has no words and fails the base rule; null languages and sources are groups of their
 own; without enough rows for any estimate the base rule decides alone; repeated rows and ties keep a row each; an empty
@@ -13,29 +15,42 @@ table gives an empty result; columns besides id, text, language and source are i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Share of a group's rows that the covariance is taken from, and concentration steps.
-SHARE, STEPS = 0.75, 3
+#: Share of a group's rows that the covariance is taken from; steps at most, should a determinant not stand.
+SHARE, STEPS = 0.75, 30
 #: Least rows for an estimate of its own.
 MIN_ROWS = 60
-#: Squared distance beyond which a row is rejected. Statistics of text have heavy tails: far beyond chi-squared quantiles
-#: (51 at 1 - 1e-9 with five degrees of freedom) there are still sound texts, with one repeated heading for instance.
-CUTOFF = 300.0
-#: Median of chi-squared with five degrees of freedom.
-_CHI2_MEDIAN = 4.351
+#: Chance under chi-squared below which a row is an outlier: one row in a thousand million.
+TAIL = 1e-9
+#: Median and 0.975 quantile of chi-squared with five degrees of freedom.
+_CHI2_MEDIAN, _CHI2_NEAR = 4.351, 12.833
 _SCALE = 1000
-#: Added to variances (in scaled units), so that a statistic that is the same for all rows does not make the matrix singular.
+#: Added to variances (in scaled units): less than a fifth of a unit is no deviation, and a statistic that is the same for all rows does not
+#: make the matrix singular.
 _RIDGE = 200.0**2
 _P = 5
 _SALTS = 64
+_LEVELS = 100
+_PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
+
+
+def chi_squared_limit(tail: float) -> float:
+    """Where chi-squared with five degrees of freedom leaves ``tail`` above."""
+    above = lambda x: math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if above(mid) > tail else (low, mid)
+    return high
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,7 +62,7 @@ def _repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more."""
 
     def covered(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def twice(s: Column) -> Column:
             same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
@@ -66,7 +81,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     Three-word windows are compared by 64-bit hashes within one text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), F.lit(0))
+    words = F.array_remove(F.split(text, r"[ \t-\r]"), "")
     lines = F.filter(F.split(text, F.lit("\n")), lambda x: x.rlike(r"[^ \t-\r]"))
     by_word = _let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeat_words(w).alias("repeat")))
     by_line = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
@@ -106,15 +121,22 @@ def _pooled(rows: DataFrame, min_rows: int) -> DataFrame:
     return _with_group(named, picked, "_one", "left").drop("_one", "_rest")
 
 
-def _cholesky(moments: DataFrame) -> DataFrame:
-    """Mean ``m0..`` and the lower triangle ``l00..`` of each group's covariance."""
+def _factor(shapes: DataFrame) -> DataFrame:
+    """``(grp, start, m.., c..)`` to mean, lower triangle ``l00..`` of the covariance's Cholesky factor, and ``logdet``."""
+    out = shapes
+    for i, j in _PAIRS:
+        rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}"))
+    logdet = 2 * sum((F.log(f"l{i}{i}") for i in range(_P)), F.lit(0.0))
+    return out.select("grp", "start", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS], logdet.alias("logdet"))
+
+
+def _from_sums(sums: DataFrame) -> DataFrame:
+    """Mean and covariance of ``(grp, start, n, s.., s..)``."""
     n = F.col("n").cast("double")
-    out = moments.select("grp", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(_P)], *[(F.col(f"s{i}{j}").cast("double") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n) + (_RIDGE if i == j else 0.0)).alias(f"c{i}{j}") for i in range(_P) for j in range(i + 1)])
-    for i in range(_P):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i in range(_P) for j in range(i + 1)])
+    mean = [(F.col(f"s{i}").cast("double") / n).alias(f"m{i}") for i in range(_P)]
+    spread = [(F.col(f"s{i}{j}").cast("double") / n - (F.col(f"s{i}").cast("double") / n) * (F.col(f"s{j}").cast("double") / n) + (_RIDGE if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return _factor(sums.select("grp", "start", *mean, *spread))
 
 
 def _distance() -> Column:
@@ -136,34 +158,80 @@ def _distance() -> Column:
 
 
 def _level(d2: Column) -> Column:
-    """Distances in steps of a thousandth of their logarithm: few enough values for exact quantiles in bounded state."""
-    return F.floor(1000 * F.log1p(d2)).cast("long")
+    """Distances in steps of a hundredth of their logarithm: few enough values to aggregate by."""
+    return F.floor(_LEVELS * F.log1p(d2)).cast("long")
+
+
+def _cells(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows and sums by group, start and level of distance, with ``upto``, the rows up to and with the level, and ``total``."""
+    placed = _with_group(rows, now, "grp").select("grp", "start", *[f"x{i}" for i in range(_P)], _level(_distance()).alias("level"))
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)] + [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"s{i}{j}") for i, j in _PAIRS]
+    every = Window.partitionBy("grp", "start")
+    cells = placed.groupBy("grp", "start", "level").agg(F.count("*").alias("n"), *sums)
+    return cells.withColumn("upto", F.sum("n").over(every.orderBy("level"))).withColumn("total", F.sum("n").over(every))
+
+
+def _summed(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(_P)), *(f"s{i}{j}" for i, j in _PAIRS))])
+
+
+def _scale(cells: DataFrame) -> DataFrame:
+    """``(grp, start, scale)``: the median distance over chi-squared's. Never below one: where statistics are tied, the median says nothing."""
+    middle = cells.where(2 * F.col("upto") >= F.col("total")).groupBy("grp", "start").agg(F.min("level").alias("level"))
+    return middle.select("grp", "start", F.greatest(F.expm1(F.col("level") / _LEVELS) / _CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates for each group: medians, with deviations alone and with two robust correlations."""
+    middle = rows.groupBy("grp").agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(_P)])
+    spread = _with_group(rows, middle, "grp").groupBy("grp").agg(*[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"d{i}") for i in range(_P)])
+    scales = [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(_RIDGE**0.5)).alias(f"d{i}") for i in range(_P)]
+    base = durable(middle.join(spread, "grp").select("grp", *[f"m{i}" for i in range(_P)], *scales))
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(_P)]
+    length = F.sqrt(F.greatest(sum((v * v for v in z), F.lit(0.0)), F.lit(1e-6)))
+    made = _with_group(rows, base, "grp").select("grp", *[F.round(_SCALE * F.tanh(v)).cast("long").alias(f"t{i}") for i, v in enumerate(z)], *[F.round(_SCALE * v / length).cast("long").alias(f"u{i}") for i, v in enumerate(z)])
+    products = made.groupBy("grp").agg(*[F.sum(F.col(f"{k}{i}") * F.col(f"{k}{j}")).cast("double").alias(f"{k}{i}{j}") for k in "tu" for i, j in _PAIRS])
+    both = base.join(products, "grp")
+
+    def shape(start: int, k: str | None) -> DataFrame:
+        def entry(i: int, j: int) -> Column:
+            if i == j:
+                return F.col(f"d{i}") * F.col(f"d{i}")
+            if k is None:
+                return F.lit(0.0)
+            return F.col(f"d{i}") * F.col(f"d{j}") * F.col(f"{k}{i}{j}") / F.sqrt(F.greatest(F.col(f"{k}{i}{i}"), F.lit(1.0)) * F.greatest(F.col(f"{k}{j}{j}"), F.lit(1.0)))
+
+        return both.select("grp", F.lit(start).alias("start"), *[f"m{i}" for i in range(_P)], *[entry(i, j).alias(f"c{i}{j}") for i, j in _PAIRS])
+
+    return _factor(shape(0, None).unionByName(shape(1, "t")).unionByName(shape(2, "u")))
 
 
 def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """``rows(id, grp, x0..)`` to each group's mean, Cholesky factor and ``scale``, which makes the median distance consistent."""
     rows = rows.where("grp is not null")
-    middle = rows.groupBy("grp").agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(_P)])
-    spread = _with_group(rows, middle, "grp").groupBy("grp").agg(*[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"l{i}{i}") for i in range(_P)])
-    diagonal = middle.join(spread, "grp").select("grp", *[f"m{i}" for i in range(_P)], *[(F.greatest(1.4826 * F.col(f"l{i}{i}"), F.lit(_RIDGE**0.5)) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(_P) for j in range(i + 1)])
-    now = durable(diagonal)
+    step = lambda now: durable(_from_sums(_summed(_cells(rows, now).where(F.col("upto") - F.col("n") < F.ceil(share * F.col("total"))))))
+    now = step(step(durable(_starts(rows))))
+    best = Window.partitionBy("grp").orderBy("logdet", "start")
+    now = durable(now.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r"))
     for _ in range(steps):
-        placed = _with_group(rows, now, "grp").select("id", "grp", *[f"x{i}" for i in range(_P)], _level(_distance()).alias("level"))
-        limit = placed.groupBy("grp").agg(F.percentile("level", F.lit(share)).alias("limit"))
-        near = _with_group(placed, limit, "grp").where(F.col("level") <= F.col("limit"))
-        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)] + [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"s{i}{j}") for i in range(_P) for j in range(i + 1)]
-        now = durable(_cholesky(near.groupBy("grp").agg(F.count("*").alias("n"), *sums)))
-    level = _with_group(rows, now, "grp").select("grp", _level(_distance()).alias("level"))
-    scale = level.groupBy("grp").agg((F.greatest(F.expm1(F.percentile("level", F.lit(0.5)) / 1000), F.lit(0.1)) / _CHI2_MEDIAN).alias("scale"))
-    return durable(now.join(scale, "grp"))
-
-
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
+        after = step(now)
+        change = after.join(now.select("grp", F.col("logdet").alias("before")), "grp").agg(F.max(F.abs(F.col("before") - F.col("logdet")))).first()[0]
+        now = after
+        if change is None or change < 1e-9:
+            break
+    cells = durable(_cells(rows, now))
+    near = cells.join(_scale(cells), ["grp", "start"]).where(F.expm1(F.col("level") / _LEVELS) <= _CHI2_NEAR * F.col("scale"))
+    last = durable(_from_sums(_summed(near)))
+    return durable(last.join(_scale(_cells(rows, last)), ["grp", "start"]).drop("start", "logdet"))
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
     """``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept)`` for each row."""
     read = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     counted = durable(statistics(read, "text", ("id", "lang", "source")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = _pooled(counted.withColumns(_features()).withColumn("base_failed", failed).withColumn("fit", ~F.col("base_failed")), min_rows)
+    rows = durable(_pooled(counted.withColumns(_features()).withColumn("base_failed", failed).withColumn("fit", ~F.col("base_failed")), min_rows))
     fitted = estimates(rows.where("fit").select("id", "grp", *[f"x{i}" for i in range(_P)]), share, steps)
     judged = _with_group(rows, fitted, "grp", "left").withColumn("distance", F.when(F.col("scale").isNotNull() & ~F.col("base_failed"), _distance() / F.col("scale")))
-    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
+    near = F.coalesce(F.col("distance") <= chi_squared_limit(tail), F.lit(True))
+    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & near).alias("kept"))

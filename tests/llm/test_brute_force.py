@@ -164,21 +164,85 @@ def test_op6_statistics(spark, sf_dir, docs):
         assert got[i].base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (got[i].kept and got[i].base_failed)
 
 
-def test_op6_estimates_match_concentration_steps_in_numpy(spark):
+def plain_mcd(x):
+    """Minimum covariance determinant of whole-number rows in numpy: center, covariance and scale."""
+    ridge, p = quality._RIDGE * np.eye(5), 5
+    level = lambda m, c: np.floor(100 * np.log1p(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)))
+    moments = lambda rows: (rows.mean(0), np.cov(rows.T, bias=True) + ridge)
+
+    def scale(m, c):
+        own = np.sort(level(m, c))
+        return max(math.expm1(own[math.ceil(len(x) / 2) - 1] / 100) / 4.351, 1.0)
+
+    def step(m, c):
+        own = level(m, c)
+        return moments(x[own <= np.sort(own)[math.ceil(quality.SHARE * len(x)) - 1]])
+
+    m = np.median(x, 0)
+    d = np.maximum(1.4826 * np.median(np.abs(x - m), 0), quality._RIDGE**0.5)
+    z = (x - m) / d
+    starts = [np.diag(d * d)]
+    for t in (np.round(1000 * np.tanh(z)), np.round(1000 * z / np.sqrt(np.maximum((z * z).sum(1), 1e-6))[:, None])):
+        product = t.T @ t
+        size = np.sqrt(np.maximum(np.diag(product), 1))
+        shape = product / np.outer(size, size) * np.outer(d, d)
+        np.fill_diagonal(shape, d * d)
+        starts.append(shape)
+    now = min((step(*step(m, c)) for c in starts), key=lambda e: round(np.linalg.slogdet(e[1])[1], 9))
+    while True:
+        after = step(*now)
+        done, now = abs(np.linalg.slogdet(after[1])[1] - np.linalg.slogdet(now[1])[1]) < 1e-9, after
+        if done:
+            break
+    last = moments(x[np.expm1(level(*now) / 100) <= 12.833 * scale(*now)])
+    assert p == len(m)
+    return (*last, scale(*last))
+
+
+def test_op6_estimates_are_those_of_numpy(spark):
+    """Two groups with a far cluster each; rows with ties."""
     rng = np.random.default_rng(3)
-    x = np.round(np.vstack([rng.normal(0, 300, (400, 5)) @ np.triu(rng.normal(1, 0.3, (5, 5))), rng.normal(9000, 50, (40, 5))])).astype(int)
-    rows = spark.createDataFrame([(k, "g", *map(int, r)) for k, r in enumerate(x)], "id long, grp string, " + ", ".join(f"x{i} long" for i in range(5)))
-    est = quality.estimates(rows).first()
-    ridge = quality._RIDGE
-    mean = np.median(x, 0)
-    cov = np.diag(np.maximum(1.4826 * np.median(np.abs(x - mean), 0), ridge**0.5) ** 2)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        level = np.floor(1000 * np.log1p(d))
-        near = x[level <= np.percentile(level, 100 * quality.SHARE)]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True) + ridge * np.eye(5)
-    got = np.array([[est[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
-    assert np.allclose([est[f"m{i}"] for i in range(5)], mean) and np.allclose(got @ got.T, cov)
+    x = {g: np.round(np.vstack([rng.normal(0, 300, (400, 5)) @ np.triu(rng.normal(1, 0.3, (5, 5))), rng.normal(at, 50, (40, 5)), np.zeros((30, 5))])).astype(int) for g, at in (("a", 9000), ("b", -4000))}
+    rows = spark.createDataFrame([(k, g, *map(int, r)) for g in x for k, r in enumerate(x[g])], "id long, grp string, " + ", ".join(f"x{i} long" for i in range(5)))
+    for est in quality.estimates(rows).collect():
+        mean, cov, scale = plain_mcd(x[est.grp])
+        got = np.array([[est[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert np.allclose([est[f"m{i}"] for i in range(5)], mean) and np.allclose(got @ got.T, cov) and est.scale == pytest.approx(scale)
+
+
+def test_op6_kept_is_that_of_numpy(spark, sf_dir):
+    """Every document of sf0.01: pooled groups, transformed statistics, estimates and verdict in numpy."""
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    got = {r.doc_id: r for r in registry.op6_quality_rules(spark, big).collect()}
+    docs = spark.read.parquet(f"{big}/documents.parquet").collect()
+    fit, group = {}, {}
+    for r in docs:
+        n, chars, symbols, dup, repeat = plain_statistics(r.text)
+        lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (r.text or "").split("\n")))
+        if n >= 50 and 100 * repeat <= 50 * n:
+            raw = [math.log1p(n), math.log(max(chars, 1) / n) * 4, math.log1p(100 * symbols / n), math.sqrt(dup / lines) * 2, math.sqrt(repeat / n) * 2]
+            fit[r.doc_id] = np.array([math.floor(1000 * v + 0.5) for v in raw])
+            group[r.doc_id] = (r.lang, r.source)
+    sizes = Counter(group.values())
+    rest = Counter()
+    for (lang, _), n in sizes.items():
+        rest[lang] += n if n < quality.MIN_ROWS else 0
+    none = sum(n for (lang, _), n in sizes.items() if n < quality.MIN_ROWS and rest[lang] < quality.MIN_ROWS)
+    name = {i: g if sizes[g] >= quality.MIN_ROWS else g[0] if rest[g[0]] >= quality.MIN_ROWS else "all" if none >= quality.MIN_ROWS else None for i, g in group.items()}
+    limit = quality.chi_squared_limit(quality.TAIL)
+    assert limit == pytest.approx(50.692, abs=0.001)
+    want = {}
+    for g in set(name.values()):
+        ids = [i for i in fit if name[i] == g]
+        if g is None:
+            want |= dict.fromkeys(ids, True)
+            continue
+        x = np.array([fit[i] for i in ids])
+        mean, cov, scale = plain_mcd(x)
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean) / scale
+        want |= dict(zip(ids, (d2 <= limit).tolist(), strict=True))
+    assert {i: r.kept for i, r in got.items()} == {r.doc_id: want.get(r.doc_id, False) for r in docs}
+    assert 0.9 < sum(want.values()) / len(want) < 1
 
 
 def test_suffix_array_is_the_sorted_order():
