@@ -25,8 +25,8 @@ from .common import durable
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Share of a group's rows that the covariance is taken from; steps at most, should a determinant not stand.
-SHARE, STEPS = 0.75, 30
+#: Share of a group's rows that the covariance is taken from; steps at most, should a determinant not stand; change of its logarithm that counts as none.
+SHARE, STEPS, SETTLED = 0.75, 30, 0.01
 #: Least rows for an estimate of its own.
 MIN_ROWS = 60
 #: Chance under chi-squared below which a row is an outlier: one row in a thousand million.
@@ -206,7 +206,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     return _factor(shape(0, None).unionByName(shape(1, "t")).unionByName(shape(2, "u")))
 
 
-def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, settled: float = SETTLED) -> DataFrame:
     """``rows(id, grp, x0..)`` to each group's mean, Cholesky factor and ``scale``, which makes the median distance consistent."""
     rows = rows.where("grp is not null")
     step = lambda now: durable(_from_sums(_summed(_cells(rows, now).where(F.col("upto") - F.col("n") < F.ceil(share * F.col("total"))))))
@@ -217,7 +217,7 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
         after = step(now)
         change = after.join(now.select("grp", F.col("logdet").alias("before")), "grp").agg(F.max(F.abs(F.col("before") - F.col("logdet")))).first()[0]
         now = after
-        if change is None or change < 1e-9:
+        if change is None or change < settled:
             break
     cells = durable(_cells(rows, now))
     near = cells.join(_scale(cells), ["grp", "start"]).where(F.expm1(F.col("level") / _LEVELS) <= _CHI2_NEAR * F.col("scale"))
@@ -225,13 +225,13 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
     return durable(last.join(_scale(_cells(rows, last)), ["grp", "start"]).drop("start", "logdet"))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS, settled: float = SETTLED) -> DataFrame:
     """``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept)`` for each row."""
     read = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     counted = durable(statistics(read, "text", ("id", "lang", "source")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = durable(_pooled(counted.withColumns(_features()).withColumn("base_failed", failed).withColumn("fit", ~F.col("base_failed")), min_rows))
-    fitted = estimates(rows.where("fit").select("id", "grp", *[f"x{i}" for i in range(_P)]), share, steps)
+    fitted = estimates(rows.where("fit").select("id", "grp", *[f"x{i}" for i in range(_P)]), share, steps, settled)
     judged = _with_group(rows, fitted, "grp", "left").withColumn("distance", F.when(F.col("scale").isNotNull() & ~F.col("base_failed"), _distance() / F.col("scale")))
     near = F.coalesce(F.col("distance") <= chi_squared_limit(tail), F.lit(True))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & near).alias("kept"))
