@@ -33,8 +33,8 @@ def full_or_sampled(mode: Column, model: Column) -> Column:
 
 
 def slope_snaps(slope: Column, ratios: tuple[float, ...], within: float = 3e-4) -> Column:
-    """Whether a slope lies near that of a known rate."""
-    return F.exists(F.array(*[F.lit(1 - 1 / r) for r in ratios]), lambda s: F.abs(slope - s) <= within)
+    """Whether the ratio that undoes a slope lies within a share of a known ratio."""
+    return F.exists(F.array(*map(F.lit, ratios)), lambda r: F.abs(r * (1 - slope) - 1) <= within)
 
 
 def region_starts(duration: Column, clip: Column, count: Column) -> Column:

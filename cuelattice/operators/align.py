@@ -20,10 +20,10 @@ def match(segments: DataFrame, cues: DataFrame, before: float, after: float, p:
     c = cues.select(F.col(KEY).alias("_f"), F.col("idx").alias("c_idx"), F.col("t").alias("c_t"), F.col("toks").alias("c_toks"))
     near = s.join(c, (F.col(KEY) == F.col("_f")) & (F.col("c_t") >= F.col("s_t") - before) & (F.col("c_t") <= F.col("s_t") + after))
     scored = near.withColumn("shared", F.size(F.array_intersect("s_toks", "c_toks"))).withColumn("share", F.when(F.size("c_toks") > 0, F.col("shared") / F.size("c_toks")))
-    good = scored.where((F.col("share") >= p.anchor_overlap) & (F.col("shared") >= p.anchor_shared))
     by_segment = Window.partitionBy(KEY, "s_idx").orderBy(F.desc("share"), "c_t", "c_idx")
     by_cue = Window.partitionBy(KEY, "c_idx").orderBy("s_t", "s_idx")
-    chosen = good.withColumn("_r", F.row_number().over(by_segment)).where("_r = 1")
+    # the best cue is found first and judged after: a segment whose best cue is too weak does not fall to its second
+    chosen = scored.where("shared > 0").withColumn("_r", F.row_number().over(by_segment)).where("_r = 1").where((F.col("share") >= p.anchor_overlap) & (F.col("shared") >= p.anchor_shared))
     return chosen.withColumn("_q", F.row_number().over(by_cue)).where("_q = 1").select(KEY, "s_idx", "c_idx", "s_t", "c_t", "shared", "share")
 
 

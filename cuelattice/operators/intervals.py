@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..params import DEFAULTS, Params
+
 KEY = "file_id"
 
 
@@ -144,3 +148,59 @@ def nearest(points: DataFrame, onsets: DataFrame, reach: float) -> DataFrame:
     seen = both.withColumn("before", F.max("o").over(w)).withColumn("after", F.min("o").over(v)).where("idx is not null")
     pick = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull(), F.col("before")).when(F.col("t") - F.col("before") <= F.col("after") - F.col("t"), F.col("before")).otherwise(F.col("after"))
     return seen.withColumn("onset", pick).where(F.abs(F.col("onset") - F.col("t")) <= reach).select(KEY, "idx", "t", "onset")
+
+
+def window_shifts(cues: DataFrame, speech: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``(file_id, w, best, gain)`` of each window of cues: the shift at which they meet most speech and least silence, and what it gains.
+
+    Windows of ``witness_window`` seconds start every half of that; those with fewer than ``witness_cues`` cues are left out. Speech is dealt
+    to the windows whose search it may meet, so a long file is many groups. ``gain`` is a share of the cues' time; of equal scores the later shift wins.
+    """
+    half, pad = p.witness_window / 2, p.witness_reach + 5.0
+    place = lambda t: F.floor(t / half).cast("long")
+    lines = cues.select(KEY, "start", "end", F.explode(F.array(place(F.col("start")) - 1, place(F.col("start")))).alias("w")).where("w >= 0")
+    heard = speech.select(F.col(KEY).alias("_f"), F.col("start").alias("s0"), F.col("end").alias("s1"), F.explode(F.sequence(place(F.col("start") - p.witness_window - pad) - 1, place(F.col("end") + pad) + 1)).alias("_w")).where("_w >= 0")
+
+    def run(own: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        if len(own) < p.witness_cues:
+            return pd.DataFrame(columns=[KEY, "w", "best", "gain"])
+        best, gain = _best_shift(own[["start", "end"]].to_numpy(float), said[["s0", "s1"]].to_numpy(float), int(own["w"].iloc[0]) * half - pad, p)
+        return pd.DataFrame([(own[KEY].iloc[0], own["w"].iloc[0], best, gain)], columns=[KEY, "w", "best", "gain"])
+
+    kind = cues.schema[KEY].dataType.simpleString()
+    return lines.groupBy(KEY, "w").cogroup(heard.groupBy("_f", "_w")).applyInPandas(run, f"{KEY} {kind}, w long, best double, gain double")
+
+
+def _best_shift(cues: np.ndarray, speech: np.ndarray, t0: float, p: Params) -> tuple[float, float]:
+    n = int((p.witness_window + 2 * p.witness_reach + 10.0) / p.witness_step)
+    slot = lambda t: np.clip(((t - t0) / p.witness_step).astype(int), 0, n)
+    edges = np.zeros(n + 1, int)
+    np.add.at(edges, slot(speech[:, 0]), 1)
+    np.add.at(edges, np.maximum(slot(speech[:, 1]), slot(speech[:, 0])), -1)
+    said = np.concatenate(([0], np.cumsum(np.where(np.cumsum(edges[:-1]) > 0, 1, -1))))
+    cues = cues[np.argsort(cues[:, 0], kind="stable")]
+
+    def score(shift: float) -> int:
+        lo, hi = slot(cues[:, 0] + shift), slot(cues[:, 1] + shift)
+        ended = np.concatenate(([0], np.maximum.accumulate(hi)[:-1]))
+        lo = np.maximum(lo, ended)
+        return int((said[np.maximum(hi, lo)] - said[lo]).sum())
+
+    shifts = np.arange(-int(2 * p.witness_reach), int(2 * p.witness_reach) + 1) * 0.5
+    scores = [score(s) for s in shifts]
+    most, best = max(zip(scores, shifts.tolist(), strict=True))
+    return best, (most - score(0.0)) / max((cues[:, 1] - cues[:, 0]).sum() / p.witness_step, 1.0)
+
+
+def block_witness(cues: DataFrame, speech: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``(file_id, witness)``: whether speech alone hints at a moved block.
+
+    Two windows in a row agree on a shift of two seconds or more that gains a quarter and is not at the edge of the search, or one window gains
+    0.3 at ten seconds or less.
+    """
+    w = Window.partitionBy(KEY).orderBy("w")
+    hits = window_shifts(cues, speech, p).withColumn("s", F.when((F.abs("best") >= 2.0) & (F.col("gain") >= 0.25), F.col("best")))
+    pair = (F.abs(F.col("s") - F.lead("s").over(w)) <= 1.0) & (F.abs("s") <= p.witness_reach - 5.0) & (F.lead("w").over(w) - F.col("w") == 1)
+    lone = (F.abs("s") <= 10.0) & (F.col("gain") >= 0.3)
+    found = hits.select(KEY, F.coalesce(pair | lone, pair, lone, F.lit(False)).alias("hit")).groupBy(KEY).agg(F.bool_or("hit").alias("witness"))
+    return cues.select(KEY).distinct().join(found, KEY, "left").select(KEY, F.coalesce("witness", F.lit(False)).alias("witness"))

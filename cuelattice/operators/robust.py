@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import DEFAULTS, RATE_RATIOS, Params
+from ..functions.transcript import slope_snaps
+from ..params import DEFAULTS, RATE_NAMES, RATE_RATIOS, Params
 
 KEY = "file_id"
 
@@ -69,8 +69,8 @@ def _ranks(x: np.ndarray) -> np.ndarray:
     return (np.cumsum(count) - (count - 1) / 2)[place]
 
 
-def fit(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple[float, float, int] | None:
-    """Line by median pairwise slope and median intercept, refitted to points within ``fit_resid`` of it; each round trims the whole series anew.
+def trimmed_line(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple[float, float, np.ndarray] | None:
+    """Line by median pairwise slope and median intercept, and the points within ``fit_resid`` of it; each round trims the whole series anew.
 
     None where a round keeps fewer than ``fit_floor`` points or all its points share a time.
     """
@@ -82,20 +82,36 @@ def fit(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple[float, floa
         slope = _slope(a[kept], c[kept])
         intercept = float(np.median(c[kept] - slope * a[kept]))
         kept = np.abs(c - slope * a - intercept) <= p.fit_resid
-    return (slope, intercept, int(kept.sum())) if kept.sum() >= p.fit_floor else None
+    return (slope, intercept, kept) if kept.sum() >= p.fit_floor else None
+
+
+def fit(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple[float, float, int] | None:
+    """:func:`trimmed_line` with the number of points that it keeps."""
+    line = trimmed_line(a, c, p)
+    return line and (line[0], line[1], int(line[2].sum()))
+
+
+def _mad(x: np.ndarray) -> float:
+    return float(np.median(np.abs(x - np.median(x))))
+
+
+def _rho(a: np.ndarray, c: np.ndarray) -> float | None:
+    ra, rc = _ranks(a), _ranks(c)
+    return float(np.corrcoef(ra, rc)[0, 1]) if len(a) > 3 and np.ptp(ra) and np.ptp(rc) else None
 
 
 def probe(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple | None:
-    """One series' fit and what it gains."""
-    if (line := fit(a, c, p)) is None:
+    """One series' line and what it gains. Tilt, rank correlation, gain and residual are those of the points it keeps, the share kept is of all."""
+    if (line := trimmed_line(a, c, p)) is None:
         return None
-    slope, intercept, n_kept = line
-    mad = lambda x: float(np.median(np.abs(x - np.median(x))))
-    left = c - slope * a - intercept
-    ra, rc = _ranks(a), _ranks(c)
-    rho = float(np.corrcoef(ra, rc)[0, 1]) if np.ptp(ra) and np.ptp(rc) else None
-    span = float(np.ptp(a))
-    return slope, intercept, slope * span, rho, mad(c) - mad(left), float(np.median(np.abs(left))), float((np.abs(left) <= p.fit_keep).mean()), n_kept, len(a), span
+    slope, intercept, kept = line
+    x, y = a[kept], c[kept]
+    span = float(np.ptp(x))
+    if len(x) < 4 or span <= 0:
+        return None
+    after = _mad(y - slope * x)
+    share = float((np.abs(c - slope * a - intercept) <= p.fit_keep).mean())
+    return slope, intercept, slope * span, _rho(x, y), _mad(y) - after, after, share, len(x), len(a), span
 
 
 def _fitted(points: DataFrame, f: Callable[[np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
@@ -124,28 +140,56 @@ def stretch_ratio(slope: Column) -> Column:
     return 1 / (1 - slope)
 
 
-# Tiers of the gate that a rate must pass, strictest first: points, tilt, rank correlation, share kept, gain, residual.
-RATE_TIERS = ((40, 1.0, 0.90, 0.90, 0.25, 0.5), (60, 0.7, 0.80, 0.85, 0.20, 0.6), (100, 0.5, 0.75, 0.80, 0.15, 0.7), (200, 0.4, 0.60, 0.80, 0.10, 0.8))
+# Tiers of the gate that a rate must pass: level, points kept, tilt, rank correlation, share kept, gain, residual, and whether
+# its ratio must be a known one.
+RATE_TIERS = (
+    (2, 40, 1.5, 0.70, 0.85, 0.15, 0.40, False),
+    (2, 40, 3.0, 0.85, 0.85, 0.50, 0.65, False),
+    (2, 40, 0.8, 0.45, 0.85, 0.05, 0.40, True),
+    (1, 40, 0.85, 0.40, 0.85, 0.07, 0.32, False),
+)
+# Tilt, offset and residual under which nothing is left to correct, loosely and tightly.
+FLAT, TIGHT = (1.0, 0.25, None), (0.5, 0.15, 0.30)
 
 
-def gates_pass(points: int, tilt: float, rho: float, keep: float, gain: float, resid: float, most_slope: float = 0.08) -> Column:
-    return (F.col("n_raw") >= points) & (F.abs("tilt") >= tilt) & (F.abs("rho") >= rho) & (F.col("keep_frac") >= keep) & (F.col("gain") >= gain) & (F.col("resid") <= resid) & (F.abs("slope") <= most_slope)
+def gates_pass(points: int, tilt: float, rho: float, keep: float, gain: float, resid: float, most_slope: float = DEFAULTS.rate_most) -> Column:
+    """Whether a probe looks like one rate over the whole file; without a rank correlation it does not."""
+    return F.coalesce((F.col("n_kept") >= points) & (F.abs("tilt") >= tilt) & (F.abs("rho") >= rho) & (F.col("keep_frac") >= keep) & (F.col("gain") >= gain) & (F.col("resid") <= resid) & (F.abs("slope") <= most_slope), F.lit(False))
 
 
-def gate_level(tiers: tuple = RATE_TIERS) -> Column:
-    """2: the strictest tier passes; 1: another does; 0: none."""
-    return F.when(gates_pass(*tiers[0]), 2).when(reduce(lambda a, b: a | b, [gates_pass(*t) for t in tiers[1:]]), 1).otherwise(0)
+def gate_level(tiers: tuple = RATE_TIERS, ratios: tuple[float, ...] = RATE_RATIOS) -> Column:
+    """2: a rate by the probe alone; 1: weak evidence, to be verified by the corrected file; 0: no rate."""
+    known = slope_snaps(F.col("slope"), ratios, DEFAULTS.rate_snap_gate)
+    passed = [F.when(gates_pass(*bars) & (known if snaps else F.lit(True)), level) for level, *bars, snaps in tiers]
+    return F.coalesce(F.greatest(*passed), F.lit(0))
 
 
-def snap_rate(points: DataFrame, fitted: DataFrame, ratios: tuple[float, ...] = RATE_RATIOS, slack: float = 0.02) -> DataFrame:
-    """The known ratio whose residual deviation is least, if it is no more than ``slack`` worse than the fitted slope's."""
-    options = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(1 - 1 / r).alias("s")) for k, r in enumerate(ratios)], F.struct(F.lit(-1).alias("k"), F.col("slope").alias("s")))
-    tried = points.join(fitted.select(KEY, "slope"), KEY).withColumn("o", F.explode(options)).select(KEY, F.col("o.k").alias("k"), (F.col("c") - F.col("o.s") * F.col("a")).alias("r"))
-    middle = tried.groupBy(KEY, "k").agg(F.median("r").alias("m"))
-    mad = tried.join(middle, [KEY, "k"]).groupBy(KEY, "k").agg(F.median(F.abs(F.col("r") - F.col("m"))).alias("mad"))
-    own = mad.where("k = -1").select(KEY, F.col("mad").alias("own"))
-    best = Window.partitionBy(KEY).orderBy("mad", "k")
-    return mad.where("k >= 0").withColumn("_r", F.row_number().over(best)).where("_r = 1").join(own, KEY).where(F.col("mad") <= F.col("own") + slack).select(KEY, "k", "mad")
+def is_flat(tight: bool = False, least: float = DEFAULTS.rate_keep) -> Column:
+    """Whether a probe leaves nothing to correct; where it is tight the residual must be small as well."""
+    tilt, offset, resid = TIGHT if tight else FLAT
+    quiet = (F.col("keep_frac") >= least) & (F.abs("tilt") < tilt) & (F.abs("intercept") < offset)
+    return F.coalesce(quiet & (F.col("resid") <= resid) if tight else quiet, F.lit(False))
+
+
+def snap_rate(points: DataFrame, fitted: DataFrame, p: Params = DEFAULTS, ratios: tuple[float, ...] = RATE_RATIOS, names: tuple[str, ...] = RATE_NAMES) -> DataFrame:
+    """``(file_id, ratio, offset, name)`` of the correction ``ratio * (t + offset)`` for each fitted file.
+
+    A known ratio near the measured one wins where it leaves no more than ``rate_snap_slack`` more deviation. Points off the line do not count,
+    unless all are. ``points(a, c)`` are times with their offsets, so ``a - c`` is the time to be corrected.
+    """
+    measured = fitted.select(KEY, stretch_ratio(F.col("slope")).alias("r0"), F.col("intercept").alias("o0"))
+    placed = points.join(measured, KEY).select(KEY, "a", (F.col("a") - F.col("c")).alias("s"), "r0", "o0")
+    near = placed.withColumn("on", F.abs(F.col("a") - F.col("r0") * (F.col("s") + F.col("o0"))) <= p.fit_keep).withColumn("any", F.bool_or("on").over(Window.partitionBy(KEY)))
+    known = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r")) for k, r in enumerate(ratios)]), lambda x: F.abs(x["r"] / F.col("r0") - 1) <= p.rate_snap)
+    tried = near.where("on or not any").withColumn("x", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("k"), F.col("r0").alias("r"))), known))).select(KEY, "a", "s", "o0", "x.k", "x.r")
+    middle = tried.groupBy(KEY, "k").agg(F.median(F.col("a") / F.col("r") - F.col("s")).alias("o"), F.first("o0").alias("o0")).select(KEY, "k", F.when(F.col("k") < 0, F.col("o0")).otherwise(F.col("o")).alias("o"))
+    left = tried.join(middle, [KEY, "k"]).groupBy(KEY, "k").agg(F.median(F.abs(F.col("a") - F.col("r") * (F.col("s") + F.col("o")))).alias("mad"), F.first("r").alias("r"), F.first("o").alias("o"))
+    own = F.max(F.when(F.col("k") < 0, F.col("mad"))).over(Window.partitionBy(KEY))
+    ranked = left.withColumn("own", own).where((F.col("k") < 0) | (F.col("mad") <= F.col("own") + p.rate_snap_slack))
+    best = Window.partitionBy(KEY).orderBy((F.col("k") < 0).cast("int"), "mad", "r")
+    percent = F.format_string("%+.2f", (F.col("r") - 1) * 100)
+    name = F.coalesce(F.get(F.array(*map(F.lit, names)), F.when(F.col("k") >= 0, F.col("k"))), F.concat(F.lit("stretch "), percent, F.lit("%")))
+    return ranked.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(KEY, F.col("r").alias("ratio"), F.col("o").alias("offset"), name.alias("name"))
 
 
 def quartile_residual(points: DataFrame, slope: float, intercept: float, bins: int = 4, least: int = 5) -> DataFrame:
@@ -156,22 +200,88 @@ def quartile_residual(points: DataFrame, slope: float, intercept: float, bins: i
     return binned.where(F.col("n") >= least).groupBy(KEY).agg(F.max("m").alias("worst"), F.count("*").alias("bins"))
 
 
-def left_out_tilts(points: DataFrame, parts: int = 8) -> DataFrame:
-    """Tilt of the series without each of ``parts`` equal stretches of points: least and greatest over the parts."""
-    w = Window.partitionBy(KEY).orderBy("a", "c")
-    numbered = points.withColumn("part", F.ntile(parts).over(w))
-    held = numbered.withColumn("out", F.explode(F.sequence(F.lit(1), F.lit(parts)))).where("part <> out")
-    keyed = held.select(F.struct(KEY, "out").alias(KEY), "a", "c")
-    tilts = theil_sen(keyed)
-    return tilts.groupBy(F.col(f"{KEY}.{KEY}").alias(KEY)).agg(F.min("tilt").alias("least"), F.max("tilt").alias("most"), F.count("*").alias("parts"))
-
-
-def bin_votes(points: DataFrame, bins: int = 16) -> DataFrame:
-    """A point for each of ``bins`` equal stretches of time: its middle and its median; files with half of them at least."""
-    ends = points.groupBy(KEY).agg(F.min("a").alias("a0"), (F.greatest(F.max("a") - F.min("a"), F.lit(1))).alias("span"))
-    own = F.least(F.lit(bins - 1), F.floor(bins * (F.col("a") - F.col("a0")) / F.col("span")))
-    votes = points.join(ends, KEY).groupBy(KEY, own.cast("long").alias("a")).agg(F.median("c").alias("c"))
-    return votes.join(votes.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") >= bins // 2), KEY).select(KEY, "a", "c")
+def _tilt(a: np.ndarray, c: np.ndarray) -> float | None:
+    """Median pairwise slope times the span; None for fewer than three points or a single time."""
+    return _slope(a, c) * float(np.ptp(a)) if len(a) > 2 and np.ptp(a) else None
+
+
+def signature(a: np.ndarray, c: np.ndarray, p: Params = DEFAULTS) -> tuple | None:
+    """Tilt of the points near the median, tilt of the medians of equal stretches of time, tilts without each of some longer stretches, rank correlation.
+
+    None where too few points are near; a tilt over too few votes or points is none.
+    """
+    near = np.abs(c - np.median(c)) <= p.signature_trim
+    if len(a) < p.signature_points or near.sum() < p.signature_points:
+        return None
+    a, c = a[near], c[near]
+    span = float(np.ptp(a))
+    binned, left_out = None, [None] * p.signature_parts
+    if span > 0:
+        place = (a - a[0]) / span
+        own = np.minimum(p.signature_bins - 1, (place * p.signature_bins).astype(int))
+        held = np.unique(own)
+        if len(held) >= p.signature_votes:
+            binned = _tilt(a[0] + (held + 0.5) / p.signature_bins * span, np.array([np.median(c[own == k]) for k in held]))
+        part = np.minimum(p.signature_parts - 1, (place * p.signature_parts).astype(int))
+        left_out = [_tilt(a[part != k], c[part != k]) if (part != k).sum() >= p.signature_points else None for k in range(p.signature_parts)]
+    return _tilt(a, c), binned, left_out, _rho(a, c), len(a)
+
+
+def drift_signature(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``(file_id, tilt, binned, left_out array, rho, n)``: three readings of a steady drift, which noise and single bad stretches do not share."""
+    return _fitted(points, lambda a, c: signature(a, c, p), "tilt double, binned double, left_out array<double>, rho double, n long")
+
+
+def signature_passes(p: Params = DEFAULTS) -> Column:
+    """The tilt, where it, the binned one and every one with a stretch left out are large and of one sign; else null."""
+    side = F.signum("tilt")
+    every = F.forall("left_out", lambda d: F.coalesce(d * side >= p.signature_left_out, F.lit(False)))
+    return F.when((F.abs("tilt") >= p.signature_tilt) & (F.col("binned") * side >= p.signature_binned) & every, F.col("tilt"))
+
+
+def onset_tilt(starts: DataFrame, onsets: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``(file_id, tilt, n)`` from ``starts(file_id, t)`` against ``onsets(file_id, t)``, both in seconds.
+
+    Each start goes to the onset nearest to it plus the running offset, which is the median of the round before, for up to three rounds;
+    what is within ``onset_trim`` of the last median gives the tilt. Too few points give none, and ``n`` tells how many there were.
+    """
+
+    def run(cues: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
+        key = cues[KEY].iloc[0] if len(cues) else heard["_f"].iloc[0]
+        return pd.DataFrame([(key, *_onset_tilt(np.sort(cues["t"].to_numpy(float)), np.sort(heard["o"].to_numpy(float)), p))], columns=[KEY, "tilt", "n"])
+
+    kind = starts.schema[KEY].dataType.simpleString()
+    return starts.select(KEY, "t").groupBy(KEY).cogroup(onsets.select(F.col(KEY).alias("_f"), F.col("t").alias("o")).groupBy("_f")).applyInPandas(run, f"{KEY} {kind}, tilt double, n long")
+
+
+def _onset_tilt(starts: np.ndarray, onsets: np.ndarray, p: Params) -> tuple[float | None, int]:
+    if not len(onsets) or not len(starts):
+        return None, 0
+
+    def met(offset: float) -> tuple[np.ndarray, np.ndarray]:
+        after = np.searchsorted(onsets, starts + offset)
+        both = np.stack([onsets[np.maximum(after - 1, 0)], onsets[np.minimum(after, len(onsets) - 1)]]) - starts
+        gap = np.abs(both - offset)
+        best = np.where(gap[1] < gap[0], both[1], both[0])
+        near = gap.min(0) <= p.onset_reach
+        return starts[near], best[near]
+
+    offset, (x, y) = 0.0, met(0.0)
+    for _ in range(3):
+        if len(x) < p.onset_points or abs(np.median(y) - offset) < 0.05:
+            break
+        offset = float(np.median(y))
+        x, y = met(offset)
+    if len(x) < p.onset_points:
+        return None, len(x)
+    near = np.abs(y - np.median(y)) <= p.onset_trim
+    x, y = x[near], y[near]
+    if len(x) < p.onset_points:
+        return None, len(x)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    near = np.abs(y - np.median(y)) <= p.onset_trim
+    return _tilt(x[near][:: p.onset_stride], y[near][:: p.onset_stride]), len(x)
 
 
 def line_through(points: DataFrame, least: int = 10) -> DataFrame:

@@ -46,6 +46,29 @@ class Params:
     swap_min: int = 5
     swap_checked: int = 10
     onset_reach: float = 2.0
+    onset_trim: float = 1.5
+    onset_points: int = 40
+    onset_stride: int = 3
+    signature_points: int = 20
+    signature_trim: float = 8.0
+    signature_bins: int = 16
+    signature_votes: int = 8
+    signature_parts: int = 8
+    signature_tilt: float = 0.90
+    signature_binned: float = 0.90
+    signature_left_out: float = 0.70
+    rate_snap: float = 0.0008
+    rate_snap_gate: float = 0.0003
+    rate_snap_slack: float = 0.02
+    rate_most: float = 0.08
+    rate_keep: float = 0.85
+    region_tolerance: float = 2.5
+    region_least: int = 3
+    resync_least: float = 1.0
+    witness_window: float = 60.0
+    witness_reach: float = 30.0
+    witness_step: float = 0.1
+    witness_cues: int = 6
 
     def scaled(self, name: str, factor: float) -> Params:
         """A copy with one threshold multiplied."""
@@ -54,5 +77,6 @@ class Params:
 
 
 DEFAULTS = Params()
-# Conversion ratios between frame rates that occur in practice.
-RATE_RATIOS = (24 / 23.976, 23.976 / 24, 25 / 23.976, 23.976 / 25, 25 / 24, 24 / 25)
+# Conversion ratios between frame rates that occur in practice, and their names.
+RATE_RATIOS = (1000 / 1001, 1001 / 1000, 24 / 25, 25 / 24, 24000 / 1001 / 25, 25 / (24000 / 1001))
+RATE_NAMES = ("24/23.976", "23.976/24", "25/24", "24/25", "25/23.976", "23.976/25")

@@ -156,6 +156,37 @@ def sliding_block_witness(spark: SparkSession, d: str) -> DataFrame:
     return intervals.best_shift(intervals.slot_score(c.where("text = 'click'"), c.where("text = 'view'"), HOUR, list(range(-12, 13))))
 
 
+_SLIDING = f"""WITH {CUES}, t0 AS (SELECT min(s) AS z FROM cues), q AS (SELECT f, (s - z) // {HOUR} AS a, (e - z) // {HOUR} + 1 AS b, t FROM cues, t0), cu AS (SELECT f, w, a, b FROM (SELECT *, unnest([a // 30 - 1, a // 30]) AS w FROM q WHERE t = 'click') WHERE w >= 0), big AS (SELECT f, w, sum(b - a) AS total FROM cu GROUP BY 1, 2 HAVING count(*) >= 2),
+sl AS (SELECT DISTINCT f, unnest(range(a, b)) AS m FROM q WHERE t = 'view'), h AS (SELECT unnest(range(-60, 61)) AS k), moved AS (SELECT DISTINCT cu.f, cu.w, k, unnest(range(CAST(greatest(floor(a + k * 0.5), cu.w * 30 - 35) AS BIGINT), CAST(least(floor(b + k * 0.5), cu.w * 30 + 95) AS BIGINT))) AS m FROM cu JOIN big ON big.f = cu.f AND big.w = cu.w, h),
+sc AS (SELECT moved.f, moved.w, k, sum(CASE WHEN sl.m IS NULL THEN -1 ELSE 1 END) AS score FROM moved LEFT JOIN sl ON sl.f = moved.f AND sl.m = moved.m GROUP BY 1, 2, 3)
+SELECT b.f AS file_id, b.w AS w, sc.k * 0.5 AS best, round((sc.score - coalesce(z.score, 0)) / greatest(total, 1), 9)::DOUBLE AS gain FROM big b JOIN sc ON sc.f = b.f AND sc.w = b.w LEFT JOIN sc z ON z.f = b.f AND z.w = b.w AND z.k = 0 QUALIFY row_number() OVER (PARTITION BY b.f, b.w ORDER BY sc.score DESC, sc.k DESC) = 1"""
+
+
+def _hours(spark: SparkSession, d: str) -> DataFrame:
+    """Cues in whole hours from the first of all, as if they were seconds."""
+    c = cues(spark, d)
+    first = c.select(F.min("start").alias("z"))
+    return c.join(F.broadcast(first)).select("file_id", F.floor((F.col("start") - F.col("z")) / HOUR).cast("double").alias("start"), (F.floor((F.col("end") - F.col("z")) / HOUR) + 1).cast("double").alias("end"), "text")
+
+
+@query(_SLIDING.replace("sc.k * 0.5 AS best", "CAST(sc.k * 0.5 AS DOUBLE) AS best"))
+def window_shifts(spark: SparkSession, d: str) -> DataFrame:
+    from dataclasses import replace
+
+    from ..params import DEFAULTS
+
+    c = _hours(spark, d)
+    found = intervals.window_shifts(c.where("text = 'click'"), c.where("text = 'view'"), replace(DEFAULTS, witness_step=1.0, witness_cues=2))
+    return found.withColumn("gain", F.round("gain", 9))
+
+
+@query(None)
+def block_witness(spark: SparkSession, d: str) -> DataFrame:
+    """Whether neighbouring windows agree on a shift; tests hold it against planted blocks."""
+    c = _hours(spark, d)
+    return intervals.block_witness(c.where("text = 'click'"), c.where("text = 'view'"))
+
+
 @query(f"""WITH {CUES}, a AS (SELECT f, s, row_number() OVER (PARTITION BY f ORDER BY s, idx) AS n FROM cues), b AS (SELECT f, s + 2500 AS s, row_number() OVER (PARTITION BY f ORDER BY s, idx) AS n FROM cues WHERE idx % 7 <> 0)
 SELECT coalesce(a.f, b.f) AS file_id, max(abs(b.s - a.s)) AS max_shift, avg(abs(b.s - a.s)) AS mean_shift, count(a.s) AS n_old, count(b.s) AS n_new FROM a FULL JOIN b ON a.f = b.f AND a.n = b.n GROUP BY 1""")
 def max_shift(spark: SparkSession, d: str) -> DataFrame:

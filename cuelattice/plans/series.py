@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import robust, runs
-from ..params import RATE_RATIOS
+from ..params import RATE_NAMES, RATE_RATIOS
 from .analogues import POINTS, cues, points
 
 QUERIES: dict = {}
@@ -85,17 +85,30 @@ def quartile_residual(spark: SparkSession, d: str) -> DataFrame:
     return robust.quartile_residual(points(spark, d), 0.01, 5.0).withColumn("worst", F.round("worst", 4))
 
 
-@query(f"""WITH {POINTS}, nt AS (SELECT f, a, c, ntile(8) OVER (PARTITION BY f ORDER BY a, c) AS k FROM pts), o AS (SELECT f, a, c, h FROM nt, (SELECT unnest(range(1, 9)) AS h) WHERE k <> h),
-sl AS (SELECT p.f, p.h, median((q.c - p.c) / (q.a - p.a)) AS slope FROM o p JOIN o q ON p.f = q.f AND p.h = q.h AND p.a < q.a GROUP BY 1, 2), sp AS (SELECT f, h, count(*) AS n, max(a) - min(a) AS span FROM o GROUP BY 1, 2)
-SELECT sl.f AS file_id, min(slope * span) AS least, max(slope * span) AS most, count(*) AS parts FROM sl JOIN sp ON sl.f = sp.f AND sl.h = sp.h WHERE n >= 3 GROUP BY 1""")
+_NEAR = f"""{_MED}, nr AS (SELECT f, a, c FROM pts JOIN m USING (f) WHERE abs(c - med) <= 1500), en AS (SELECT f, min(a) AS a0, max(a) AS a1 FROM nr GROUP BY 1 HAVING count(*) >= 20)"""
+
+
+def _signature(spark: SparkSession, d: str) -> DataFrame:
+    from dataclasses import replace
+
+    from ..params import DEFAULTS
+
+    return robust.drift_signature(points(spark, d), replace(DEFAULTS, signature_trim=1500.0))
+
+
+@query(f"""{_NEAR}, o AS (SELECT nr.f, a, c, h FROM nr JOIN en ON en.f = nr.f, (SELECT unnest(range(0, 8)) AS h) WHERE least(7, floor((a - a0)::DOUBLE / (a1 - a0) * 8)) <> h AND a1 > a0), sp AS (SELECT f, h, count(*) AS n, max(a) - min(a) AS span FROM o GROUP BY 1, 2),
+sl AS (SELECT p.f, p.h, median((q.c - p.c) / (q.a - p.a)) AS slope FROM o p JOIN o q ON p.f = q.f AND p.h = q.h AND p.a < q.a GROUP BY 1, 2)
+SELECT sp.f AS file_id, CAST(sp.h AS INTEGER) AS part, CASE WHEN n >= 20 THEN slope * span END AS tilt FROM sp LEFT JOIN sl ON sl.f = sp.f AND sl.h = sp.h""")
 def left_out_tilts(spark: SparkSession, d: str) -> DataFrame:
-    return robust.left_out_tilts(points(spark, d))
+    return _signature(spark, d).select("file_id", F.posexplode("left_out").alias("part", "tilt"))
 
 
-@query(f"""WITH {POINTS}, en AS (SELECT f, min(a) AS a0, greatest(max(a) - min(a), 1) AS w FROM pts GROUP BY 1), v AS (SELECT f, CAST(least(15, floor(16 * (a - a0) / w)) AS BIGINT) AS a, median(c) AS c FROM pts JOIN en USING (f) GROUP BY 1, 2), k AS (SELECT f FROM v GROUP BY 1 HAVING count(*) >= 8)
-SELECT f AS file_id, a, c FROM v WHERE f IN (SELECT f FROM k)""")
+@query(f"""{_NEAR}, t AS (SELECT nr.f, a, c, a0, a1 FROM nr JOIN en ON en.f = nr.f), sl AS (SELECT p.f, median((q.c - p.c) / (q.a - p.a)) AS slope FROM t p JOIN t q ON p.f = q.f AND p.a < q.a GROUP BY 1),
+b AS (SELECT f, k, a0 + (k + 0.5) / 16 * (a1 - a0) AS x, median(c) AS y FROM (SELECT *, least(15, floor((a - a0)::DOUBLE / (a1 - a0) * 16)) AS k FROM t WHERE a1 > a0) GROUP BY 1, 2, 3), v AS (SELECT f, max(x) - min(x) AS span FROM b GROUP BY 1 HAVING count(*) >= 8), bs AS (SELECT p.f, median((q.y - p.y) / (q.x - p.x)) AS slope FROM b p JOIN b q ON p.f = q.f AND p.x < q.x GROUP BY 1),
+{_SPEARMAN.replace("FROM pts", "FROM t")} SELECT en.f AS file_id, round(sl.slope * (a1 - a0), 6) AS tilt, round(bs.slope * v.span, 6) AS binned, CASE WHEN sm.n * xx - x * x > 0 AND sm.n * yy - y * y > 0 THEN round((sm.n * xy - x * y) / sqrt((sm.n * xx - x * x) * (sm.n * yy - y * y)), 6) END AS rho, sm.n AS n
+FROM en JOIN sm ON sm.f = en.f LEFT JOIN sl ON sl.f = en.f LEFT JOIN v ON v.f = en.f LEFT JOIN bs ON bs.f = v.f""")
 def drift_signature(spark: SparkSession, d: str) -> DataFrame:
-    return robust.bin_votes(points(spark, d))
+    return _signature(spark, d).select("file_id", *[F.round(c, 6).alias(c) for c in ("tilt", "binned", "rho")], "n")
 
 
 @query(f"""WITH {POINTS}, l AS (SELECT f, regr_slope(c, a - 28000000) AS m, regr_intercept(c, a - 28000000) AS b, count(*) AS n FROM pts GROUP BY 1) SELECT pts.f AS file_id, round(m, 6) AS slope, round(max(abs(c - m * (a - 28000000) - b)), 3) AS worst FROM pts JOIN l ON l.f = pts.f WHERE n >= 10 GROUP BY 1, 2""")
@@ -133,38 +146,64 @@ def slope_breaks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {POINTS}, w AS (SELECT f, idx, a, row_number() OVER z AS n, median(c) OVER (PARTITION BY f ORDER BY a, idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS med, max(a) OVER (PARTITION BY f ORDER BY a, idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS a1, list(c) OVER (PARTITION BY f ORDER BY a, idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS v FROM pts WINDOW z AS (PARTITION BY f ORDER BY a, idx)),
 k AS (SELECT f, idx, n, a, a1, med, list_median(list_transform(v, lambda x: abs(x - med))) AS mad FROM w WHERE len(v) = 6) SELECT f AS file_id, idx, n, a, a1, med, mad FROM k""".replace("row_number() OVER z AS n", "CAST(row_number() OVER z AS INTEGER) AS n"))
 def k_row_medians(spark: SparkSession, d: str) -> DataFrame:
-    return runs.sliding_medians(points(spark, d), 6)
+    return runs.sliding_medians(points(spark, d), 6).drop("cue_lo", "cue_hi")
 
 
-@query(f"""WITH {POINTS}, rf AS (SELECT f, median(c) AS ref FROM pts GROUP BY 1), w AS (SELECT f, a, row_number() OVER (PARTITION BY f ORDER BY a, idx) AS n, median(c) OVER x AS med, max(a) OVER x AS a1, list(c) OVER x AS v FROM pts WINDOW x AS (PARTITION BY f ORDER BY a, idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
-k AS (SELECT w.f, n, a, a1, med - ref AS dev, sign(med - ref) AS side, list_median(list_transform(v, lambda x: abs(x - med))) AS mad FROM w JOIN rf ON rf.f = w.f WHERE len(v) = 6), o AS (SELECT * FROM k WHERE abs(dev) >= 150 AND mad <= 500),
+@query(f"""WITH {POINTS}, rf AS (SELECT f, median(c) AS ref FROM pts GROUP BY 1), w AS (SELECT f, a, row_number() OVER (PARTITION BY f ORDER BY a, idx) AS n, median(c) OVER x AS med, max(a) OVER x AS a1, min(a - c) OVER x AS q0, max(a - c) OVER x AS q1, list(c) OVER x AS v FROM pts WINDOW x AS (PARTITION BY f ORDER BY a, idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+k AS (SELECT w.f, n, a, a1, q0, q1, med - ref AS dev, sign(med - ref) AS side, list_median(list_transform(v, lambda x: abs(x - med))) AS mad FROM w JOIN rf ON rf.f = w.f WHERE len(v) = 6), o AS (SELECT * FROM k WHERE abs(dev) >= 150 AND mad <= 500),
 q AS (SELECT *, CASE WHEN lag(n) OVER z IS NULL OR n - lag(n) OVER z >= 6 OR side <> lag(side) OVER z THEN 1 ELSE 0 END AS nw FROM o WINDOW z AS (PARTITION BY f ORDER BY n)), r AS (SELECT *, sum(nw) OVER (PARTITION BY f ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM q)
-SELECT f AS file_id, CAST(run AS BIGINT) AS run, min(a) AS from_a, max(a1) AS to_a, max(abs(dev)) AS dev, count(*) AS windows FROM r GROUP BY 1, 2""")
+SELECT f AS file_id, CAST(run AS BIGINT) AS run, min(a) AS from_a, max(a1) AS to_a, first(dev ORDER BY abs(dev) DESC, n) AS dev, count(*) AS windows, count(*) + 5 AS n, min(q0) AS cue_from, max(q1) AS cue_to FROM r GROUP BY 1, 2""")
 def k_row_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.deviant_runs(points(spark, d), 6, 150, 500)
 
 
-@query(f"""{_THEIL}, op AS (SELECT f, k, CASE WHEN k < 0 THEN slope ELSE 1 - 1 / ([{", ".join(map(repr, RATE_RATIOS))}])[k + 1] END AS s FROM sl JOIN sp USING (f), (SELECT unnest(range(-1, {len(RATE_RATIOS)})) AS k) WHERE n >= 3),
-r AS (SELECT pts.f, k, c - s * (a - 28000000) AS r FROM pts JOIN op ON op.f = pts.f), m AS (SELECT f, k, median(r) AS m FROM r GROUP BY 1, 2), x AS (SELECT r.f, r.k, median(abs(r - m)) AS mad FROM r JOIN m ON m.f = r.f AND m.k = r.k GROUP BY 1, 2),
-b AS (SELECT * FROM x WHERE k >= 0 QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(mad, 6), k) = 1) SELECT b.f AS file_id, CAST(b.k AS INTEGER) AS k, round(b.mad, 4) AS mad FROM b JOIN x ON x.f = b.f AND x.k = -1 WHERE b.mad <= x.mad + 500""")
+# Times in seconds with offsets that walk by one of four rates, and noise.
+_RATES = f"""WITH {POINTS}, rp AS (SELECT f, idx, (a - 28400000) / 10.0::DOUBLE AS a, (CASE f % 4 WHEN 0 THEN 0.001 WHEN 1 THEN -0.0427 WHEN 2 THEN 0.0005 ELSE 0.0 END)::DOUBLE * ((a - 28400000) / 10.0::DOUBLE) + (c % 100) / 400.0::DOUBLE AS c FROM pts)"""
+
+
+def _rate_points(spark: SparkSession, d: str) -> DataFrame:
+    a = (F.col("a") - 28_400_000) / 10.0
+    slope = F.element_at(F.array(*map(F.lit, (0.001, -0.0427, 0.0005, 0.0))), (F.col("file_id") % 4 + 1).cast("int"))
+    return points(spark, d).select("file_id", "idx", a.alias("a"), (slope * a + (F.col("c") % 100) / 400.0).alias("c"))
+
+
+@query(f"""{_RATES}, m AS (SELECT f, 1 / (1 - slope) AS r0, 0.1::DOUBLE AS o0 FROM (SELECT DISTINCT f, (CASE f % 4 WHEN 0 THEN 0.001 WHEN 1 THEN -0.0427 WHEN 2 THEN 0.0005 ELSE 0.0 END)::DOUBLE AS slope FROM pts)),
+n AS (SELECT rp.f, a, a - c AS s, r0, o0, abs(a - r0 * (a - c + o0)) <= 2.5 AS near, bool_or(abs(a - r0 * (a - c + o0)) <= 2.5) OVER (PARTITION BY rp.f) AS hits FROM rp JOIN m ON m.f = rp.f), k AS (SELECT unnest([{", ".join(map(repr, RATE_RATIOS))}]) AS r, unnest(range(0, {len(RATE_RATIOS)})) AS k),
+t AS (SELECT f, -1 AS k, r0 AS r, a, s, o0 FROM n WHERE near OR NOT hits UNION ALL SELECT f, k, r, a, s, o0 FROM n, k WHERE (near OR NOT hits) AND abs(r / r0 - 1) <= 0.0008),
+o AS (SELECT f, k, CASE WHEN k < 0 THEN first(o0) ELSE median(a / r - s) END AS o FROM t GROUP BY f, k), d AS (SELECT t.f, t.k, first(r) AS r, first(o) AS o, median(abs(a - r * (s + o))) AS mad FROM t JOIN o ON o.f = t.f AND o.k = t.k GROUP BY t.f, t.k),
+w AS (SELECT *, max(CASE WHEN k < 0 THEN mad END) OVER (PARTITION BY f) AS own FROM d) SELECT f AS file_id, r AS ratio, o AS offset, CASE WHEN k < 0 THEN 'stretch ' || printf('%+.2f', (r - 1) * 100) || '%' ELSE ([{", ".join(map(repr, RATE_NAMES))}])[k + 1] END AS name
+FROM w WHERE k < 0 OR mad <= own + 0.02 QUALIFY row_number() OVER (PARTITION BY f ORDER BY CASE WHEN k < 0 THEN 1 ELSE 0 END, mad, r) = 1""")
 def snap_rate(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).withColumn("a", F.col("a") - 28_000_000)
-    return robust.snap_rate(p, robust.theil_sen(p), slack=500).select("file_id", "k", F.round("mad", 4).alias("mad"))
+    p = _rate_points(spark, d)
+    slope = F.element_at(F.array(*map(F.lit, (0.001, -0.0427, 0.0005, 0.0))), (F.col("file_id") % 4 + 1).cast("int"))
+    return robust.snap_rate(p, p.select("file_id", slope.alias("slope"), F.lit(0.1).alias("intercept")).distinct())
 
 
-@query(None)
+@query(f"""WITH {POINTS}, {_fit_rounds(2)}, g AS (SELECT k1.f, a, c, slope, icpt FROM k1 JOIN i1 ON i1.f = k1.f), m AS (SELECT f, median(c) AS mc, median(c - slope * a) AS mr, max(a) - min(a) AS span, count(*) AS n FROM g GROUP BY 1),
+v AS (SELECT g.f, median(abs(c - mc)) AS before, median(abs(c - slope * a - mr)) AS after FROM g JOIN m ON m.f = g.f GROUP BY 1), ol AS (SELECT x.f, avg(CASE WHEN abs(c - slope * a - icpt) <= 900 THEN 1.0 ELSE 0 END) AS share, count(*) AS n_raw FROM pts x JOIN i1 ON i1.f = x.f GROUP BY 1), {_SPEARMAN.replace("FROM pts", "FROM g")}
+SELECT m.f AS file_id, round(slope, 9) AS slope, round(slope * span, 4) AS tilt, round((sm.n * xy - x * y) / sqrt((sm.n * xx - x * x) * (sm.n * yy - y * y)), 6) AS rho, round(before - after, 4) AS gain, round(after, 4) AS resid, share AS keep_frac, m.n AS n_kept, n_raw, span::DOUBLE AS span
+FROM m JOIN v ON v.f = m.f JOIN ol ON ol.f = m.f JOIN sm ON sm.f = m.f JOIN i1 ON i1.f = m.f""")
 def stretch_probe(spark: SparkSession, d: str) -> DataFrame:
     from dataclasses import replace
 
     from ..params import DEFAULTS
 
-    probe = robust.stretch_probe(points(spark, d), replace(DEFAULTS, fit_resid=600.0, fit_keep=900.0))
-    return probe.withColumn("level", robust.gate_level())
+    probe = robust.stretch_probe(points(spark, d), replace(DEFAULTS, fit_resid=600.0, fit_keep=900.0, fit_rounds=2))
+    places = {"slope": 9, "tilt": 4, "rho": 6, "gain": 4, "resid": 4}
+    return probe.drop("intercept").withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
+@query(None)
+def rate_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's level and the flat tests of each file's probe; tests hold them against stated cases."""
+    return robust.stretch_probe(_rate_points(spark, d)).select("file_id", robust.gate_level().alias("level"), robust.is_flat().alias("flat"), robust.is_flat(True).alias("tight"))
 
 
 @query(None)
 def greedy_regions(spark: SparkSession, d: str) -> DataFrame:
-    return runs.regions(points(spark, d), 800.0, 3)
+    """Two levels of which one holds to a time: stretches of each file that can be verified; tests hold the rule against stated cases."""
+    level = F.when(F.col("a") > 28_420_000, F.lit(4000)).otherwise(F.lit(300))
+    return runs.regions(points(spark, d).withColumn("c", level + F.col("c") % 200), 800.0, 3)
 
 
 @query(None)
@@ -180,3 +219,26 @@ def speech_bursts(spark: SparkSession, d: str) -> DataFrame:
     c = cues(spark, d).select("file_id", "start", (F.col("start") + 7_200_000).alias("end"))
     grouped = islands(c.withColumn("start", F.col("start") + 1)).groupBy("file_id", "island").agg((F.min("start") - 1).alias("start"), (F.max("start") - 1).alias("last"), F.count("*").alias("n"))
     return grouped.drop("island")
+
+
+@query(None)
+def onset_tilt(spark: SparkSession, d: str) -> DataFrame:
+    """Tilt of cue starts against the onsets nearest to them; tests hold it against shifted and drifting cues."""
+    from dataclasses import replace
+
+    from ..params import DEFAULTS
+
+    c = cues(spark, d).select("file_id", (F.col("start") / 60_000.0).alias("t"), "text")
+    return robust.onset_tilt(c.where("text <> 'view'"), c.where("text = 'view'"), replace(DEFAULTS, onset_reach=600.0, onset_trim=400.0, onset_points=10))
+
+
+@query(None)
+def resync_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Borders and shifts of each file's stretches; tests hold it against stated plans."""
+    c = cues(spark, d).select("file_id", "idx", (F.col("start") / 60).alias("start"), (F.col("end") / 60).alias("end"))
+    from dataclasses import replace
+
+    from ..params import DEFAULTS
+
+    p = points(spark, d).withColumn("c", F.when(F.col("a") > 28_420_000, F.lit(40)).otherwise(F.lit(3)) + F.col("c") % 2)
+    return runs.resync_plan(c, p, replace(DEFAULTS, region_tolerance=4.0))

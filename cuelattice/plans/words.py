@@ -46,7 +46,7 @@ def token_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_CONV}, n AS (SELECT s.f, s.idx AS si, c.idx AS ci, len(list_intersect(s.w, c.w)) AS shared, len(list_intersect(s.w, c.w)) / len(c.w) AS share FROM cv s JOIN cv c ON s.f = c.f AND c.idx BETWEEN s.idx - 3 AND s.idx + 3 AND s.role = 'assistant' AND c.role = 'user' WHERE len(c.w) > 0),
-g AS (SELECT * FROM n WHERE share >= 0.1 AND shared >= 2), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY f, si ORDER BY share DESC, ci) = 1)
+g AS (SELECT * FROM n WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY f, si ORDER BY share DESC, ci) = 1), b AS (SELECT * FROM g WHERE share >= 0.1 AND shared >= 2)
 SELECT f AS file_id, si AS s_idx, ci AS c_idx, CAST(shared AS INTEGER) AS shared, share FROM b QUALIFY row_number() OVER (PARTITION BY f, ci ORDER BY si) = 1""")
 def anchor_match(spark: SparkSession, d: str) -> DataFrame:
     from ..params import Params

@@ -230,3 +230,124 @@ def test_sequence_order_reads_whole_texts(spark, tmp_path):
                 out[c, i] = True if gap <= -0.1 else False if gap >= 0.1 else None
     assert want != cut
     assert {(r.conv_id, r.turn): r.swapped for r in words.sequence_order(spark, str(tmp_path)).collect()} == want
+
+
+def series(spark, points, key="f"):
+    return spark.createDataFrame([(key, float(a), float(c)) for a, c in points], "file_id string, a double, c double")
+
+
+def test_gate_levels_of_stated_probes(spark):
+    base = {"slope": 0.0005, "intercept": 0.0, "tilt": 1.0, "rho": 0.5, "gain": 0.12, "resid": 0.2, "n_kept": 150, "keep_frac": 0.96, "span": 1500.0}
+    cases = [({}, 1), ({"tilt": 0.7}, 0), ({"gain": 0.0}, 0), ({"tilt": 2.0, "rho": 0.8, "gain": 0.3}, 2), ({"slope": 0.001, "tilt": 0.9, "rho": 0.54, "gain": 0.08, "resid": 0.39}, 2)]
+    cases += [({"tilt": 4.7, "rho": 0.88, "gain": 0.62, "resid": 0.52}, 2), ({"n_kept": 39}, 0), ({"slope": 0.09, "tilt": 9.0, "rho": 0.99, "gain": 3.0}, 0), ({"rho": None}, 0), ({"keep_frac": 0.8}, 0)]
+    df = spark.createDataFrame([{**base, **c, "want": w} for c, w in cases], "slope double, intercept double, tilt double, rho double, gain double, resid double, n_kept long, keep_frac double, span double, want int")
+    assert all(r.level == r.want for r in df.select("want", robust.gate_level().alias("level")).collect())
+    flat = spark.createDataFrame([(0.96, 0.9, 0.2, 0.5), (0.96, 0.4, 0.1, 0.29), (0.96, 0.4, 0.1, 0.31), (0.8, 0.1, 0.1, 0.1), (0.96, 1.0, 0.1, 0.1)], "keep_frac double, tilt double, intercept double, resid double")
+    assert [tuple(r) for r in flat.select(robust.is_flat(), robust.is_flat(True)).collect()] == [(True, False), (True, True), (True, False), (False, False), (False, False)]
+
+
+def test_a_probe_reads_the_points_it_keeps(spark):
+    line = [(a, 0.002 * a) for a in range(0, 1000, 20)]
+    mess = [(a + 7, 30.0 + a % 90) for a in range(0, 1000, 40)]
+    got = robust.stretch_probe(series(spark, line + mess)).first()
+    assert got.n_kept == 50 and got.n_raw == 75 and got.resid < 1e-9 and got.rho > 0.999 and abs(got.tilt - 1.96) < 1e-6 and abs(got.keep_frac - 50 / 75) < 1e-9
+    assert abs(got.gain - statistics.median(abs(c - statistics.median(x for _, x in line)) for _, c in line)) < 1e-9
+
+
+def test_measured_rates_snap_to_known_ones(spark):
+    def snapped(slope, noise=0.0):
+        ratio = 1 / (1 - slope)
+        pts = [(a, slope * a + 0.4 + noise * (a % 3 - 1)) for a in range(0, 1500, 10)]
+        fit = spark.createDataFrame([("f", slope, 0.4)], "file_id string, slope double, intercept double")
+        r = robust.snap_rate(series(spark, pts), fit).first()
+        return r.ratio, r.name, ratio
+
+    ratio, name, _ = snapped(1 - 1000 / 1001)
+    assert name == "23.976/24" and ratio == 1001 / 1000
+    assert snapped(1 - 25 / 24)[:2] == (24 / 25, "25/24")
+    ratio, name, measured = snapped(0.02)
+    assert ratio == measured and name == "stretch +2.04%"
+
+
+def test_regions_join_absorb_drop_and_refuse(spark):
+    found = lambda pts: [(r.n, round(r.med, 1)) for r in runs.regions(series(spark, pts)).orderBy("region").collect()]
+    flat = lambda value, *span: [(t, value) for t in range(*span, 20)]
+    assert found(flat(15.1, 0, 380) + flat(0.0, 400, 1260)) == [(19, 15.1), (43, 0.0)]
+    assert found(flat(0.1, 0, 660) + [(680, -6.6)] + flat(0.1, 700, 960) + flat(-18.5, 980, 1240)) == [(47, 0.1), (13, -18.5)]
+    drift = [(200, 37.2), (300, 21.7), (340, 14.8), (380, 5.6), (400, 2.0), (500, -1.1), (520, -2.8), (560, -11.8), (680, -31.0), (700, -34.4), (720, -38.8), (780, -36.3)]
+    assert found(drift) == []
+    assert found(flat(0.0, 0, 300) + [(320, -12.0)] + flat(-25.0, 340, 700)) == [(15, 0.0), (18, -25.0)]
+    assert found(flat(0.0, 0, 300) + [(320, 40.0)] + flat(-25.0, 340, 700)) == []
+    assert found(flat(0.1, 0, 400) + [(401, 30.0)] + flat(-18.5, 420, 800)) == []
+
+
+def test_resync_plans_cut_in_the_widest_pause(spark):
+    lines = cues(spark, [("f", k, t * 1000, t * 1000 + 2000, "x") for k, t in enumerate([*range(0, 370, 10), *range(398, 1300, 10)])])
+    pts = [(t, 15.1) for t in range(20, 380, 20)] + [(t, 0.0) for t in range(400, 1260, 20)]
+    got = runs.resync_plan(lines, series(spark, pts)).orderBy("region").collect()
+    assert [(r.shift, r.n) for r in got] == [(15.1, 18), (0.0, 43)] and got[0].lo_ms is None and got[1].hi_ms is None
+    assert got[0].hi_ms == got[1].lo_ms == 380_000 and abs(got[0].cut_audio - 395.1) < 1e-9
+    assert runs.resync_plan(lines, series(spark, [(t, 0.2) for t in range(0, 1200, 60)])).count() == 0
+
+
+def test_signatures_need_every_reading(spark):
+    steady = [(20.0 + 1280.0 * i / 61, 1.4 * i / 61) for i in range(62)]
+    got = robust.drift_signature(series(spark, steady)).withColumn("passed", robust.signature_passes()).first()
+    assert abs(got.tilt - 1.4) < 1e-6 and len(got.left_out) == 8 and got.rho > 0.99 and got.passed == got.tilt and got.binned > 1.2
+    case = spark.createDataFrame([(-1.393, -0.879, [-1.3, -1.4, -1.35, -1.2, -1.45, -1.3, -1.38, -1.25]), (-1.393, -0.95, [-1.3] * 7 + [None]), (-1.393, -0.95, [-1.3] * 7 + [0.9]), (-1.393, -0.95, [-1.3] * 8), (1.393, None, [1.3] * 8)], "tilt double, binned double, left_out array<double>")
+    assert [r[0] for r in case.select(robust.signature_passes()).collect()] == [None, None, None, -1.393, None]
+    block = [(a, 0.0 if a < 1100 else 6.0) for a in range(0, 1300, 20)]
+    assert robust.drift_signature(series(spark, block)).select(robust.signature_passes()).first()[0] is None
+    assert robust.drift_signature(series(spark, steady[:19])).count() == 0
+
+
+def test_best_cue_is_found_before_it_is_judged(spark):
+    kind = "file_id string, idx int, t double, toks array<string>"
+    s = spark.createDataFrame([("f", 0, 5.0, ["alpha", "beta", "gamma"])], kind)
+    c = spark.createDataFrame([("f", 0, 5.0, ["alpha"]), ("f", 1, 9.0, ["beta", "gamma", "delta"])], kind)
+    assert align.match(s, c, 30, 30).count() == 0
+    assert align.match(s, c.where("idx = 1"), 30, 30).count() == 1
+
+
+def test_runs_keep_side_and_cue_span(spark):
+    pts = [(a, 0.0) for a in range(0, 400, 10)] + [(a, -4.0) for a in range(400, 500, 10)] + [(a, 0.0) for a in range(500, 900, 10)]
+    got = runs.deviant_runs(series(spark, pts).withColumn("idx", F.col("a").cast("int")), 6, 2.0, 0.5).collect()
+    assert len(got) == 1 and got[0].dev == -4.0 and got[0].cue_from >= 375 and got[0].cue_to <= 494.0 + 26 and got[0].n >= 10
+
+
+def test_onset_tilt_follows_shifts_and_drifts(spark):
+    rng = random.Random(8)
+    onsets = sorted(rng.uniform(0, 1300) for _ in range(250))
+    heard = spark.createDataFrame([("f", t) for t in onsets], "file_id string, t double")
+    tilt = lambda move: robust.onset_tilt(spark.createDataFrame([("f", move(t)) for t in onsets], "file_id string, t double"), heard).first()
+    assert abs(tilt(lambda t: t).tilt) < 1e-9 and abs(tilt(lambda t: t - 0.4).tilt) < 0.1
+    assert abs(tilt(lambda t: t - 0.001 * t).tilt - 1.3) < 0.35
+    assert tuple(robust.onset_tilt(heard.limit(10), heard).first()) == ("f", None, 10)
+
+
+def test_block_witness_sees_a_moved_block(spark):
+    rng = random.Random(5)
+    t, spoken = 5.0, []
+    while t < 900:
+        spoken.append((t, t + rng.uniform(1.0, 3.5)))
+        t = spoken[-1][1] + rng.uniform(0.4, 6.0)
+    speech = spark.createDataFrame([("f", *s) for s in spoken], "file_id string, start double, end double")
+    moved = lambda by: spark.createDataFrame([("f", a + (by if 300 < a < 480 else 0), b + (by if 300 < a < 480 else 0)) for a, b in spoken], "file_id string, start double, end double")
+    assert intervals.block_witness(moved(0.0), speech).first().witness is False
+    assert intervals.block_witness(moved(6.0), speech).first().witness is True
+    assert intervals.block_witness(moved(6.0), speech.limit(0)).first().witness is False
+
+
+def test_greedy_passes_over_one_file(spark):
+    windows = spark.createDataFrame([("f", 0, 30), ("f", 40, 70), ("f", 85, 260), ("f", 300, 310)], "file_id string, lo int, hi int")
+    assert rows(runs.cluster_windows(windows, 20, 240)) == sorted([("f", 0.0, 70.0, 2), ("f", 85.0, 260.0, 1), ("f", 300.0, 310.0, 1)], key=repr)
+    quiet = spark.createDataFrame([("f", 95.0, 97.0), ("f", 280.0, 282.0)], "file_id string, start double, end double")
+    assert rows(runs.chunk_plan(quiet, spark.createDataFrame([("f", 250.0)], "file_id string, duration double"), 100, 10, 15)) == sorted([("f", 0.0, 96.0), ("f", 96.0, 196.0), ("f", 196.0, 250.0)], key=repr)
+    parts = spark.createDataFrame([("f", k, float(k), "x" * n) for k, n in enumerate((5, 5, 50, 3, 3, 3))], "file_id string, idx int, start double, text string")
+    assert rows(runs.batches(parts, 3, 20)) == [("f", 0, 0), ("f", 1, 0), ("f", 2, 1), ("f", 3, 2), ("f", 4, 2), ("f", 5, 2)]
+
+
+def test_order_verdicts_are_those_of_difflib(spark):
+    cases = [("the cat sat on the mat", "the cat sat", "on the mat"), ("on the mat the cat sat", "the cat sat", "on the mat"), ("nothing alike here", "the cat sat", "on the mat")]
+    got = spark.createDataFrame(cases, "told string, l1 string, l2 string").select(text.order_verdict(F.col("told"), F.col("l1"), F.col("l2"))).collect()
+    assert [r[0] for r in got][:2] == [False, True]
