@@ -45,12 +45,17 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MIT", "Released under the terms of the MIT License."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 CUES = re.compile(r"licen[cs]|copyright|©|permission|redistribut|warrant|public domain|creative commons|unencumbered|\bcc[ -]?by|\bcc0|spdx", re.IGNORECASE)
 #: Lines without a cue that may lie within a block.
 GAP_LINES = 2
-#: Characters around a cue that make up its block where a line is longer than twice that.
+#: Characters around a cue that make up its block at least, where a line is longer than twice that; more where a notice is that long.
 REACH = 1200
 #: Longest line that may be part of a wrapped notice without a cue of its own.
 WRAPPED = 100
@@ -68,6 +73,8 @@ class Finding:
     saved: float
     missing: tuple[str, ...]
     added: tuple[str, ...]
+    start: int
+    end: int
 
 
 def _plain(text: str) -> str:
@@ -87,14 +94,14 @@ class Scanner:
             padded = raw if len(raw) >= 8 else raw.ljust(8)
             known = zstandard.ZstdCompressionDict(padded, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.notices.append((name, _WORD.findall(_plain(text)), len(self.alone.compress(raw)), make(known)))
+        # no word of a notice is farther from the notice's cue
+        self.reach = max([REACH, *(3 * len(text) // 2 for _, text in notices)])
         self.seen: dict[str, list[Finding]] = {}
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         """Places of candidate blocks, disjoint and in order: a cue's line and short lines next to it."""
         now: tuple[int, int] | None = None
         for cue in CUES.finditer(text):
-            if now and cue.end() <= now[1]:
-                continue
             start, end = text.rfind("\n", 0, cue.start()) + 1, text.find("\n", cue.end())
             before = text.rfind("\n", 0, max(0, start - 1)) + 1
             if 0 < start - before <= WRAPPED:  # a notice may be wrapped, so short lines before and after belong to the block
@@ -104,9 +111,9 @@ class Scanner:
                 after = len(text) if after < 0 else after
                 if after - end <= WRAPPED:
                     end = after
-            start = max(start, cue.start() - REACH)
-            end = min(len(text) if end < 0 else end, cue.end() + REACH)
-            if now and (start <= now[1] or text.count("\n", now[1], start) <= GAP_LINES + 1 and start - now[1] <= REACH):
+            start = max(start, cue.start() - self.reach)
+            end = min(len(text) if end < 0 else end, cue.end() + self.reach)
+            if now and (start <= now[1] or text.count("\n", now[1], start) <= GAP_LINES + 1 and start - now[1] <= self.reach):
                 now = (now[0], max(end, now[1]))
             else:
                 if now:
@@ -116,28 +123,34 @@ class Scanner:
             yield now
 
     def findings(self, block: str) -> list[Finding]:
-        plain = _plain(block)
-        if plain in self.seen:
-            return self.seen[plain]
-        raw, words = plain.encode("utf-8", "replace"), _WORD.findall(plain)
+        """All notices in a block, each with its own place in it; a notice that occurs again is found again."""
+        if block in self.seen:
+            return self.seen[block]
+        plain, placed = _plain(block), list(_WORD.finditer(block))
+        raw, words = plain.encode("utf-8", "replace"), [m[0].lower() for m in placed]
         size = len(self.alone.compress(raw))
         ranked = sorted((((size - len(with_it.compress(raw))) / own, k) for k, (_, _, own, with_it) in enumerate(self.notices)), reverse=True)
-        best: dict[str, Finding] = {}
+        found: list[Finding] = []
         for saved, k in ranked:
             if saved < MIN_SAVED:
                 break
             name, wanted, _, _ = self.notices[k]
-            if name not in best and (differs := self._wording(wanted, words)) is not None:
-                best[name] = Finding(name, round(saved, 4), *differs)
-        found = sorted(best.values(), key=lambda f: f.license)
+            left = list(words)
+            while (differs := self._wording(wanted, left)) is not None:
+                missing, added, first, last = differs
+                start, end = placed[first].start(), placed[last - 1].end()
+                if not any(f.license == name and f.start < end and start < f.end for f in found):
+                    found.append(Finding(name, round(saved, 4), missing, added, start, end))
+                left[first:last] = [""] * (last - first)
+        found.sort(key=lambda f: (f.start, f.license))
         if len(self.seen) >= _REMEMBERED:
             self.seen.clear()
-        self.seen[plain] = found
+        self.seen[block] = found
         return found
 
     @staticmethod
-    def _wording(wanted: list[str], words: list[str]) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
-        """Words missing from the notice and words put between its own, if they may differ so."""
+    def _wording(wanted: list[str], words: list[str]) -> tuple[tuple[str, ...], tuple[str, ...], int, int] | None:
+        """Words missing from the notice, words put between its own, and the place of both in ``words``, if they may differ so."""
         same = [m for m in difflib.SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if m.size]
         if not same:
             return None
@@ -151,7 +164,7 @@ class Scanner:
         missing += wanted[at_wanted:]
         if len(missing) > MAX_MISSING * len(wanted) or len(added) > MAX_ADDED * len(wanted) or any(map(_DECISIVE.search, missing + added)):
             return None
-        return tuple(missing), tuple(added)
+        return tuple(missing), tuple(added), same[0].b, at_words
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
@@ -167,7 +180,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
         def each() -> Iterator[tuple]:
             for doc_id, text in rows_of(batches):
                 places = list(scanner.blocks(text or ""))
-                yield doc_id, len(places), [{"license": f.license, "start": a, "end": b, "saved": f.saved, "missing": list(f.missing), "added": list(f.added)} for a, b in places for f in scanner.findings(text[a:b])]
+                yield doc_id, len(places), [{"license": f.license, "start": a + f.start, "end": a + f.end, "saved": f.saved, "missing": list(f.missing), "added": list(f.added)} for a, b in places for f in scanner.findings(text[a:b])]
 
         return flushed(out, each())
 

@@ -387,3 +387,35 @@ def test_op10_finds_every_planted_line(spark, sf_dir, docs):
     for r in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").collect():
         want = sorted({name for line, name in lines.items() if line in (r.text or "").split("\n")})
         assert set(want) <= set(filter(None, got[r.doc_id].split(",")))
+
+
+def test_licenses_have_their_own_places_and_none_is_lost(spark):
+    """Notices twice in a block, wrapped after a copyright line, far along one line, and reworded or cut ones by the dozen."""
+    gpl = next(t for n, t in licenses.NOTICES if n == "GPL-3.0" and "later version" in t)
+    wrapped, line = [], ""
+    for w in gpl.split():
+        line, done = (w, line) if len(line) + len(w) > 60 else (f"{line} {w}".strip(), "")
+        wrapped += [done] if done else []
+    wrapped.append(line)
+    twice = "Licensed under CC BY 4.0.\nSome prose here.\nLicensed under CC BY 4.0."
+    texts = [twice, "prose\nCopyright 2020 Foo\n" + "\n".join(wrapped) + "\nint main() {}", "x " * 5000 + gpl + " y" * 5000, "Released under the terms of the MIT License."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.findings for r in licenses.scan(df).collect()}
+    assert [texts[0][f.start : f.end] for f in got[0]] == ["Licensed under CC BY 4.0"] * 2
+    assert [f.license for f in got[1]] == ["GPL-3.0"] and texts[1][got[1][0].end - 14 : got[1][0].end] == " later version"
+    assert [(f.license, f.start) for f in got[2]] == [("GPL-3.0", 10_000)] and [f.license for f in got[3]] == ["MIT"]
+    rng = random.Random(6)
+    varied = []
+    for name, text in licenses.NOTICES:
+        for _ in range(6):
+            words = text.split()
+            if len(words) > 20:  # a word less, a word more, other case and spacing
+                words.pop(next(k for k in rng.sample(range(len(words)), len(words)) if not licenses._DECISIVE.search(words[k].lower())))
+                words.insert(rng.randrange(1, len(words)), "hereby")
+            said = "  ".join(w.upper() if rng.random() < 0.2 else w for w in words)
+            varied.append((name, f"Some text before.\n\n# {said}\n\nAnd after it."))
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(varied)], "doc_id long, text string")
+    told = {r.doc_id: {f.license for f in r.findings} for r in licenses.scan(df).collect()}
+    recall = sum(name in told[k] for k, (name, _) in enumerate(varied)) / len(varied)
+    print("license recall", recall, len(varied))
+    assert recall >= 0.9
