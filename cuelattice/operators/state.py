@@ -97,7 +97,9 @@ class Table:
         number = int(known[-1][1:]) + 1 if known else 0
         draft = f"{self.folder}/_{uuid.uuid4().hex}"
         rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(draft)
-        if not self.fs.rename(self.path_of(draft), self.path_of(f"{self.folder}/v{number:08d}")):
+        target = self.path_of(f"{self.folder}/v{number:08d}")
+        # a rename onto a folder that is there would move into it
+        if self.fs.exists(target) or not self.fs.rename(self.path_of(draft), target):
             raise OSError(f"version {number} of {self.folder} could not be named")
         for old in known[: max(0, len(known) + 1 - keep)]:
             self.fs.delete(self.path_of(f"{self.folder}/{old}"), True)
