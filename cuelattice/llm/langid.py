@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, rows_of, to_batch
 
 PROFILE = 400
-#: Labelled rows learned from, for each language, as expected number: rows are taken by a hash of their text.
+#: Different labelled texts learned from, for each language, as expected number: they are taken by their hash, and copies of a text teach once.
 TRAIN_ROWS = 6_000
 #: More learned languages than this are refused, since the profiles are broadcast.
 MAX_LANGUAGES = 2_000
@@ -72,16 +72,21 @@ class Profiles:
 
 
 def train(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col: str = "lang", profile: int = PROFILE, train_rows: int = TRAIN_ROWS) -> Profiles:
-    """Profiles from the rows of ``docs`` where ``learn_from`` holds and text and label are set."""
+    """Profiles from the rows of ``docs`` where ``learn_from`` holds and text and label are set.
+
+    A language's copies of a text count once, so a text that fills a third of the rows neither rules the profile nor breaks ``train_rows``;
+    the number of different texts is a sketch's estimate within about two hundredths.
+    """
     bounded_batches(docs.sparkSession)
     rows = docs.where(learn_from).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    different = F.approx_count_distinct(F.xxhash64("t"), 0.02).alias("texts")
+    sizes = {r.lang: r.texts for r in rows.groupBy("lang").agg(different).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     if not sizes:
         return Profiles({}, profile)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_rows / n) * (1 << 30))])
-    taken = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share[F.col("lang")])
+    taken = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share[F.col("lang")]).dropDuplicates(["lang", "t"])
     out = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,6 +46,21 @@ def test_language(odd, none):
     assert {r.lang_pred for r in langid.identify(odd, langid.train(none, F.lit(True))).collect()} == {"und"}
 
 
+def test_copies_teach_a_language_once(spark):
+    rows = [("en", "the cat and the dog")] * 3 + [("de", "der hund und die katze")]
+    once = spark.createDataFrame(rows, "lang string, text string")
+    hot = once.unionByName(spark.createDataFrame([("en", "qqq zzz")], "lang string, text string"))
+    many = hot.unionByName(spark.range(3_000).select(F.lit("en").alias("lang"), F.lit("qqq zzz").alias("text")))
+    few, lot = (langid.train(t, F.lit(True), train_rows=50) for t in (hot, many))
+    assert few.langs == lot.langs == ["de", "en"] and few.codes.tolist() == lot.codes.tolist() and few.ranks.tolist() == lot.ranks.tolist()
+
+
+def test_equal_distances_go_to_the_smallest_name(spark):
+    rows = [(lang, "one text in both") for lang in ("xb", "xa")]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
+    assert model.predict("one text in both") == ("xa", 1.0)
+
+
 def test_packing(odd, none):
     got = packing.pack(odd, tokenizer_file(), size=64, open_bins=3, merge_rows=2).collect()
     assert sum(r.length for r in got if r.doc_id == 3) == 1 and sum(1 for r in got if r.doc_id == 7) == 2
