@@ -27,6 +27,7 @@ ASIDE = r"[\[(][^\[\]()]*[\])]"
 NONSPEECH = r"^-?\s*(?:(?:[\[(][^\[\]()]*[\])]|\*[^*]+\*)\s*)+$"
 MUSIC_WORD = r"(?i)\b(?:music|song|singing|sings)\b"
 MUSIC_NOTES = "[♪♫]"
+MUSIC_CUE = r"(?i)^\s*[\[(][^\])]*(?:\b(?:PLAYS|PLAYING|MUSIC|SONG|SINGING|SINGS)\b|♪)[^\])]*[\])]\s*$"
 
 
 def lines(text: Column) -> Column:
@@ -59,6 +60,11 @@ def is_music(text: Column) -> Column:
     return text.rlike(MUSIC_NOTES) | (is_nonspeech(text) & text.rlike(MUSIC_WORD))
 
 
+def declares_music(text: Column) -> Column:
+    """A bracketed cue that tells of music being played or sung."""
+    return F.coalesce(text.rlike(MUSIC_CUE), F.lit(False))
+
+
 def two_lines(text: Column) -> Column:
     """The two lines of a text that has just two with something in them, else null."""
     said = F.filter(F.transform(lines(text), F.trim), lambda x: x != "")

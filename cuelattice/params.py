@@ -45,6 +45,8 @@ class Params:
     swap_rate: float = 0.10
     swap_min: int = 5
     swap_checked: int = 10
+    swap_window: float = 90.0
+    swap_overlap: float = 0.5
     onset_reach: float = 2.0
     onset_trim: float = 1.5
     onset_points: int = 40

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evidence, intervals, library, series, words
+from . import dense, evidence, intervals, library, series, words
 
-_ALL = {**library.QUERIES, **intervals.QUERIES, **series.QUERIES, **words.QUERIES, **evidence.QUERIES}
+_ALL = {**library.QUERIES, **intervals.QUERIES, **series.QUERIES, **words.QUERIES, **evidence.QUERIES, **dense.QUERIES}
 
 
 def queries() -> dict[str, Callable]:

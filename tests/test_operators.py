@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelattice.functions import labels, paths, text
-from cuelattice.operators import align, intervals, library, retime, robust, runs, state, verdict
+from cuelattice.operators import align, dense, intervals, library, retime, robust, runs, state, verdict
 from cuelattice.params import DEFAULTS
 from cuelattice.sources import feeds, subtitle
 
@@ -351,3 +351,47 @@ def test_order_verdicts_are_those_of_difflib(spark):
     cases = [("the cat sat on the mat", "the cat sat", "on the mat"), ("on the mat the cat sat", "the cat sat", "on the mat"), ("nothing alike here", "the cat sat", "on the mat")]
     got = spark.createDataFrame(cases, "told string, l1 string, l2 string").select(text.order_verdict(F.col("told"), F.col("l1"), F.col("l2"))).collect()
     assert [r[0] for r in got][:2] == [False, True]
+
+
+def test_dense_anchors_use_a_cue_once_a_clip(spark):
+    cue = [(1, 0, 10.0, ["river", "bridge"]), (1, 1, 55.0, ["river", "bridge"]), (1, 2, 20.0, ["lonely"])]
+    seg = [(1, 0, 12.0, ["river", "bridge", "early"]), (1, 1, 14.0, ["river", "bridge"]), (1, 2, 31.0, ["river", "bridge"]), (1, 3, 32.0, ["lonely"])]
+    kind = "file_id long, idx long, t double, toks array<string>"
+    got = dense.dense_anchors(spark.createDataFrame(seg, kind), spark.createDataFrame(cue, kind), 30.0, 30.0, 60.0).collect()
+    assert sorted((r.clip, r.s_idx, r.c_idx) for r in got) == [(0, 0, 0), (1, 2, 0)]
+    assert dense.dense_anchors(spark.createDataFrame([], kind), spark.createDataFrame(cue, kind), 30.0, 30.0, 60.0).count() == 0
+
+
+def test_swaps_are_told_by_words_wherever_the_cue_is(spark):
+    first, second = "Nobody walked across yesterday", "because bridges collapsed overnight"
+    cue = [(1, 0, 70.0, f"{second}\n{first}"), (1, 1, 71.0, f"{first}\n{second}"), (1, 2, 72.0, f"- {second}\n- {first}"), (1, 3, 500.0, f"{second}\n{first}"), (1, 4, 70.0, first), (1, 5, 70.0, None)]
+    seg = [(1, 0, 2.0, f"{first} {second}"), (1, 1, 300.0, "nothing alike")]
+    kind = "file_id long, idx long, t double, text string"
+    cues, segments = spark.createDataFrame(cue, kind), spark.createDataFrame(seg, kind)
+    got = dense.swap_verdicts(cues, segments)
+    assert {r.idx: r.swapped for r in got.collect()} == {0: True, 1: False}
+    (row,) = dense.swap_evidence(got).collect()
+    assert (row.swapped, row.checked, row.rate) == (1, 2, 0.5)
+
+
+def test_bridge_needs_one_segment_with_words_of_both_lines(spark):
+    cues = spark.createDataFrame([(1, 0, 0.0, 4.0, ["apple"], ["pear"]), (1, 1, 50.0, 54.0, ["apple"], ["pear"])], "file_id long, idx long, start double, end double, first array<string>, second array<string>")
+    seg = spark.createDataFrame([(1, 0.0, 2.0, ["apple"]), (1, 2.0, 4.0, ["pear"]), (1, 53.0, 60.0, ["pear", "apple"])], "file_id long, start double, end double, toks array<string>")
+    assert {r.idx: r.bridge for r in dense.bridged(cues, seg, 10.0).collect()} == {0: False, 1: True}
+
+
+def test_scan_takes_the_earliest_of_the_fullest_clips_with_a_cue(spark):
+    spans = lambda *x: spark.createDataFrame([(1, *s) for s in x], "file_id long, start long, end long")
+    regions = spark.createDataFrame([(1, 0, 100)], "file_id long, lo long, hi long")
+    (row,) = dense.scan_regions(regions, spans((20, 22), (60, 62)), spans((0, 10), (20, 26), (60, 66)), 10, 5, 2, 30).collect()
+    assert (row.clip_at, row.covered) == (20, 6)
+    assert dense.scan_regions(regions, spans((200, 210)), spans((0, 10)), 10, 5, 2, 30).count() == 0
+
+
+def test_window_text_and_declared_music(spark):
+    c = spark.createDataFrame([(1, 1, 0, 9, "[Song plays]"), (1, 2, 9, 12, "second"), (1, 3, 9, 40, None)], "file_id long, idx long, start long, end long, text string")
+    w = spark.createDataFrame([(1, 0, 9), (1, 10, 20)], "file_id long, lo long, hi long")
+    assert {r.lo: r.text for r in dense.window_texts(w, c, 5).collect()} == {0: "[Song plays]\nsecond\n", 10: ""}
+    gaps = spark.createDataFrame([(1, 9, 100), (1, 9, 900), (1, 12, 60)], "file_id long, g0 long, g1 long")
+    got = dense.declared_music(gaps, c, text.declares_music(F.col("text")), 240).collect()
+    assert {(r.g0, r.g1): r.declared for r in got} == {(9, 100): True, (9, 900): False, (12, 60): False}
