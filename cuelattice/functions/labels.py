@@ -115,3 +115,66 @@ def bytes_text(n: Column) -> Column:
 
 def stretch_name(ratio: Column) -> Column:
     return F.format_string("%+.2f%%", (ratio - 1) * 100)
+
+
+# Texts of actions taken on a file that failed its check, of outcomes, and reasons why nothing was verified.
+NO_ACTION = "none (action=off)"
+NOT_VERIFIED = "Not verified — no usable Whisper sample"
+SKIPPED_SILENCE = "VAD silence-skip"
+
+
+def suspect_action(reason: Column, act_on_missing: Column, configured: Column) -> Column:
+    """What is done about a file that failed; lines that are missing are only reported unless ``act_on_missing``."""
+    return F.when((F.coalesce(reason, F.lit("")) == "missing_lines") & ~F.coalesce(act_on_missing, F.lit(False)), "off").otherwise(configured)
+
+
+def action_text(action: Column, dry_run: Column, known: Column, moved: Column, listed: Column) -> Column:
+    """What an action came to. ``known``: the file has a source to report; ``moved``: where it was put away, null if that failed; ``listed``: its source was barred."""
+    put = F.concat(F.lit("quarantined -> "), moved)
+    return cascade(
+        [
+            (action == "off", NO_ACTION),
+            (dry_run, F.concat(F.lit("would "), action, F.lit(" [dry-run]"))),
+            (((action == "quarantine") | ~known) & moved.isNull(), "quarantine failed"),
+            (action == "quarantine", put),
+            (~known, F.concat(put, F.lit("; blacklist skipped (no match)"))),
+            (~listed & moved.isNull(), "blacklist failed, and could not quarantine either"),
+            (~listed, F.concat(F.lit("blacklist failed; "), put, F.lit(" instead"))),
+        ],
+        "blacklisted",
+    )
+
+
+def unknown_reason(errors: Column) -> Column:
+    """Why a file is unknown, by its samples' errors (null for a sample without): a failed check, to be tried again, or no speech heard."""
+    failed = F.exists(errors, lambda e: F.coalesce((e != "") & ~e.startswith(SKIPPED_SILENCE), F.lit(False)))
+    return F.when(errors.isNull() | (F.size(errors) == 0) | failed, "check_failed").otherwise("no_speech_heard")
+
+
+def timing_reason(jitter: Column, least: float = 0.5) -> Column:
+    """What anchors that condemn a file's timing say: each line is off by its own, or a stretch is off as one."""
+    return F.when(F.coalesce(jitter >= least, F.lit(False)), "unreliable_timing").otherwise("partly_out_of_sync")
+
+
+def line_order_note(confirmed: Column, flagged: Column, tested: Column) -> Column:
+    """What is reported about lines in the other order; nothing is rewritten. ``tested`` is a struct ``(confirmed, checked)`` or null."""
+    share = F.when(tested.isNotNull(), F.concat(F.lit(", "), tested["confirmed"].cast("string"), F.lit("/"), tested["checked"].cast("string"), F.lit(" of the tested candidates"))).otherwise("")
+    sure = F.when(confirmed > 0, F.concat(F.lit(" Line order: "), confirmed.cast("string"), F.lit(" block(s) confirmed swapped by Whisper"), share, F.lit(" — reported, not repaired."))).otherwise("")
+    return F.concat(sure, F.when(flagged > 0, F.concat(F.lit(" Line order: "), flagged.cast("string"), F.lit(" block(s) flagged for manual review (unconfirmed)."))).otherwise(""))
+
+
+def outcome(flag: Column, status: Column, shift: Column, score: Column, action: Column) -> Column:
+    """``struct(outcome, text)`` of a file's run for its log line: ok, sync or suspect. ``score`` is text."""
+    done = F.trim(F.substring_index(F.substring_index(F.coalesce(action, F.lit("")), ";", 1), " -> ", 1))
+    out = lambda kind, said: F.struct(F.lit(kind).alias("outcome"), (said if isinstance(said, Column) else F.lit(said)).alias("text"))
+    took = F.when(done.isin("", "-", NO_ACTION), "").otherwise(F.concat(F.lit(" ("), done, F.lit(")")))
+    moved = F.coalesce(F.format_string("Synced (Δ%.1fs)", shift), F.lit("Synced"))
+    moved = F.when(shift.isNull(), "Synced").otherwise(moved)
+    return cascade(
+        [
+            (flag == "SUSPECT", out("suspect", F.concat(F.lit("SUSPECT — needs redownload"), took))),
+            (flag == "unknown", out("suspect", NOT_VERIFIED)),
+            (status.startswith("fixed"), out("sync", F.concat(moved, F.coalesce(F.concat(F.lit(", score "), score), F.lit(""))))),
+        ],
+        out("ok", F.concat(F.lit("OK"), F.coalesce(F.concat(F.lit(" (score "), score, F.lit(")")), F.lit("")))),
+    )

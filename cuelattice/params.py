@@ -71,6 +71,26 @@ class Params:
     witness_reach: float = 30.0
     witness_step: float = 0.1
     witness_cues: int = 6
+    min_change: float = 0.25
+    quarter_most: float = 1.5
+    drift_spread: float = 1.0
+    drift_onset: float = 0.30
+    condemn_shift: float = 2.5
+    condemn_dense: int = 3
+    condemn_sparse: int = 2
+    condemn_lone: float = 10.0
+    condemn_spread: float = 20.0
+    overlap_least: float = 0.25
+    offset_points: int = 40
+    offset_resid: float = 0.40
+    offset_least: float = 0.75
+    offset_after: float = 0.5
+    offset_cover: float = 0.6
+    run_reach: float = 180.0
+    run_repair_most: float = 30.0
+    short_run_k: int = 3
+    short_run_dev: float = 5.0
+    short_run_mad: float = 1.0
 
     def scaled(self, name: str, factor: float) -> Params:
         """A copy with one threshold multiplied."""
