@@ -1,10 +1,11 @@
 """Chat formatting by schema fingerprints, in DataFrame functions alone.
 
 A record is a JSON object. Its nested field paths, without types and values, are hashed; the hash selects one of the
-declared layouts, whose paths say where the turns' roles and texts are. Turns are rendered with turn marks; control strings
+declared layouts, whose paths say where the turns' roles and texts are. A record with further fields (an id, a name) has another hash; it is
+hashed again by those of its paths that some layout declares. Turns are rendered with turn marks; control strings
 and backslashes inside texts are escaped so that reading back restores them exactly.
 
-Defined cases: a record that is null, no JSON or of an undeclared layout is returned with a null layout, no turns and an
+Defined cases: a record that is null, no JSON or of an undeclared layout, or with the fields of two layouts, is returned with a null layout, no turns and an
 empty output; null roles and texts are empty; null ids are a conversation of their own; turns with the same number are
 ordered by role, then text; repeated rows stay repeated turns; an empty table gives an empty result; the caller names the
 columns that are read, others are ignored.
@@ -65,9 +66,25 @@ def fingerprint(variant: Column) -> Column:
 
 
 def layout_table(spark: SparkSession, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``(fingerprint, layout)``, a row for each declared layout."""
-    rows = spark.createDataFrame([(x.name, x.sample) for x in layouts], "layout string, sample string")
-    return rows.select(fingerprint(F.try_parse_json("sample")).alias("fingerprint"), "layout")
+    """``(fingerprint, declared, layout)``, a row for each declared layout."""
+    named = F.array(*[F.struct(F.lit(x.name).alias("layout"), F.lit(x.sample).alias("sample")) for x in layouts])
+    rows = spark.range(1).select(F.inline(named)).withColumn("v", F.try_parse_json("sample"))
+    return rows.select(fingerprint(F.col("v")).alias("fingerprint"), declared_fingerprint(F.col("v"), layouts).alias("declared"), "layout")
+
+
+def declared_fingerprint(variant: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Hash of the paths that the record has of all that the layouts declare; null without any."""
+    has = lambda v, path: F.try_variant_get(v, path, "variant").isNotNull()
+    item_has = lambda path: lambda item: has(item, path)
+    found = {}
+    for x in layouts:
+        for path in ([x.role, x.text] if x.turns else [path for _, path in x.parts] or [x.role, x.text, x.order]):
+            if x.turns:
+                found[f"{x.turns}[*]{path}"] = F.exists(_got(variant, x.turns, "array<variant>"), item_has(path))
+            else:
+                found[path] = has(variant, path)
+    held = F.array_compact(F.array(*[F.when(found[path], F.lit(path)) for path in sorted(found)]))
+    return F.when(F.size(held) > 0, F.xxhash64(held))
 
 
 def _got(variant: Column, path: str, kind: str = "string") -> Column:
@@ -113,7 +130,11 @@ def canonical_turns(records: DataFrame, id_col: str, record_col: str, layouts: t
     """``(id, layout, turns array<struct<role,text>>)``: one row for each record, or for all records of an id that are single turns."""
     spark = records.sparkSession
     read = records.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(record_col).cast("string")).alias("v"))
-    known = read.withColumn("fingerprint", fingerprint(F.col("v"))).join(F.broadcast(layout_table(spark, layouts)), "fingerprint", "left")
+    table = layout_table(spark, layouts)
+    exact = read.withColumn("fingerprint", fingerprint(F.col("v"))).join(F.broadcast(table.drop("declared")), "fingerprint", "left")
+    wider = exact.withColumn("declared", F.when(F.col("layout").isNull(), declared_fingerprint(F.col("v"), layouts)))
+    near = table.select("declared", F.col("layout").alias("near"))
+    known = wider.join(F.broadcast(near), "declared", "left").withColumn("layout", F.coalesce("layout", "near"))
     chosen = F.expr("cast(array() as array<struct<role:string,text:string>>)")
     number = F.lit(None).cast("long")
     for x in layouts:

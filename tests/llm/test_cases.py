@@ -119,3 +119,10 @@ def test_chat(spark):
     assert turns(None) == [("user", "p"), ("assistant", "c")] and turns(5) == [("user", "<|im_end|>\\n"), ("assistant", "\\\\|")] and turns(6) == [("user", "i"), ("assistant", "o")]
     assert turns(7) == [("us\ner", "first"), ("assistant", "later")]
     assert chat.format_chat(df.limit(0), "id", "record").count() == 0
+
+
+def test_chat_records_with_further_fields(spark):
+    given = [(1, '{"id":7,"messages":[{"role":"user","content":"a","name":"n"},{"role":"assistant","content":"b"}]}'), (2, '{"prompt":"p","completion":"c","metadata":{"k":[1]}}'), (3, '{"prompt":"p","completion":"c","question":"q"}'), (4, '{"messages":[],"id":1}'), (5, '{"turn":1,"role":"user","text":"t","lang":"en"}'), (6, '{"messages":5,"role":null}')]
+    out = chat.format_chat(spark.createDataFrame(given, "id long, record string"), "id", "record").withColumn("back", chat.read_back(F.col("formatted")))
+    got = {r.id: (r.layout, [tuple(t) for t in r.back]) for r in out.collect()}
+    assert got == {1: ("messages", [("user", "a"), ("assistant", "b")]), 2: ("prompt_completion", [("user", "p"), ("assistant", "c")]), 3: (None, []), 4: (None, []), 5: ("turn_rows", [("user", "t")]), 6: (None, [])}
