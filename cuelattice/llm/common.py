@@ -29,12 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path under the shared folder that is not there yet; what is written there goes with :func:`release`."""
+    path = f"{shared_folder(spark)}/cuelattice-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cuelattice-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lattice, licenses, packing, quality, sharding, simhash, suffix
+from . import chat, conversations, decontaminate, langid, lattice, licenses, packing, quality, sharding, simhash, suffix, warc
+from .common import durable, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,9 +137,86 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_blocks", F.size("findings").cast("long").alias("n_findings"), F.array_join(names, ",").alias("licenses"), F.array_join(first, ",").alias("places"), F.array_max(F.transform("findings", lambda f: f["saved"])).alias("most_saved"))
 
 
+def damaged(talks: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` with nulls as a space and planted faults, dealt by a checksum of conversation and turn."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.regexp_replace("_text", "[.!?]", "")).otherwise(F.col("_text"))
+    rows = talks.select("conv_id", "turn", space("role").alias("_role"), space("text").alias("_text"), fault.alias("_fault")).where("_fault != 0")
+    once = rows.select("conv_id", "turn", F.when(F.col("_fault") == 4, "user").otherwise(F.col("_role")).alias("role"), text.alias("text"), F.when(F.col("_fault") == 3, 2).otherwise(1).alias("_n"))
+    return once.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations")
+    turns = damaged(talks)
+    rows = conversations.rows_in_order(turns)
+    blocks = conversations.blocks_of(rows)
+    repaired = durable(conversations.repair(rows, blocks))
+    told = conversations.counts(repaired).join(conversations.illegal_pairs(blocks).withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i")))
+    told = told.join(conversations.digests(conversations.repaired_turns(turns, repaired)).withColumnRenamed("id", "j"), F.col("id").eqNullSafe(F.col("j")))
+    out = talks.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    columns = [number(F.col(c)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated")]
+    illegal = number(F.col("illegal") + F.col("further")).alias("illegal")
+    return out.select("conv_id", *columns, illegal, number(F.col("cost")).alias("cost"), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, b:
+  list_reduce(list_prepend(xor(x, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 20 AS fault FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM f WHERE fault <> 0),
+n AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, lag(substr(role, 1, 1)) OVER w AS before,
+  regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1, 's') AS said FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+r AS (SELECT conv_id, i, role, text, substr(role, 1, 1) AS q, said = '' OR again AS gone, CASE WHEN said IN ('.', '!', '?') THEN 0 ELSE 5 END AS more FROM n),
+t AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (said = '') AS blank, count(*) FILTER (said <> '' AND again) AS duplicate,
+  count(*) FILTER (said NOT IN ('', '.', '!', '?') AND NOT again) AS truncated, count(*) FILTER (before IS NOT NULL AND before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM n GROUP BY conv_id),
+c AS (SELECT conv_id, n AS i, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} AS s0, {'c': 10, 'a': 'II', 't': ['user:', 'assistant:']} AS s1, {'c': 5, 'a': 'I', 't': ['assistant:']} AS s2, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} AS s3 FROM t
+  UNION ALL
+  SELECT conv_id, i, least(b0, {'c': 5 + e2.c, 'a': 'I' || e2.a, 't': list_prepend('user:', e2.t)}), least(b1, {'c': 5 + e2.c, 'a': 'I' || e2.a, 't': list_prepend('user:', e2.t)}), e2, least(b3, {'c': 5 + b2.c, 'a': 'I' || b2.a, 't': list_prepend('user:', b2.t)})
+  FROM (SELECT *, least(b2, {'c': 5 + b3.c, 'a': 'I' || b3.a, 't': list_prepend('assistant:', b3.t)}) AS e2
+  FROM (SELECT c.conv_id, c.i - 1 AS i,
+    list_min([{'c': 2 + s0.c, 'a': 'D' || s0.a, 't': s0.t}, {'c': CASE WHEN gone OR q NOT IN ('s', 'u') THEN 1000000 ELSE more + CASE q WHEN 's' THEN s1.c ELSE s2.c END END, 'a': 'K' || CASE q WHEN 's' THEN s1.a ELSE s2.a END, 't': list_prepend(role || ':' || text, CASE q WHEN 's' THEN s1.t ELSE s2.t END)},
+      {'c': CASE WHEN gone THEN 1000000 ELSE 1 + more + s2.c END, 'a': 'R' || s2.a, 't': list_prepend('user:' || text, s2.t)}]) AS b0,
+    list_min([{'c': 2 + s1.c, 'a': 'D' || s1.a, 't': s1.t}, {'c': CASE WHEN gone OR q <> 'u' THEN 1000000 ELSE more + s2.c END, 'a': 'K' || s2.a, 't': list_prepend(role || ':' || text, s2.t)},
+      {'c': CASE WHEN gone THEN 1000000 ELSE 1 + more + s2.c END, 'a': 'R' || s2.a, 't': list_prepend('user:' || text, s2.t)}]) AS b1,
+    list_min([{'c': 2 + s2.c, 'a': 'D' || s2.a, 't': s2.t}, {'c': CASE WHEN gone OR q <> 'a' THEN 1000000 ELSE more + s3.c END, 'a': 'K' || s3.a, 't': list_prepend(role || ':' || text, s3.t)},
+      {'c': CASE WHEN gone THEN 1000000 ELSE 1 + more + s3.c END, 'a': 'R' || s3.a, 't': list_prepend('assistant:' || text, s3.t)}]) AS b2,
+    list_min([{'c': 2 + s3.c, 'a': 'D' || s3.a, 't': s3.t}, {'c': CASE WHEN gone OR q <> 'u' THEN 1000000 ELSE more + s2.c END, 'a': 'K' || s2.a, 't': list_prepend(role || ':' || text, s2.t)},
+      {'c': CASE WHEN gone THEN 1000000 ELSE 1 + more + s2.c END, 'a': 'R' || s2.a, 't': list_prepend('user:' || text, s2.t)}]) AS b3
+  FROM c JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = c.i)))
+SELECT o.conv_id, CAST(coalesce(t.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(t.blank, 0) AS BIGINT) AS blank, CAST(coalesce(t.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(t.truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(t.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(c.s0.c, 0) AS BIGINT) AS cost, coalesce(c.s0.a, '') AS audit, sha256(coalesce(array_to_string(c.s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id AND c.i = 0
+"""
+
+
+def op13_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    warc.store(_table(spark, sf_dir, "pages"), path)
+    read = warc.restore(spark, path)
+    name = lambda line: F.regexp_extract(warc.field(F.col("header"), line), r"^<urn:page:(-?\d*):", 1)
+    number = lambda line: F.when(name(line) != "", name(line)).cast("long")
+    return read.where("octet_length(record) > 0").select(number("WARC-Record-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"), warc.field(F.col("header"), "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+n AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS f, sha1(b) AS h FROM p WINDOW w AS (PARTITION BY b ORDER BY page_id NULLS LAST, url))
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST(concat('0x', substr(h, CAST(1 + 5 * (i // 4) AS INTEGER), 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to
+FROM n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f) and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op7_suffix_array_dedup": OP7_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op7_suffix_array_dedup": OP7_SQL, "op11_conversation_repair": OP11_SQL, "op13_content_addressed_archive": OP13_SQL}
