@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, conversations, decontaminate, langid, lattice, licenses, packing, quality, sharding, simhash, suffix, warc
+from . import chat, conversations, decontaminate, divergence, langid, lattice, licenses, packing, quality, sharding, simhash, suffix, warc
 from .common import durable, new_path
 
 
@@ -195,6 +195,29 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN t ON t.conv_id IS
 """
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS c FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+n AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN v USING (lang, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 2) // (coalesce(t.n, 0) + 2 * n.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (v.c + 2) // (n.n + 2 * n.v) AS q
+  FROM g JOIN v USING (lang) JOIN n USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def op13_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     warc.store(_table(spark, sf_dir, "pages"), path)
@@ -219,4 +242,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op7_suffix_array_dedup": OP7_SQL, "op11_conversation_repair": OP11_SQL, "op13_content_addressed_archive": OP13_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op7_suffix_array_dedup": OP7_SQL, "op11_conversation_repair": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_content_addressed_archive": OP13_SQL}
