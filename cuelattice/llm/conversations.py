@@ -172,7 +172,7 @@ def rows_in_order(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     said = F.regexp_extract(text, rf"(?s)([^{SPACE}])[{SPACE}]*\z", 1)
     me = F.struct(F.col(id_col).alias("id"), F.col(turn_col).cast("long").alias("turn"))
     flat = turns.select(me.alias("me"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.sha2(text.cast("binary"), 256).alias("digest"), F.substring(text, 1, 32).alias("head"), (said == "").alias("blank"), (~said.isin(".", "!", "?")).alias("cut_off"))
-    rows = flat.groupBy("me", "role", "digest").agg(F.count("*").alias("copies"), F.min("head").alias("head"), F.min("blank").alias("blank"), F.min("cut_off").alias("cut_off"))
+    rows = flat.groupBy("me", "role", "digest", "head", "blank", "cut_off").agg(F.count("*").alias("copies"))
     firsts = flat.groupBy(F.struct("me.id").alias("who"), "role", "digest").agg(F.min(F.struct(F.col("me.turn").isNotNull().alias("told"), F.col("me.turn").alias("turn"))).alias("f"))
     firsts = firsts.select(F.struct("who.id", "f.turn").alias("me"), "role", "digest", F.lit(True).alias("first"))
     order = ["me.id", "me.turn", "role", "head", "digest"]
