@@ -6,59 +6,63 @@ prefix ranges and merged where equal terms meet. A second traversal streams the
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import bounded_batches, durable, utf8
 
-#: Counted (source, term) pairs after which a task folds them into its tries, and leaves after which the tries are sent off.
-PENDING, LEAVES = 300_000, 150_000
+#: Numbers of (group, term) pairs after which a task folds them into its tries, and leaves after which the tries are sent off.
+PENDING, LEAVES = 1_500_000, 400_000
 #: Groups that one broadcast holds, pairs of sources whose sums a task keeps, and numbers of one dense block.
 GROUPS, KEPT_PAIRS, CELLS = 1_000_000, 4_000_000, 1 << 20
-SCALE = 1_000_000_000
+#: Bits of a key: a language's number (13), a term's (27), a source's (23). A task starts new numbers before they run out.
+TERMS, SOURCES = (1 << 27) - 1, (1 << 23) - 1
 #: Letters lower-cased, bytes of other characters as they are, everything else a space.
 TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-#: Key of a leaf's counter of documents.
-DOCS = -1
 
 
 class Trie:
-    """Radix trie over bytes. A node is ``[label, children by first byte, counters]``; leaves are nodes with counters."""
+    """Radix trie over bytes. A node is ``[label, children by first byte or None, leaf or None]``; a leaf is ``[documents, sources, counts]``."""
 
     def __init__(self) -> None:
         self.root: list = [b"", {}, None]
         self.leaves = 0
 
-    def counters(self, term: bytes) -> dict[int, int]:
-        """The counters of a term, made on first use: an edge that the term leaves half-way is split there."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
+    def leaf(self, term: bytes) -> list:
+        """The leaf of a term, made on first use: an edge that the term leaves half-way is split there."""
+        node, at, end = self.root, 0, len(term)
+        while at < end:
+            children = node[1]
+            if children is None:
+                children = node[1] = {}
+            child = children.get(term[at])
             if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                at = len(term)
+                child = children[term[at]] = [term[at:], None, None]
+                at = end
             elif term.startswith(child[0], at):
                 at += len(child[0])
             else:
                 label, same = child[0], 1
-                while at + same < len(term) and same < len(label) and label[same] == term[at + same]:
+                while at + same < end and same < len(label) and label[same] == term[at + same]:
                     same += 1
                 child[0] = label[same:]
-                child = node[1][term[at]] = [label[:same], {label[same]: child}, None]
+                child = children[term[at]] = [label[:same], {label[same]: child}, None]
                 at += same
             node = child
         if node[2] is None:
-            node[2] = {}
+            node[2] = [0, [], []]
             self.leaves += 1
         return node[2]
 
-    def __iter__(self) -> Iterator[tuple[bytes, dict[int, int]]]:
+    def __iter__(self) -> Iterator[tuple[bytes, list]]:
         """Leaves in the order of their bytes, which is UTF-8's order of code points."""
         open_nodes = [(b"", self.root)]
         while open_nodes:
@@ -70,6 +74,22 @@ class Trie:
                 open_nodes += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
 
 
+class Numbers(dict):
+    """Keys numbered in the order in which they are asked for."""
+
+    def __missing__(self, key) -> int:  # noqa: ANN001
+        self[key] = n = len(self)
+        return n
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 LEAF = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 LEAF_TYPE = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
 
@@ -82,58 +102,70 @@ def leaves_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     rows = docs.select(name(lang_col).alias("lang"), name(source_col).alias("source"), utf8(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        tries: dict[str, Trie] = defaultdict(Trie)
-        counted: dict[tuple[str, int], Counter] = defaultdict(Counter)
-        seen_in: dict[str, Counter] = defaultdict(Counter)
+        words, langs, sources = Numbers(), Numbers(), Numbers()
+        tries: dict[int, Trie] = defaultdict(Trie)
+        # pending counts by (language, term, source) and documents by (language, term)
+        counts, docs = (np.zeros(0, np.int64), np.zeros(0, np.int64)), (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
         def fold() -> None:
-            for counters, key in [*((c, k) for k, c in counted.items()), *((c, (lang, DOCS)) for lang, c in seen_in.items())]:
-                trie, source = tries[key[0]], key[1]
-                for term, n in counters.items():
-                    own = trie.counters(term)
-                    own[source] = own.get(source, 0) + n
-            counted.clear()
-            seen_in.clear()
+            nonlocal counts, docs
+            key, n = counts
+            if not len(key):
+                return
+            term_of, source = key >> 23, (key & SOURCES).tolist()
+            start = np.flatnonzero(np.append(True, term_of[1:] != term_of[:-1]))
+            told, n, terms = docs[1].tolist(), n.tolist(), list(words)
+            for k, (here, a, b) in enumerate(zip(term_of[start].tolist(), start.tolist(), [*start[1:].tolist(), len(key)], strict=True)):
+                leaf = tries[here >> 27].leaf(terms[here & TERMS])
+                leaf[0] += told[k]
+                leaf[1] += source[a:b]
+                leaf[2] += n[a:b]
+            counts = docs = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
         def sent() -> Iterator[pa.RecordBatch]:
-            told = list(names)
+            names, of = list(sources), list(langs)
             for lang, trie in tries.items():
-                terms, seen, ends, sources, counts = [], [], [0], [], []
-                for term, counters in trie:
-                    seen.append(counters.pop(DOCS))
-                    sources.extend(counters)
-                    counts.extend(counters.values())
-                    ends.append(len(counts))
-                    terms.append(term)
-                    if len(terms) >= 20_000:
-                        yield batch_of(lang, terms, seen, ends, sources, counts, told)
-                        terms, seen, ends, sources, counts = [], [], [0], [], []
-                if terms:
-                    yield batch_of(lang, terms, seen, ends, sources, counts, told)
-            tries.clear()
-            names.clear()
+                part: list[tuple[bytes, list]] = []
+                for one in trie:
+                    part.append(one)
+                    if len(part) >= 20_000:
+                        yield batch_of(of[lang], part, names)
+                        part = []
+                if part:
+                    yield batch_of(of[lang], part, names)
+            for table in (tries, words, langs, sources):
+                table.clear()
 
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.translate(TABLE).split() if text else []
-                if words:
-                    counted[lang, names.setdefault(source, len(names))].update(words)
-                    seen_in[lang].update(set(words))
-            if sum(map(len, counted.values())) >= pending:
-                fold()
-                if sum(t.leaves for t in tries.values()) >= leaves:
-                    yield from sent()
+            for step in range(0, batch.num_rows, 4096):
+                part = batch.slice(step, 4096)
+                lang = np.fromiter(map(langs.__getitem__, part.column(0).to_pylist()), np.int64)
+                source = np.fromiter(map(sources.__getitem__, part.column(1).to_pylist()), np.int64)
+                told = [np.fromiter(map(words.__getitem__, t.translate(TABLE).split()), np.int64) if t else np.zeros(0, np.int64) for t in part.column(2).to_pylist()]
+                each = np.repeat(np.arange(len(told)), [len(t) for t in told])
+                doc_term, n = np.unique(each << 27 | np.concatenate(told), return_counts=True)
+                doc, term = doc_term >> 27, doc_term & TERMS
+                lang_term = lang[doc] << 27 | term
+                counts = added(np.concatenate([counts[0], lang_term << 23 | source[doc]]), np.concatenate([counts[1], n]))
+                docs = added(np.concatenate([docs[0], lang_term]), np.concatenate([docs[1], np.ones(len(doc), np.int64)]))
+                full = len(words) > leaves or len(langs) >= 2000 or len(sources) >= SOURCES - 4096
+                if len(counts[0]) >= pending or full:
+                    fold()
+                    if full or sum(t.leaves for t in tries.values()) >= leaves:
+                        yield from sent()
         fold()
         yield from sent()
 
     return rows.mapInArrow(run, LEAF_TYPE)
 
 
-def batch_of(lang: str, terms: list[bytes], seen: list[int], ends: list[int], sources: list[int], counts: list[int], names: list[str]) -> pa.RecordBatch:
-    offsets = pa.array(ends, pa.int32())
-    named = pa.array(names, pa.string()).take(pa.array(sources, pa.int64()))
-    columns = [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(seen, pa.int64()), pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))]
+def batch_of(lang: str, part: list[tuple[bytes, list]], names: list[str]) -> pa.RecordBatch:
+    """Leaves of one language's trie as rows; sources are named."""
+    terms, leaves = zip(*part, strict=True)
+    offsets = pa.array(np.cumsum([0, *(len(x[1]) for x in leaves)]), pa.int32())
+    named = pa.array(names, pa.string()).take(pa.array(list(chain.from_iterable(x[1] for x in leaves)), pa.int64()))
+    counts = pa.array(list(chain.from_iterable(x[2] for x in leaves)), pa.int64())
+    columns = [pa.array([lang] * len(part), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([x[0] for x in leaves], pa.int64()), pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, counts)]
     return pa.RecordBatch.from_arrays(columns, schema=LEAF)
 
 
@@ -146,34 +178,49 @@ def merged(leaves: DataFrame, least_docs: int = 10) -> DataFrame:
     ranged = leaves.repartitionByRange("lang", F.substring("term", 1, 64)).sortWithinPartitions("lang", "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, leaf, docs = None, {}, 0
-        out: list[tuple] = []
-
-        def close() -> None:
-            if held is not None and docs >= least_docs:
-                out.append((*held, docs, list(leaf), list(leaf.values())))
-
+        held: pa.Table | None = None
         for batch in batches:
-            langs, terms, seen, sources, counts = batch.columns
-            at = np.asarray(sources.offsets)
-            names, numbers = sources.values.to_pylist(), counts.values.to_pylist()
-            for k, (lang, term, n) in enumerate(zip(langs.to_pylist(), terms.to_pylist(), seen.to_pylist(), strict=True)):
-                if held != (lang, term):
-                    close()
-                    held, leaf, docs = (lang, term), {}, 0
-                docs += n
-                for j in range(at[k], at[k + 1]):
-                    leaf[names[j]] = leaf.get(names[j], 0) + numbers[j]
-            if len(out) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), LEAF, strict=True)], schema=LEAF)
-                out = []
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), LEAF, strict=True)], schema=LEAF)
+            rows = pa.Table.from_batches([batch])
+            rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+            starts = _first_of_each(rows)
+            if len(starts) and starts[-1]:
+                yield from _summed(rows.slice(0, starts[-1]), starts[:-1], least_docs)
+            held = rows.slice(starts[-1]) if len(starts) else rows
+        if held is not None and held.num_rows:
+            yield from _summed(held.combine_chunks(), _first_of_each(held.combine_chunks()), least_docs)
 
     return ranged.mapInArrow(run, LEAF_TYPE)
 
 
+def _first_of_each(rows: pa.Table) -> np.ndarray:
+    """Places where the (language, term) of sorted rows changes."""
+    new = np.ones(rows.num_rows, bool)
+    if rows.num_rows > 1:
+        same = [pc.equal(rows[c].slice(1), rows[c].slice(0, rows.num_rows - 1)).to_numpy() for c in ("lang", "term")]
+        new[1:] = ~(same[0] & same[1])
+    return np.flatnonzero(new)
+
+
+def _summed(rows: pa.Table, starts: np.ndarray, least_docs: int) -> Iterator[pa.RecordBatch]:
+    """One leaf for each run of rows, without those in too few documents; counts of a source are added."""
+    seen = rows["docs"].to_numpy()
+    docs = np.add.reduceat(seen, starts)
+    keep = docs >= least_docs
+    if not keep.any():
+        return
+    group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(seen)]))
+    mine = rows.filter(pa.array(keep[group])).combine_chunks()
+    lists, counts = mine["sources"].chunk(0), mine["counts"].chunk(0)
+    names = lists.flatten().dictionary_encode()
+    entry = np.repeat((np.cumsum(keep) - 1)[group[keep[group]]], lists.value_lengths().to_numpy())
+    wide = max(1, len(names.dictionary))
+    key, n = added(entry * wide + names.indices.to_numpy(), counts.flatten().to_numpy())
+    offsets = pa.array(np.searchsorted(key // wide, np.arange(keep.sum() + 1)), pa.int32())
+    first = rows.take(pa.array(starts[keep])).combine_chunks()
+    columns = [first["lang"].chunk(0), first["term"].chunk(0), pa.array(docs[keep]), pa.ListArray.from_arrays(offsets, names.dictionary.take(pa.array(key % wide))), pa.ListArray.from_arrays(offsets, pa.array(n))]
+    yield pa.RecordBatch.from_arrays(columns, schema=LEAF)
+
+
 def shares(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:
     """``1 + floor(10^9 * (count + 2) / total)`` by long division in base 1,000, exact for totals below 9 * 10^15."""
     rest, found = counts + 2, np.zeros_like(counts)
