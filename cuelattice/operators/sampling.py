@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, transcript
 from ..params import DEFAULTS, Params
+from ..stored import stored
 from .align import match
 
 KEY = "file_id"
@@ -127,7 +128,7 @@ def sample_slots(files: DataFrame, cues: DataFrame, clusters: DataFrame, states:
     fillers = pick_times(densest_starts(regions, cues, clip, width), states, cues, clip, nudges, least, width).select(KEY, F.lit("filler").alias("kind"), "slot", "lo", "hi", "at", (F.col("at") + clip).alias("until"))
     starting = _meet(regions, clusters.select(KEY, F.col("lo").alias("at"), F.col("hi").alias("until")), width).groupBy(KEY, "slot", "lo", "hi").agg(F.min(F.struct("at", "until")).alias("c"))
     heuristic = starting.select(KEY, F.lit("heuristic").alias("kind"), "slot", "lo", "hi", F.col("c.at").alias("at"), F.col("c.until").alias("until"))
-    chosen = fillers.unionByName(heuristic)
+    chosen = stored(fillers.unionByName(heuristic))
     wanted = targets.select(KEY, "lo", "hi").distinct()
     covered = _meet(wanted, chosen.where("at is not null").select(KEY, "at"), width).select(KEY, "lo", "hi").distinct()
     bare = wanted.join(covered, [KEY, "lo", "hi"], "left_anti").where("hi > lo").withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("long"))

@@ -117,6 +117,17 @@ def _shown(lines: DataFrame) -> DataFrame:
     return pair.select(F.col("conv").alias("file_id"), F.col("i").alias("idx"), "start", "end", F.array_join(F.when(other, F.reverse("l")).otherwise(F.col("l")), "\n").alias("text"), other.alias("planted"))
 
 
+def _said(lines: DataFrame) -> DataFrame:
+    """What the ``base`` model hears, cut in the middle of lines: a segment is the later half of one line and the earlier half of the next."""
+    words = F.split("text", " ")
+    half = F.ceil(F.size(words) / 2).cast("int")
+    middle = F.floor((F.col("start") + F.col("end")) / 2).cast("long")
+    parts = F.array(F.struct(F.col("k").alias("g"), "start", middle.alias("end"), F.slice(words, F.lit(1), half).alias("w")), F.struct((F.col("k") + 1).alias("g"), middle.alias("start"), "end", F.filter(words, lambda w, i: i >= half).alias("w")))
+    pieces = heard(lines, {"base": MODELS["base"]}).select("conv", F.explode(parts).alias("p")).select("conv", "p.*")
+    whole = pieces.groupBy("conv", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda x: x["w"])).alias("w"))
+    return whole.select(F.col("conv").alias("file_id"), F.col("g").alias("idx"), "start", "end", F.array_join("w", " ").alias("text"))
+
+
 _SHOWN = """sh AS (SELECT conv AS f, (k - 1) // 2 AS i, min(s0) AS s, max(s0 + len) AS e, list(text ORDER BY k) AS l FROM v GROUP BY conv, (k - 1) // 2),
 c AS (SELECT f, i, s, e, array_to_string(CASE WHEN CAST(concat('0x', substr(md5(concat_ws('|', 'swap', f, i)), 1, 2)) AS INTEGER) < 32 THEN list_reverse(l) ELSE l END, chr(10)) AS text, len(l) AS nl FROM sh)"""
 
@@ -186,7 +197,7 @@ def grid_votes(spark: SparkSession, d: str) -> DataFrame:
 def sampled_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Sampled check from slots to verdict: clips of earlier runs reused, lines judged where a heuristic clip holds them. Ratios of matching blocks are beyond SQL, a test does it by hand."""
     lines = stored(verified(spark, d))
-    files, cues, said = _files(lines), stored(_shown(lines)), stored(_spans(heard(lines, {"base": MODELS["base"]})))
+    files, cues, said = _files(lines), stored(_shown(lines)), stored(_said(lines))
     clips = stored(sampling.with_cache(_slots(spark, d, lines, files, cues), _cached(files), CLIP, WIDTH))
     samples = clips.join(sampling.clip_evidence(clips, said, cues, REACH, WIDTH), ["file_id", "at", "until"], "left")
     orders = sampling.judged_order(cues, said, WIDTH)
@@ -201,7 +212,7 @@ def sampled_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def full_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Full check: every two-line cue judged, five times the regions scored, anchors each minute elsewhere. Ratios of matching blocks are beyond SQL, a test does it by hand."""
     lines = stored(verified(spark, d))
-    files, cues, said = _files(lines), stored(_shown(lines)), stored(_spans(heard(lines, {"base": MODELS["base"]})))
+    files, cues, said = _files(lines), stored(_shown(lines)), stored(_said(lines))
     windows = sampling.full_windows(files, cues, CLIP, WIDTH)
     samples = stored(sampling.clip_evidence(windows, said, cues, REACH, WIDTH).where("said > 0"))
     more = sampling.uncovered(sampling.grid(files, CLIP, 60_000), samples, 30_000, WIDTH)
@@ -213,7 +224,7 @@ def full_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_FILES}, q AS (SELECT conv AS f, k AS i, s0 AS s, s0 + len AS e FROM v WHERE turn % 2 = 1), m AS (SELECT f, s, max(e) OVER (PARTITION BY f ORDER BY s, e, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g0 FROM q),
 g AS (SELECT f, g0, s AS g1 FROM m WHERE s - g0 >= 8000), t AS (SELECT f, g0, g1, lo, least(lo + {CLIP}, g1) AS hi FROM (SELECT f, g0, g1, unnest(range(g0, g1, {CLIP})) AS lo FROM g)),
-p AS (SELECT t.f, g0, lo, hi - lo AS cost, coalesce(sum(least(hb.e, hi) - greatest(hb.s, lo)), 0) AS speech, coalesce(sum(CASE WHEN hb.s >= lo AND hb.s < hi THEN len(string_split(hb.text, ' ')) END), 0) AS words FROM t LEFT JOIN hb ON hb.f = t.f AND hb.s < hi AND hb.e > lo GROUP BY 1, 2, 3, 4),
+p AS (SELECT t.f, g0, lo, hi - lo AS cost, coalesce(sum(CASE WHEN hb.s IS NOT NULL THEN least(hb.e, hi) - greatest(hb.s, lo) END), 0) AS speech, coalesce(sum(CASE WHEN hb.s >= lo AND hb.s < hi THEN len(string_split(hb.text, ' ')) END), 0) AS words FROM t LEFT JOIN hb ON hb.f = t.f AND hb.s < hi AND hb.e > lo GROUP BY 1, 2, 3, 4),
 c AS (SELECT f, g0, lo, cost, sum(speech) OVER w AS speech, sum(words) OVER w AS words FROM p WINDOW w AS (PARTITION BY f, g0 ORDER BY lo)), h AS (SELECT *, min(CASE WHEN speech >= 9000 AND words >= 20 THEN lo END) OVER (PARTITION BY f, g0) AS stop FROM c)
 SELECT f AS file_id, g0 AS gap, CAST(sum(cost) AS BIGINT) AS cost, count(*) AS probes, max(stop) IS NOT NULL AS hit, CAST(max(speech) AS BIGINT) AS speech, CAST(max(words) AS BIGINT) AS words FROM h WHERE stop IS NULL OR lo <= stop GROUP BY f, g0""")
 def missing_middle(spark: SparkSession, d: str) -> DataFrame:
