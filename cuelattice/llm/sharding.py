@@ -108,7 +108,8 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 0, bucket_r
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    fixed = durable(df.drop("shard", "slot"))
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    fixed = durable(df.select(F.struct(*[F.col(f"`{c}`").alias(f"f{k}") for k, c in enumerate(names)]).alias("row")))
     counts = {r[0]: r[1] for r in fixed.groupBy(F.spark_partition_id()).count().collect()}
     sent = np.array([counts.get(k, 0) for k in range(max(counts, default=-1) + 1)], np.int64)
     buckets = bucket_sizes(int(sent.sum()), shards, bucket_rows)
@@ -131,7 +132,6 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 0, bucket_r
         if at != (0 if to is None else len(to)):
             raise RuntimeError(f"partition {own} has {at} rows now and was counted with {rows[own]}")
 
-    names = [f.name for f in fixed.schema.fields]
     dealt = fixed.mapInArrow(deal, schema)
     order = Window.partitionBy("_bucket").orderBy("_draw", "_tie")
     where = F.element_at(F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(a).cast("long").alias("at")) for s, a, _ in buckets]), F.col("_bucket") + 1) if len(buckets) <= 64 else None
@@ -141,4 +141,4 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 0, bucket_r
     else:
         table = spark.createDataFrame([(k, (s, a)) for k, (s, a, _) in enumerate(buckets)], "_bucket int, _where struct<shard:int,at:long>")
         numbered = numbered.join(table, "_bucket")
-    return numbered.select(*names, F.col("_where.shard").alias("shard"), (F.col("_where.at") + F.col("_place")).alias("slot"))
+    return numbered.select(*[F.col(f"row.f{k}").alias(c) for k, c in enumerate(names)], F.col("_where.shard").alias("shard"), (F.col("_where.at") + F.col("_place")).alias("slot"))

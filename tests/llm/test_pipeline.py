@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuelattice.llm import registry, shingles, simhash, suffix
+from cuelattice.llm import registry, sharding, shingles, simhash, suffix
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir):
@@ -35,6 +35,31 @@ def test_stages_take_empty_tables(spark, sf_dir):
         assert stage(spark, docs, sf_dir).count() == 0
 
 
+def test_stages_keep_clashing_columns_as_they_are(spark, sf_dir):
+    own = {"score": F.lit("mine"), "lang_pred": F.lit(7), "spans": F.lit(1.5), "item_ids": F.lit("i"), "n_words": F.lit("n"), "touched": F.lit("t"), "kept": F.lit(3), "_row": F.lit("r"), "__text": F.lit("x"), "_text_read": F.lit("y"), "_bucket": F.lit("b"), "whole": F.lit("w"), "a.b": F.lit(9)}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("n_chars").limit(40)
+    docs = docs.unionByName(docs.limit(3)).select("*", *[v.alias(c) for c, v in own.items()])
+    values = tuple(docs.select(*[f"`{c}`" for c in own]).first())
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, sf_dir).collect(), docs.schema)
+        assert now.columns == docs.columns and {tuple(r) for r in now.select(*[f"`{c}`" for c in own]).collect()} == {values}, name
+    assert now.count() > 0
+    shuffled = sharding.shuffle_into_shards(docs, 4)
+    assert shuffled.columns == [*docs.columns, "shard", "slot"] and {tuple(r) for r in shuffled.select(*[f"`{c}`" for c in own]).collect()} == {values}
+
+
+def test_sequences_can_be_built_from_the_result(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    pieces = corpus_pipeline.packing_stage(spark, docs, sf_dir).collect()
+    sequences = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        told = sequences.setdefault(p.sequence_id, [])
+        assert p.offset == len(told) and len(p.ids) == 4 * p.length
+        told += np.frombuffer(p.ids, "<u4").tolist()
+    assert all(len(s) <= 4096 for s in sequences.values()) and sum(map(len, sequences.values())) == sum(p.length for p in pieces)
+
+
 def _components(texts):
     """Smallest index each text is linked to, by comparing all pairs of five-word shingle sets."""
     sets = []
