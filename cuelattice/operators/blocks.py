@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..stored import stored
 
@@ -128,15 +129,66 @@ def drift(a: DataFrame, b: DataFrame, grams: tuple[int, ...] = (4, 1)) -> DataFr
     )
 
 
-def word_quality(truth: DataFrame, heard: DataFrame, by: str, grams: tuple[int, ...] = (8, 3, 1)) -> DataFrame:
+def _names(ids: np.ndarray, times: int) -> np.ndarray:
+    """Names of the runs of ``2 ** times`` ids at each place: equal names are equal runs."""
+    for k in range(times):
+        whole = max(0, len(ids) - (1 << k))
+        ids = np.unique(ids[:whole].astype(np.int64) << 32 | ids[len(ids) - whole :], return_inverse=True)[1]
+    return ids
+
+
+def matched_tokens(a: np.ndarray, b: np.ndarray, doublings: tuple[int, ...] = (3, 1, 0)) -> int:
+    """Tokens in the matching blocks of two sequences of one file, found as :func:`matching_blocks` finds them: grams of 8, 2 and 1 tokens, by exact names, in the windows that are left."""
+    ids = np.unique(np.concatenate((a, b)), return_inverse=True)[1] if len(a) and len(b) else np.zeros(0, np.int64)
+    windows, hits = [(0, len(a), 0, len(b))] if len(ids) else [], 0
+    # one number that occurs in neither parts the two sides, so that no name spans them
+    joined = np.concatenate((ids[: len(a)], [len(ids)], ids[len(a) :])) if len(ids) else ids
+    for times in doublings:
+        size, names, left = 1 << times, _names(joined, times), []
+        for a0, a1, b0, b1 in windows:
+            if min(a1 - a0, b1 - b0) < size:
+                left.append((a0, a1, b0, b1))
+                continue
+            x, y = names[a0 : a1 - size + 1], names[len(a) + 1 + b0 : len(a) + 1 + b1 - size + 1]
+            order = np.argsort(y, kind="stable")
+            first, last = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+            n = last - first
+            i = np.repeat(np.arange(len(x)), n)
+            j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+            if not len(i):
+                left.append((a0, a1, b0, b1))
+                continue
+            along = np.lexsort((i, j - i))
+            i, j = i[along], j[along]
+            new = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(j) != 1)))
+            length = np.diff(np.append(new, len(i))) + size - 1
+            found = sorted(_longest_first(i[new], j[new], length, size))
+            at = (0, 0)
+            for p, q, own in [*found, (a1 - a0, b1 - b0, 0)]:
+                left.append((a0 + at[0], a0 + p, b0 + at[1], b0 + q))
+                at, hits = (p + own, q + own), hits + own
+        windows = [w for w in left if w[1] > w[0] and w[3] > w[2]]
+    return hits
+
+
+@F.pandas_udf(T.LongType())
+def _hits(truth: pd.Series, heard: pd.Series) -> pd.Series:
+    return pd.Series([matched_tokens(np.asarray(a, dtype=str), np.asarray(b, dtype=str)) for a, b in zip(truth, heard, strict=True)], dtype="int64")
+
+
+def word_quality(truth: DataFrame, heard: DataFrame, by: str) -> DataFrame:
     """``(by, words, heard, hits, recall, precision, f1)``: words of transcripts against the verified text, added up over the files of each ``by``.
 
-    ``truth`` and ``heard`` have ``(file_id, by, pos, token)``; a file is one transcript, with its own copy of the truth. Groups in which either side has no word are left out.
+    ``truth(file_id, words)`` and ``heard(file_id, by, words)`` hold a file's words in order, which one film bounds; every transcript is one row and meets its truth by the file. Files that only one side
+    has count with nothing heard or shown. Groups in which either side has no word are left out.
     """
-    blocks = matching_blocks(truth.select(KEY, "pos", "token"), heard.select(KEY, "pos", "token"), grams).groupBy(KEY).agg(F.sum("size").alias("hits"))
-    count = lambda t, name: t.groupBy(KEY, by).agg(F.count("*").alias(name))
-    files = count(truth, "words").join(count(heard, "heard"), [KEY, by], "full").join(blocks, KEY, "left")
-    sums = files.groupBy(by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "heard", "hits")]).where("words > 0 and heard > 0")
+    groups = heard.select(by).distinct()
+    every = truth.join(groups).join(heard.withColumnRenamed("words", "told"), [KEY, by], "left")
+    none = F.expr("cast(array() as array<string>)")
+    lone = heard.join(truth.select(KEY), KEY, "left_anti").select(KEY, by, none.alias("words"), F.col("words").alias("told"))
+    rows = every.select(KEY, by, F.coalesce("words", none).alias("words"), F.coalesce("told", none).alias("told")).unionByName(lone)
+    counted = rows.select(by, F.size("words").alias("words"), F.size("told").alias("heard"), _hits("words", "told").alias("hits"))
+    sums = counted.groupBy(by).agg(*[F.sum(c).alias(c) for c in ("words", "heard", "hits")]).where("words > 0 and heard > 0")
     recall, precision = F.col("hits") / F.col("words"), F.col("hits") / F.col("heard")
     f1 = F.when(F.col("hits") > 0, 2 * recall * precision / (recall + precision)).otherwise(0.0)
     return sums.select(by, "words", "heard", "hits", F.round(recall, 3).alias("recall"), F.round(precision, 3).alias("precision"), F.round(f1, 3).alias("f1"))

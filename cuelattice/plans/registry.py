@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import correct, dense, evidence, intervals, library, sampling, series, transcripts, words
+from . import catalog, correct, dense, evidence, intervals, library, sampling, series, transcripts, words
 
-_ALL = {**library.QUERIES, **intervals.QUERIES, **series.QUERIES, **words.QUERIES, **evidence.QUERIES, **dense.QUERIES, **correct.QUERIES, **transcripts.QUERIES, **sampling.QUERIES}
+_ALL = {**library.QUERIES, **intervals.QUERIES, **series.QUERIES, **words.QUERIES, **evidence.QUERIES, **dense.QUERIES, **correct.QUERIES, **transcripts.QUERIES, **sampling.QUERIES, **catalog.QUERIES}
 
 
 def queries() -> dict[str, Callable]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import blocks, dense
+from ..stored import stored
 from .analogues import table
 
 QUERIES: dict = {}
@@ -74,21 +75,21 @@ def transcript_drift(spark: SparkSession, d: str) -> DataFrame:
     return blocks.drift(shaped(lines), shaped(heard(lines, {"base": MODELS["base"]})))
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """Words of a file's lines in order; a file is a conversation as one model heard it."""
+def _words(rows: DataFrame, *keys: str) -> DataFrame:
+    """The words of a conversation's lines in order."""
     said = F.regexp_extract_all(F.lower(text.speech_text(F.col("text"))), F.lit("[a-z0-9']+"), F.lit(0))
-    each = rows.select("file_id", "model", "k", F.posexplode(said).alias("i", "token"))
-    return blocks.positions(each, "k", "i").select("file_id", "model", "pos", "token")
+    ordered = F.array_sort(F.collect_list(F.struct("k", said.alias("w"))))
+    return rows.groupBy(F.col("conv").alias("file_id"), *keys).agg(F.flatten(F.transform(ordered, lambda x: x["w"])).alias("words"))
 
 
 @query(None)
 def model_quality(spark: SparkSession, d: str) -> DataFrame:
     """Recall, precision and anchors of three models over all conversations; blocks of words over whole files are too many pairs for SQL, a test holds them against ``difflib``."""
-    lines = verified(spark, d)
+    lines = stored(verified(spark, d))
     named = F.concat_ws("/", "model", F.col("conv").cast("string")).alias("file_id")
-    told = heard(lines).select(named, "*")
+    told = stored(heard(lines)).select(named, "*")
     truth = lines.withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).select(named, "*")
-    words = blocks.word_quality(_words(truth), _words(told), "model")
+    words = blocks.word_quality(_words(lines), _words(told, "model"), "model")
     shown = lambda t: t.select("file_id", F.col("k").alias("idx"), (F.col("start") / 1000).alias("t"), text.tokens(F.col("text")).alias("toks"))
     anchors = dense.dense_anchors(shown(told), shown(truth), 30, 30, 60)
     lengths = told.groupBy("file_id", "model").agg((F.max("end") / 1000).alias("duration"))

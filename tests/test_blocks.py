@@ -4,6 +4,7 @@ import difflib
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,16 @@ def test_blocks_are_those_of_difflib(spark, grams):
         assert merged == want, f
 
 
+def test_matched_tokens_are_those_of_difflib():
+    rng = random.Random(2)
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdef", "abcdefghijklmnopqrstuvwxyz"])
+        a, b = (rng.choices(letters, k=rng.randrange(0, 90)) for _ in range(2))
+        if rng.random() < 0.6:
+            b = [t for t in a if rng.random() > 0.1] + b[:3]
+        assert blocks.matched_tokens(np.array(a, dtype=str), np.array(b, dtype=str)) == sum(n for _, _, n in plain(a, b))
+
+
 def lines(spark, rows):
     return spark.createDataFrame(rows, "file_id long, start double, end double, token string")
 
@@ -67,14 +78,7 @@ def test_whole_query_against_difflib(spark, sf_dir):
     got = {r.model: r for r in transcripts.model_quality(spark, sf_dir).collect()}
     truth = transcripts.verified(spark, sf_dir)
     told = transcripts.heard(truth)
-    shown = lambda t: transcripts._words(t.select(F.col("conv").alias("file_id"), "*")).collect()
-    words = {}
-    for r in shown(truth.withColumn("model", F.lit("truth"))):
-        words.setdefault(("truth", r.file_id), []).append((r.pos, r.token))
-    for m in transcripts.MODELS:
-        for r in shown(told.where(F.col("model") == m)):
-            words.setdefault((m, r.file_id), []).append((r.pos, r.token))
-    words = {k: [t for _, t in sorted(v)] for k, v in words.items()}
+    words = {("truth", r.file_id): r.words for r in transcripts._words(truth).collect()} | {(r.model, r.file_id): r.words for r in transcripts._words(told, "model").collect()}
     files = sorted(f for m, f in words if m == "truth")
     for m in transcripts.MODELS:
         hits = sum(n for f in files for _, _, n in plain(words["truth", f], words.get((m, f), [])))
