@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.library import missing
@@ -69,3 +70,63 @@ class WantedDiff:
 def upsert_into(table: Table, keys: list[str], keep_old: tuple[str, ...] = ()):  # noqa: ANN201
     """A ``foreachBatch`` sink that merges each batch into a table; writing the same batch again changes nothing."""
     return lambda batch, _number: table.upsert(batch, keys, keep_old)
+
+
+class _Kept(StatefulProcessor):
+    """State of one video: time stamp, size and moment of its last look, dropped by a timer when it is older than ``limit`` milliseconds of event time."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "mtime long, size long, at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        listed = pd.concat(list(rows)).sort_values(["ts", "mtime", "size"], kind="stable")
+        moments = listed["ts"].astype("datetime64[ms]").astype("int64")
+        last, out = self.last.get() if self.last.exists() else None, []
+        before = last
+        for at, mtime, size in zip(moments.tolist(), listed["mtime"].tolist(), listed["size"].tolist(), strict=True):
+            if last is not None and last[:2] == (mtime, size) and at - last[2] < self.limit:
+                out.append((key[0], at, "reused"))
+            else:
+                last = (mtime, size, at)
+                out.append((key[0], at, "looked"))
+        if last != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last[2] + self.limit)
+            self.last.update(last)
+        yield pd.DataFrame(out, columns=["video_path", "at", "what"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        self.last.clear()
+        yield pd.DataFrame([(key[0], at, "dropped")], columns=["video_path", "at", "what"])
+
+    def close(self) -> None:
+        pass
+
+
+def relisted(listings: DataFrame, limit_ms: int, late: str = "0 seconds") -> DataFrame:
+    """``(video_path, at, what)`` of a stream of listings ``(video_path, ts, mtime, size)``: ``looked`` at afresh, ``reused`` since time stamp and size have not changed within
+    ``limit_ms`` of the last look, or ``dropped`` when the watermark passes that age, after which nothing of the video is kept.
+
+    A row that is later than the watermark is left out. Needs the RocksDB state store.
+    """
+    timed = listings.withWatermark("ts", late)
+    return timed.groupBy("video_path").transformWithStateInPandas(_Kept(limit_ms), "video_path string, at long, what string", "Append", "EventTime")
+
+
+def counted(df: DataFrame, name: str, **metrics: Any) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation that has ``metrics`` (aggregates by name) once one pass over it has run: rows and counters from the same scan."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen
+
+
+def cost_metrics() -> dict[str, Any]:
+    """What a check of clips ``(origin, at, until)`` costs: seconds heard afresh and seconds taken from earlier runs, and clips by origin."""
+    seconds = (F.col("until") - F.col("at")) / 1000
+    spent = lambda origin: F.coalesce(F.sum(F.when(F.col("origin") == origin, seconds)), F.lit(0.0))
+    return {"fresh_s": spent("fresh"), "cached_s": spent("cached"), "clips": F.count("*"), "silent": F.count_if(F.col("origin") == "silent")}
