@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, transcript
-from ..operators import intervals, runs, sampling
+from ..operators import intervals, runs, sampling, verdict
+from ..params import DEFAULTS
 from ..stored import stored
 from .analogues import table
 from .transcripts import MODELS, heard, verified
@@ -241,3 +244,38 @@ def missing_middle(spark: SparkSession, d: str) -> DataFrame:
     sums = sampling._overlap(asked, said, WIDTH).groupBy("file_id", "gap", "lo").agg(F.sum(part).alias("speech"), F.sum(F.when((F.col("start") >= F.col("lo")) & (F.col("start") < F.col("hi")), F.col("n"))).alias("words"))
     probes = asked.join(sums, ["file_id", "gap", "lo"], "left").select("file_id", "gap", F.col("lo").alias("k"), (F.col("hi") - F.col("lo")).alias("cost"), F.coalesce("speech", F.lit(0)).alias("speech"), F.coalesce("words", F.lit(0)).alias("words"))
     return sampling.stopped_probes(probes, 9_000, 20)
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    """``(file_id, screen, disagree, drift, jitter, swapped, checked, late, gap, flag, samples)`` of every file: what its clips say of timing, its lines of order, its gaps of missing lines."""
+    lines = stored(verified(spark, d))
+    files, cues, said = _files(lines), stored(_shown(lines)), stored(_said(lines))
+    windows = sampling.full_windows(files, cues, CLIP, WIDTH)
+    samples = stored(sampling.clip_evidence(windows, said, cues, REACH, WIDTH, _LOOSE).where("said > 0"))
+    shifts = samples.where("shift is not null").select("file_id", "at", "shift", "mad")
+    orders = sampling.judged_order(cues, said, WIDTH).withColumn("tested", F.lit(True))
+    told = sampling.summary(files, samples, orders, 0.6, 3, 0.3).select("file_id", "samples", "flag", F.col("confirmed").alias("swapped"), "checked")
+    tilt = shifts.groupBy("file_id").agg((F.regr_slope("shift", "at") * F.max("at")).alias("tilt"), F.count("*").alias("k"), F.median("mad").alias("jitter"), (F.max("shift") - F.min("shift")).alias("spread")).where("k >= 3")
+    screened = verdict.screen(shifts, tilt, replace(DEFAULTS, flat=0.4)).select("file_id", F.col("state").alias("screen"))
+    length = said.groupBy("file_id").agg(F.max("end").alias("duration"))
+    late = verdict.overrun(cues, length, 1_000).select("file_id", F.lit(True).alias("late"))
+    gap = missing_middle(spark, d).groupBy("file_id").agg(F.max("hit").alias("gap"))
+    every = files.select("file_id").join(told, "file_id", "left").join(screened, "file_id", "left").join(tilt, "file_id", "left").join(late, "file_id", "left").join(gap, "file_id", "left")
+    drift = F.abs("tilt") >= 0.4
+    return every.select("file_id", "screen", (F.col("spread") >= 1.0).alias("disagree"), drift.alias("drift"), "jitter", "swapped", "checked", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("gap", F.lit(False)).alias("gap"), "flag", "samples")
+
+
+#: Anchors of one clip: two are enough where a clip holds a few lines only.
+_LOOSE = replace(DEFAULTS, anchor_min=2)
+
+
+@query(None)
+def file_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """From clips to the verdict in one query: evidence of every file, the rung that asks for more of it, and flag and reason. Its parts have SQL or plain versions; a test puts them together."""
+    e = stored(_evidence(spark, d))
+    c = F.col
+    rung = verdict.needs_full(c("jitter"), c("drift"), c("swapped"), F.lit(False), c("late"), c("disagree"))
+    gate = (c("checked") >= DEFAULTS.swap_checked) & (c("swapped") >= DEFAULTS.swap_min) & (c("swapped") / F.greatest(c("checked"), F.lit(1)) >= DEFAULTS.swap_rate)
+    hits = {"swaps": gate, "wrong": c("flag") == "SUSPECT", "anchors_bad": (c("screen") == "needs_sync") & c("disagree"), "content_ok": c("flag") == "ok", "runs": c("drift"), "jitter": c("jitter") >= 0.4, "gap": c("gap"), "overrun": c("late")}
+    out = verdict.final_verdict(hits)
+    return e.select("*", rung.alias("rung"), out.alias("v")).select("file_id", "screen", "rung", "v.flag", "v.reason", "samples", "swapped", "checked", "late", "gap")

@@ -208,3 +208,23 @@ def test_sampled_check_against_plain(spark, sf_dir):
         assert (r.samples, r.avg_score, r.flag) == verdict(scores), f
         assert (r.cached, r.fresh, r.silent) == tuple(origins.count(o) for o in ("cached", "fresh", "silent"))
         assert r.tested >= r.checked and len(r.issues) == r.confirmed
+
+
+def test_verdicts_follow_their_evidence(spark, sf_dir):
+    full = {r.file_id: r for r in plan.full_verdicts(spark, sf_dir).collect()}
+    holes = {r.file_id for r in plan.missing_middle(spark, sf_dir).where("hit").select("file_id").distinct().collect()}
+    got = {r.file_id: r for r in plan.file_verdicts(spark, sf_dir).collect()}
+    assert set(got) == set(full) and len({(r.flag, r.reason) for r in got.values()}) >= 2
+    for f, r in got.items():
+        assert (r.swapped, r.checked, r.samples, r.gap) == (full[f].confirmed, full[f].checked, full[f].samples, f in holes)
+        severe = r.checked >= 10 and r.swapped >= 5 and r.swapped / r.checked >= 0.1
+        if severe:
+            assert (r.flag, r.reason) == ("SUSPECT", "lines_out_of_order")
+        elif full[f].flag == "SUSPECT":
+            assert (r.flag, r.reason) == ("SUSPECT", "wrong_subtitle")
+        elif full[f].flag == "unknown":
+            assert r.reason in ("no_speech_heard", "partly_out_of_sync", "unreliable_timing")
+        elif r.gap:
+            assert r.flag == "SUSPECT" and r.reason in ("missing_lines", "partly_out_of_sync", "unreliable_timing")
+        elif r.flag == "ok":
+            assert not r.late and r.rung != "drift"
