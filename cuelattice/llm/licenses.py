@@ -3,7 +3,7 @@
 Blocks of lines that a cue word marks are compressed with zstandard, alone and with each notice as raw dictionary; how much of
 the notice's own compressed size a block saves ranks the notices. Those that save enough are confirmed by exact wording: the
 notice's and the block's words are aligned, and what is missing or put in between must be little and must not be a word that decides
-which license it is.
+which license it is. Declarations in a line (tags, "License: ...", "under the ... license") are notices too, made for the names that a block holds.
 
 Defined cases: null and empty texts have no blocks; a document may have several notices, each reported with its place; the
 same notice twice in a block is reported once; repeated rows keep a row each; an empty table gives an empty result; other
@@ -52,6 +52,36 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
+# Names under which licenses are declared in a line, by SPDX identifier; those of the GNU family follow a rule.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT", "MIT/X11", "Expat"),
+    "Apache-2.0": ("Apache-2.0", "Apache 2.0", "Apache 2", "Apache v2", "Apache License 2.0", "Apache License v2.0", "Apache License, Version 2.0", "Apache Software License 2.0"),
+    "BSD-2-Clause": ("BSD-2-Clause", "BSD 2-Clause", "2-clause BSD", "simplified BSD"),
+    "BSD-3-Clause": ("BSD-3-Clause", "BSD 3-Clause", "3-clause BSD", "new BSD", "modified BSD"),
+    "ISC": ("ISC",),
+    "Zlib": ("Zlib", "zlib/libpng"),
+    "Unlicense": ("Unlicense",),
+    "BSL-1.0": ("BSL-1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "MPL-2.0": ("MPL-2.0", "MPL 2.0", "MPL v2", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "Mozilla Public License, version 2.0"),
+    "EPL-1.0": ("EPL-1.0", "EPL 1.0", "Eclipse Public License 1.0", "Eclipse Public License v1.0"),
+    "EPL-2.0": ("EPL-2.0", "EPL 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License - v 2.0"),
+    "Artistic-2.0": ("Artistic-2.0", "Artistic License 2.0"),
+    "WTFPL": ("WTFPL",),
+    "CC0-1.0": ("CC0-1.0", "CC0 1.0", "CC0"),
+    "CC-BY-4.0": ("CC-BY-4.0", "CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    **{
+        f"{short}-{v}": tuple(n for w in (v, v.removesuffix(".0")) for n in (f"{short}-{v}", f"{short}-{v}-only", f"{short}-{v}-or-later", f"{short}-{v}+", f"{short} {w}", f"{short}v{w}", f"{short} v{w}", f"{short} version {w}", *(f"GNU {x}" for x in (f"{short} v{w}", f"{short}v{w}", f"{short} {w}")), f"{full} {w}", f"{full} v{w}", f"{full} version {w}", f"{full}, version {w}"))
+        for short, full, versions in (("GPL", "GNU General Public License", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("3.0",)))
+        for v in versions
+    },
+}
+#: How a line declares a license by name; names that end with a license word of their own take no other.
+DECLARED = ("License: {n}", "Licensed under {n}", "under the {n} license", "under an {n} license", "under a {n} license", "under the terms of the {n} license", "under the terms of the {n}", "under the {n}", "licensed as {n}", "{n} licensed", "License: {n} license")
+_TAG = re.compile(r"spdx-license-identifier\s*:\s*([^\n]*?[A-Za-z0-9.+)-])(?=[^A-Za-z0-9.+()-]*(?:\n|$))", re.IGNORECASE)
+_IDENTIFIER = re.compile(r"[A-Za-z0-9.+-]+")
+_BARE = re.compile(r"^(?:mit|isc|zlib|expat|unlicense|cc0|new bsd|modified bsd|simplified bsd)$")
 CUES = re.compile(r"licen[cs]|copyright|©|permission|redistribut|warrant|public domain|creative commons|unencumbered|\bcc[ -]?by|\bcc0|spdx", re.IGNORECASE)
 #: Lines without a cue that may lie within a block.
 GAP_LINES = 2
@@ -87,17 +117,39 @@ class Scanner:
     def __init__(self, notices: tuple[tuple[str, str], ...] = NOTICES, level: int = 9) -> None:
         frame = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         make = lambda d=None: zstandard.ZstdCompressor(dict_data=d, compression_params=zstandard.ZstdCompressionParameters.from_level(level, **frame))
-        self.alone = make()
-        self.notices = []
-        for name, text in notices:
-            raw = _plain(text).encode()
-            padded = raw if len(raw) >= 8 else raw.ljust(8)
-            known = zstandard.ZstdCompressionDict(padded, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.notices.append((name, _WORD.findall(_plain(text)), len(self.alone.compress(raw)), make(known)))
+        self.alone, self.make = make(), make
+        self.prepared: dict[str, tuple] = {}
+        self.notices = [(name, *self._prepared(text)) for name, text in notices]
+        quoted = {name: [re.escape(_plain(n)) for n in names] for name, names in NAMES.items()}
+        self.named = {name: re.compile(rf"(?<![\w-])(?:{'|'.join(sorted(q, key=len, reverse=True))})(?![\w-]|\.\d)") for name, q in quoted.items()}
         # no word of a notice is farther from the notice's cue
         self.reach = max([REACH, *(3 * len(text) // 2 for _, text in notices)])
         self.seen: dict[str, list[Finding]] = {}
 
+    def _prepared(self, text: str) -> tuple[list[str], int, zstandard.ZstdCompressor]:
+        """Words of a wording, its compressed size, and a compressor that knows it."""
+        plain = _plain(text)
+        if plain not in self.prepared:
+            if len(self.prepared) >= _REMEMBERED:
+                self.prepared.clear()
+            raw = plain.encode("utf-8", "replace")
+            known = zstandard.ZstdCompressionDict(raw if len(raw) >= 8 else raw.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.prepared[plain] = _WORD.findall(plain), len(self.alone.compress(raw)), self.make(known)
+        return self.prepared[plain]
+
+    def declarations(self, block: str) -> list[tuple]:
+        """Wordings by which a block may declare a license in a line: those of the names that occur in it, and its tags as they stand."""
+        plain, found = _plain(block), []
+        for name, pattern in self.named.items():
+            for alias in {m[0] for m in pattern.finditer(plain)}:
+                # a name without a number is a common word too, so it needs the word license beside it
+                forms = [f for f in DECLARED if "licen" in f.replace("{n}", "")] if _BARE.match(alias) else DECLARED
+                found += [(name, *self._prepared(f.format(n=alias))) for f in forms]
+        for tag in _TAG.finditer(block):
+            told = [i.lower() for i in _IDENTIFIER.findall(tag[1])]
+            found += [(name, *self._prepared(tag[0])) for name in NAMES if any(i in (n.lower() for n in NAMES[name]) for i in told)]
+        return found
+
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         """Places of candidate blocks, disjoint and in order: a cue's line and short lines next to it."""
         now: tuple[int, int] | None = None
@@ -129,12 +181,13 @@ class Scanner:
         plain, placed = _plain(block), list(_WORD.finditer(block))
         raw, words = plain.encode("utf-8", "replace"), [m[0].lower() for m in placed]
         size = len(self.alone.compress(raw))
-        ranked = sorted((((size - len(with_it.compress(raw))) / own, k) for k, (_, _, own, with_it) in enumerate(self.notices)), reverse=True)
+        notices = [*self.notices, *self.declarations(block)]
+        ranked = sorted((((size - len(with_it.compress(raw))) / own, k) for k, (_, _, own, with_it) in enumerate(notices)), reverse=True)
         found: list[Finding] = []
         for saved, k in ranked:
             if saved < MIN_SAVED:
                 break
-            name, wanted, _, _ = self.notices[k]
+            name, wanted, _, _ = notices[k]
             left = list(words)
             while (differs := self._wording(wanted, left)) is not None:
                 missing, added, first, last = differs
