@@ -204,3 +204,11 @@ def block_witness(cues: DataFrame, speech: DataFrame, p: Params = DEFAULTS) -> D
     lone = (F.abs("s") <= 10.0) & (F.col("gain") >= 0.3)
     found = hits.select(KEY, F.coalesce(pair | lone, pair, lone, F.lit(False)).alias("hit")).groupBy(KEY).agg(F.bool_or("hit").alias("witness"))
     return cues.select(KEY).distinct().join(found, KEY, "left").select(KEY, F.coalesce("witness", F.lit(False)).alias("witness"))
+
+
+def same_timing(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(file_id, same)``: whether two versions of a file have as many cues, each starting where the other's does. A file of one version only is not the same."""
+    w = _ordered("start", "idx")
+    number = lambda d, name: d.select(KEY, F.row_number().over(w).alias("_n"), F.col("start").alias(name))
+    both = number(old, "a").join(number(new, "b"), [KEY, "_n"], "full")
+    return both.groupBy(KEY).agg(F.coalesce(F.min(F.coalesce(F.col("a") == F.col("b"), F.lit(False))), F.lit(True)).alias("same"))

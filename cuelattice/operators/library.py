@@ -125,3 +125,25 @@ def agreement(members: DataFrame, sets: int) -> DataFrame:
     """``members(item, set)``: how many items all sets share, all items, and items of one set alone."""
     each = members.distinct().groupBy("item").agg(F.count("*").alias("n"))
     return each.agg(F.count_if(F.col("n") == sets).alias("common"), F.count("*").alias("union"), F.count_if(F.col("n") == 1).alias("alone")).withColumn("jaccard", F.when(F.col("union") > 0, F.col("common") / F.col("union")))
+
+
+def resumed(rows: DataFrame, keys: list[str], order: str, status: str, done: tuple[str, ...] = ("ok", "error")) -> DataFrame:
+    """One row a key: the last one that was completed, by ``order``, else the first; a null status counts as completed. Keys may be null."""
+    complete = F.coalesce(F.col(status).isin(*done), F.lit(True))
+    rank = F.struct(complete.alias("c"), F.when(complete, F.col(order)).otherwise(-F.col(order)).alias("o"))
+    best = rows.groupBy(*[F.col(k) for k in keys]).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), rank).alias("_b"))
+    return best.select(*keys, "_b.*").select(*rows.columns)
+
+
+def touched(injected: Column, fixed: Column) -> Column:
+    """How many of the injected indexes were fixed, their share, and the fixed ones that were not injected, in order."""
+    injected, fixed = F.array_distinct(injected), F.array_distinct(fixed)
+    hit, extra = F.size(F.array_intersect(injected, fixed)), F.array_sort(F.array_except(fixed, injected))
+    return F.struct(F.size(injected).alias("injected"), hit.alias("hit"), F.when(F.size(injected) > 0, F.round(hit / F.size(injected), 3)).alias("share"), extra.alias("extra"))
+
+
+def episode_order(code: Column, path: Column) -> Column:
+    """Sorts episodes by their number; files without one come last, by name."""
+    number = F.regexp_extract(F.coalesce(code, F.lit("")), r"(?i)E(\d+)", 1)
+    named = F.lower(F.regexp_extract(path, "([^/]*)$", 1))
+    return F.struct((number == "").cast("int").alias("extra"), F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.lit(0)).alias("n"), F.when(number == "", named).otherwise("").alias("name"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog
+from ..operators import catalog, library
+from ..sources import probe
 from ..stored import stored
 from .analogues import cues, lengths, table
 
@@ -94,3 +95,27 @@ def random_blocks(spark: SparkSession, d: str) -> DataFrame:
     first = c.groupBy("file_id").agg(F.min("start").alias("t0"))
     files = lengths(c).join(first, "file_id").select("file_id", (F.col("duration") - F.col("t0")).alias("duration"))
     return catalog.spaced_blocks(files, 2, 3, 5_400_000, 18_000_000, 1_800_000, 7)
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+/([a-z]{2})/', 1) AS l, length(html) AS n FROM pages), t AS (SELECT *, CASE l WHEN 'en' THEN 'eng' WHEN 'de' THEN 'ger' WHEN 'fr' THEN 'fre' WHEN 'es' THEN 'spa' ELSE 'und' END AS tag, CASE WHEN n % 3 = 0 THEN 'English commentary' WHEN n % 3 = 1 THEN 'English stereo' ELSE 'Original' END AS title FROM p)
+SELECT page_id, CASE WHEN tag = 'eng' THEN 0 WHEN n % 3 = 1 THEN 1 END AS english, CASE WHEN tag = 'eng' OR n % 3 = 1 THEN 'en' WHEN tag <> 'und' THEN l END AS audio, CASE WHEN tag = 'und' THEN 'xx' WHEN l < 'xx' THEN l || ',xx' ELSE 'xx,' || l END AS embedded, round(n / 10, 1) AS seconds FROM t""")
+def media_probes(spark: SparkSession, d: str) -> DataFrame:
+    """Streams of a video for every page: its language's track, a second without a tag, subtitles in its language and another; read back from the prober's JSON."""
+    rows = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/?#]+/([a-z]{2})/", 1).alias("l"), F.length("html").alias("n"))
+    tag = F.when(F.col("l") == "en", "eng").when(F.col("l") == "de", "ger").when(F.col("l") == "fr", "fre").when(F.col("l") == "es", "spa").otherwise("und")
+    title = F.when(F.col("n") % 3 == 0, "English commentary").when(F.col("n") % 3 == 1, "English stereo").otherwise("Original")
+    stream = lambda k, kind, language, name=None: F.struct(F.lit(k).alias("index"), F.lit(kind).alias("codec_type"), F.struct(language.alias("language"), (F.lit(None).cast("string") if name is None else name).alias("title")).alias("tags"))
+    none = F.lit(None).cast("string")
+    every = F.array(stream(0, "video", none), stream(1, "audio", tag), stream(2, "audio", none, title), stream(3, "subtitle", F.upper(tag)), stream(4, "subtitle", F.lit("xx")), stream(5, "subtitle", F.lit("xx")))
+    body = rows.select("page_id", F.to_json(F.struct(every.alias("streams"), F.struct((F.col("n") / 10).cast("string").alias("duration")).alias("format"))).alias("body"))
+    audio, subtitles = probe.streams(F.col("body"), "audio"), probe.streams(F.col("body"), "subtitle")
+    return body.select("page_id", probe.english_index(audio).cast("int").alias("english"), probe.audio_language(audio).alias("audio"), F.array_join(probe.embedded_languages(subtitles), ",").alias("embedded"), F.round(probe.duration(F.col("body")), 1).alias("seconds"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS model, o_orderpriority AS scenario, o_orderkey AS n, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'P' THEN 'error' ELSE 'skipped' END AS status FROM orders)
+SELECT model, scenario, n, status FROM r QUALIFY row_number() OVER (PARTITION BY model, scenario ORDER BY status <> 'skipped' DESC, CASE WHEN status = 'skipped' THEN n ELSE -n END) = 1""")
+def resumed_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by customer and priority: the last completed one counts, a skipped one only while there is no other."""
+    status = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "P", "error").otherwise("skipped")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("model"), F.col("o_orderpriority").alias("scenario"), F.col("o_orderkey").alias("n"), status.alias("status"))
+    return library.resumed(rows, ["model", "scenario"], "n", "status")

@@ -85,3 +85,16 @@ def wanted_keys(answers: DataFrame, id_field: str) -> DataFrame:
     """``(id, lang)`` of every missing subtitle that a connector's answers ask for."""
     items = answers.select(F.explode(response_items(F.col("body"), f"struct<{id_field}:bigint,missing_subtitles:array<struct<code2:string>>>")).alias("i"))
     return items.select(F.col(f"i.{id_field}").alias("id"), F.explode("i.missing_subtitles.code2").alias("lang")).where("id is not null and lang is not null").distinct()
+
+
+def current_paths(answers: DataFrame) -> DataFrame:
+    """``(episode_id, lang, path)``: the subtitle that a connector has now for an episode and language, the first of several in its answer."""
+    items = answers.select(F.explode(response_items(F.col("body"), "struct<sonarrEpisodeId:bigint,subtitles:array<struct<code2:string,path:string>>>")).alias("i"))
+    each = items.select(F.col("i.sonarrEpisodeId").alias("episode_id"), F.posexplode("i.subtitles").alias("k", "s")).where("s.code2 is not null and s.path is not null and s.path <> ''")
+    return each.groupBy("episode_id", F.col("s.code2").alias("lang")).agg(F.min_by("s.path", "k").alias("path"))
+
+
+def normal_segment(raw: Column) -> Column:
+    """A transcriber's segment with times as numbers, trimmed text, and its confidence figures where they are numbers."""
+    figure = lambda name: raw[name].try_cast("double").alias(name)
+    return F.struct(raw["start"].cast("double").alias("start"), raw["end"].cast("double").alias("end"), F.trim(F.coalesce(raw["text"], F.lit(""))).alias("text"), *map(figure, ("no_speech_prob", "avg_logprob", "compression_ratio")))

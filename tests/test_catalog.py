@@ -5,7 +5,8 @@ import math
 from pyspark.sql import functions as F
 
 from cuelattice.functions import paths
-from cuelattice.operators import catalog
+from cuelattice.operators import catalog, intervals, library
+from cuelattice.sources import feeds, probe
 
 
 def frame(spark, column, values):
@@ -98,3 +99,39 @@ def test_cues_move_with_their_block(spark):
     cues = spark.createDataFrame([("a", 0, 1_000, 1_100), ("a", 1, 5_000, 6_000), ("a", 2, 9_000, 9_500)], "file_id string, idx long, start long, end long")
     blocks = spark.createDataFrame([("a", 0, 0, 2_000, -5_000), ("a", 1, 5_000, 9_000, 2_500)], "file_id string, block long, start long, end long, shift long")
     assert sorted(tuple(r) for r in catalog.shifted_blocks(cues, blocks).collect()) == [("a", 0, 0, 200), ("a", 1, 7_500, 8_500), ("a", 2, 9_000, 9_500)]
+
+
+def test_probes(spark):
+    bodies = ['{"streams":[{"index":0,"codec_type":"audio","tags":{"language":"ger"}},{"index":1,"codec_type":"audio","tags":{"title":"English (description)"}},{"index":2,"codec_type":"audio","tags":{"language":"und","title":"English"}}],"format":{"duration":"12.5"}}', '{"streams":[{"index":0,"codec_type":"audio","tags":{"language":"DAN"}},{"index":1,"codec_type":"subtitle","tags":{"language":"fra"}},{"index":2,"codec_type":"subtitle"},{"index":3,"codec_type":"subtitle","tags":{"language":"unk"}}]}', "broken", None, "{}"]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, body string")
+    audio = probe.streams(F.col("body"), "audio")
+    got = [tuple(r) for r in df.select(probe.english_index(audio), probe.audio_language(audio), probe.embedded_languages(probe.streams(F.col("body"), "subtitle")), probe.duration(F.col("body"))).collect()]
+    assert got == [(2, "en", [], 12.5), (None, "da", ["fr"], None), *[(None, None, [], None)] * 3]
+
+
+def test_completed_rows_supersede_skipped_ones(spark):
+    rows = [("m", "a", 1, "skipped"), ("m", "a", 2, "ok"), ("m", "a", 3, "error"), ("m", "a", 4, "skipped"), ("m", None, 1, "skipped"), ("m", None, 2, "skipped"), ("n", "a", 1, None), ("n", "a", 2, "skipped")]
+    got = library.resumed(spark.createDataFrame(rows, "model string, scenario string, n long, status string"), ["model", "scenario"], "n", "status")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("m", "a", 3, "error"), ("m", None, 1, "skipped"), ("n", "a", 1, None)]))
+
+
+def test_touched_lines_and_order_of_episodes(spark):
+    df = spark.createDataFrame([([3, 1, 5], [5, 9, 1, 7]), ([], [2])], "injected array<int>, fixed array<int>")
+    assert [tuple(r.t) for r in df.select(library.touched(F.col("injected"), F.col("fixed")).alias("t")).collect()] == [(3, 2, 0.667, [7, 9]), (0, 0, None, [2])]
+    files = spark.createDataFrame([("S01E10", "/a/x.mkv"), (None, "/a/Zeta.mkv"), ("S01E02", "/a/y.mkv"), ("", "/b/alpha.mkv")], "code string, path string")
+    assert [r.path for r in files.orderBy(library.episode_order(F.col("code"), F.col("path"))).collect()] == ["/a/y.mkv", "/a/x.mkv", "/b/alpha.mkv", "/a/Zeta.mkv"]
+
+
+def test_same_timing(spark):
+    kind = "file_id string, idx int, start long"
+    old = spark.createDataFrame([("a", 0, 1), ("a", 1, 5), ("b", 0, 1), ("c", 0, 2)], kind)
+    new = spark.createDataFrame([("a", 0, 1), ("a", 1, 5), ("b", 0, 2), ("c", 0, 2), ("c", 1, 9), ("d", 0, 1)], kind)
+    assert {r.file_id: r.same for r in intervals.same_timing(old, new).collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_current_paths_and_segments(spark):
+    body = '{"data":[{"sonarrEpisodeId":1,"subtitles":[{"code2":"en","path":null},{"code2":"en","path":"/a.en.srt"},{"code2":"en","path":"/b.en.srt"},{"code2":"da","path":"/a.da.srt"}]},{"sonarrEpisodeId":2}]}'
+    got = feeds.current_paths(spark.createDataFrame([(body,), ("broken",)], "body string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "da", "/a.da.srt"), (1, "en", "/a.en.srt")]
+    raw = spark.createDataFrame([(("1.5", "2", " hi ", "0.1", "x", None),)], "r struct<start:string,end:string,text:string,no_speech_prob:string,avg_logprob:string,compression_ratio:string>")
+    assert tuple(raw.select(feeds.normal_segment(F.col("r")).alias("s")).first().s) == (1.5, 2.0, "hi", 0.1, None, None)
