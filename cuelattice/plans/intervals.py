@@ -236,13 +236,19 @@ def run_repair_plan(spark: SparkSession, d: str) -> DataFrame:
     return retime.run_repair_plan(stretches)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {CUES}, r AS (SELECT f, s AS lo, e AS hi, row_number() OVER (PARTITION BY f ORDER BY s, e) AS i FROM cues),
+k AS (SELECT f, i, lo AS a, hi AS b, 1 AS g FROM r WHERE i = 1
+  UNION ALL SELECT f, ri, CASE WHEN one THEN a ELSE lo END, CASE WHEN one THEN greatest(hi, b) ELSE hi END, CASE WHEN one THEN g ELSE g + 1 END FROM (SELECT k.f, a, b, g, r.i AS ri, lo, hi, lo - b <= {2 * HOUR} AND greatest(hi, b) - a <= {48 * HOUR} AS one FROM k JOIN r ON r.f = k.f AND r.i = k.i + 1))
+SELECT f AS file_id, CAST(max(a) AS DOUBLE) AS lo, CAST(max(b) AS DOUBLE) AS hi, count(*) AS n FROM k GROUP BY f, g""")
 def cluster_windows(spark: SparkSession, d: str) -> DataFrame:
     c = cues(spark, d).select("file_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
     return runs.cluster_windows(c, 2 * HOUR, 48 * HOUR)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {CUES}, z AS (SELECT f, min(s) AS z, max(e) - min(s) + 600000 AS d FROM cues GROUP BY f), q AS (SELECT c.f, (s - z + e - z) / 2 AS m FROM cues c JOIN z ON z.f = c.f),
+k AS (SELECT f, CAST(0 AS DOUBLE) AS lo, CAST(0 AS DOUBLE) AS hi, 0 AS i FROM z
+  UNION ALL SELECT k.f, k.hi, CASE WHEN k.hi + {72 * HOUR} >= z.d THEN CAST(z.d AS DOUBLE) ELSE coalesce(max(q.m), k.hi + {72 * HOUR}) END, k.i + 1 FROM k JOIN z ON z.f = k.f LEFT JOIN q ON q.f = k.f AND q.m >= k.hi + {60 * HOUR} AND q.m <= k.hi + {72 * HOUR} AND q.m - k.hi >= {HOUR} WHERE k.hi < z.d GROUP BY k.f, k.hi, k.i, z.d)
+SELECT f AS file_id, lo, hi FROM k WHERE i > 0""")
 def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
     c = cues(spark, d)
     zero = c.groupBy("file_id").agg(F.min("start").alias("z"))
@@ -250,6 +256,9 @@ def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
     return runs.chunk_plan(moved, lengths(moved), 72.0 * HOUR, 12.0 * HOUR, 1.0 * HOUR)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {CUES}, r AS (SELECT f, idx, length(coalesce(t, '')) AS n, row_number() OVER (PARTITION BY f ORDER BY s, idx) AS i FROM cues),
+k AS (SELECT f, idx, i, 0 AS batch, 1 AS held, n AS chars FROM r WHERE i = 1
+  UNION ALL SELECT f, idx, i, CASE WHEN over THEN batch + 1 ELSE batch END, CASE WHEN over THEN 1 ELSE held + 1 END, CASE WHEN over THEN n ELSE chars + n END FROM (SELECT r.f, r.idx, r.i, r.n, batch, held, chars, held >= 7 OR chars + r.n > 40 AS over FROM k JOIN r ON r.f = k.f AND r.i = k.i + 1))
+SELECT f AS file_id, idx, CAST(batch AS BIGINT) AS batch FROM k""")
 def segment_batches(spark: SparkSession, d: str) -> DataFrame:
     return runs.batches(cues(spark, d), 7, 40)

@@ -206,7 +206,10 @@ def greedy_regions(spark: SparkSession, d: str) -> DataFrame:
     return runs.regions(points(spark, d).withColumn("c", level + F.col("c") % 200), 800.0, 3)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {POINTS}, m AS (SELECT f, median(c) AS m FROM pts GROUP BY f), o AS (SELECT pts.f, a, c - m AS d, max(abs(c - m)) OVER (PARTITION BY pts.f) > 4000 AS far, row_number() OVER (PARTITION BY pts.f ORDER BY a, c) AS i FROM pts JOIN m ON m.f = pts.f WHERE abs(c - m) > 700),
+k AS (SELECT f, i, a, d, a AS a0, 1 AS g FROM o WHERE i = 1 AND NOT far UNION ALL SELECT o.f, o.i, o.a, o.d, CASE WHEN o.a - a0 <= 2880 THEN a0 ELSE o.a END, CASE WHEN o.a - a0 <= 2880 THEN g ELSE g + 1 END FROM k JOIN o ON o.f = k.f AND o.i = k.i + 1)
+SELECT f AS file_id, CAST(a AS DOUBLE) AS from_a, CAST(a AS DOUBLE) AS to_a, CAST(1 AS BIGINT) AS n, CAST(d AS DOUBLE) AS dev FROM o WHERE far AND abs(d) > 4000
+UNION ALL SELECT f, CAST(min(a) AS DOUBLE), CAST(max(a) AS DOUBLE), count(*), CAST(median(d) AS DOUBLE) FROM k GROUP BY f, g HAVING count(*) > 1""")
 def block_clusters(spark: SparkSession, d: str) -> DataFrame:
     return runs.block_clusters(points(spark, d), 700.0, 4000.0, 2880.0)
 
