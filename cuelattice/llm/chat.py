@@ -66,10 +66,14 @@ def fingerprint(variant: Column) -> Column:
 
 
 def layout_table(spark: SparkSession, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``(fingerprint, declared, layout)``, a row for each declared layout."""
+    """``(fingerprint, declared, layout)``, a row for each declared layout; two of one hash, which would tell a record twice, are an error."""
     named = F.array(*[F.struct(F.lit(x.name).alias("layout"), F.lit(x.sample).alias("sample")) for x in layouts])
     rows = spark.range(1).select(F.inline(named)).withColumn("v", F.try_parse_json("sample"))
-    return rows.select(fingerprint(F.col("v")).alias("fingerprint"), declared_fingerprint(F.col("v"), layouts).alias("declared"), "layout")
+    table = rows.select(fingerprint(F.col("v")).alias("fingerprint"), declared_fingerprint(F.col("v"), layouts).alias("declared"), "layout")
+    for column in ("fingerprint", "declared"):
+        if shared := table.where(F.col(column).isNotNull()).groupBy(column).agg(F.array_sort(F.collect_list("layout")).alias("names")).where("size(names) > 1").first():
+            raise ValueError(f"layouts share a fingerprint: {', '.join(shared.names)}")
+    return table
 
 
 def declared_fingerprint(variant: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:

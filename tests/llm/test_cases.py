@@ -1,5 +1,7 @@
 """What each operator does with nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,13 @@ def test_chat(spark):
     assert chat.format_chat(df.limit(0), "id", "record").count() == 0
 
 
+def test_chat_layouts_of_one_fingerprint_are_refused(spark):
+    twice = (*chat.LAYOUTS, replace(chat.LAYOUTS[0], name="again"))
+    with pytest.raises(ValueError, match="again"):
+        chat.layout_table(spark, twice)
+    assert chat.layout_table(spark).count() == len(chat.LAYOUTS)
+
+
 def test_chat_records_with_further_fields(spark):
     given = [(1, '{"id":7,"messages":[{"role":"user","content":"a","name":"n"},{"role":"assistant","content":"b"}]}'), (2, '{"prompt":"p","completion":"c","metadata":{"k":[1]}}'), (3, '{"prompt":"p","completion":"c","question":"q"}'), (4, '{"messages":[],"id":1}'), (5, '{"turn":1,"role":"user","text":"t","lang":"en"}'), (6, '{"messages":5,"role":null}')]
     out = chat.format_chat(spark.createDataFrame(given, "id long, record string"), "id", "record").withColumn("back", chat.read_back(F.col("formatted")))
