@@ -145,7 +145,7 @@ def _clusters(cues: DataFrame) -> DataFrame:
 
 def _slots(spark: SparkSession, d: str, lines: DataFrame, files: DataFrame, cues: DataFrame) -> DataFrame:
     states = stored(_states(spark, d, lines, files))
-    return sampling.sample_slots(files, cues, _clusters(cues), states, _turns(spark, d), CLIP, NUDGES, LEAST, WIDTH)
+    return sampling.sample_slots(files, cues, stored(_clusters(cues)), states, stored(_turns(spark, d)), CLIP, NUDGES, LEAST, WIDTH)
 
 
 _DENSEST = """(SELECT min_by(w.s, {{'h': -w.held, 'i': w.i}}) FROM w WHERE w.f = {r}.f AND w.s BETWEEN {r}.lo AND {r}.hi)"""
@@ -175,7 +175,7 @@ sl AS (SELECT * FROM ch UNION ALL SELECT f, 'extra', 100000 + CAST(round_even(pt
 @query(f"""WITH {_FILES}, {_TL}, {_SHOWN}, {_SLOTS} SELECT f AS file_id, kind, slot, lo, hi, pt AS "at", until FROM sl""")
 def sample_slots(spark: SparkSession, d: str) -> DataFrame:
     lines = stored(verified(spark, d))
-    return _slots(spark, d, lines, _files(lines), _shown(lines))
+    return _slots(spark, d, lines, stored(_files(lines)), stored(_shown(lines)))
 
 
 _SHARE = """list_filter(list_distinct(flatten(list(w))), lambda x: x IS NOT NULL)"""
@@ -200,7 +200,7 @@ def grid_votes(spark: SparkSession, d: str) -> DataFrame:
 def sampled_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Sampled check from slots to verdict: clips of earlier runs reused, lines judged where a heuristic clip holds them. Ratios of matching blocks are beyond SQL, a test does it by hand."""
     lines = stored(verified(spark, d))
-    files, cues, said = _files(lines), stored(_shown(lines)), stored(_said(lines))
+    files, cues, said = stored(_files(lines)), stored(_shown(lines)), stored(_said(lines))
     clips = stored(sampling.with_cache(_slots(spark, d, lines, files, cues), _cached(files), CLIP, WIDTH))
     samples = clips.join(sampling.clip_evidence(clips, said, cues, REACH, WIDTH), ["file_id", "at", "until"], "left")
     orders = sampling.judged_order(cues, said, WIDTH)
@@ -215,7 +215,7 @@ def sampled_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def full_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Full check: every two-line cue judged, five times the regions scored, anchors each minute elsewhere. Ratios of matching blocks are beyond SQL, a test does it by hand."""
     lines = stored(verified(spark, d))
-    files, cues, said = _files(lines), stored(_shown(lines)), stored(_said(lines))
+    files, cues, said = stored(_files(lines)), stored(_shown(lines)), stored(_said(lines))
     windows = sampling.full_windows(files, cues, CLIP, WIDTH)
     samples = stored(sampling.clip_evidence(windows, said, cues, REACH, WIDTH).where("said > 0"))
     more = sampling.uncovered(sampling.grid(files, CLIP, 60_000), samples, 30_000, WIDTH)
@@ -249,7 +249,7 @@ def missing_middle(spark: SparkSession, d: str) -> DataFrame:
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     """``(file_id, screen, disagree, drift, jitter, swapped, checked, late, gap, flag, samples)`` of every file: what its clips say of timing, its lines of order, its gaps of missing lines."""
     lines = stored(verified(spark, d))
-    files, cues, said = _files(lines), stored(_shown(lines)), stored(_said(lines))
+    files, cues, said = stored(_files(lines)), stored(_shown(lines)), stored(_said(lines))
     windows = sampling.full_windows(files, cues, CLIP, WIDTH)
     samples = stored(sampling.clip_evidence(windows, said, cues, REACH, WIDTH, _LOOSE).where("said > 0"))
     shifts = samples.where("shift is not null").select("file_id", "at", "shift", "mad")
