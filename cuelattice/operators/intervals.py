@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,46 +152,70 @@ def nearest(points: DataFrame, onsets: DataFrame, reach: float) -> DataFrame:
     return seen.withColumn("onset", pick).where(F.abs(F.col("onset") - F.col("t")) <= reach).select(KEY, "idx", "t", "onset")
 
 
+#: Windows whose shifts are scored together.
+SCORED_WINDOWS = 512
+
+
 def window_shifts(cues: DataFrame, speech: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """``(file_id, w, best, gain)`` of each window of cues: the shift at which they meet most speech and least silence, and what it gains.
 
     Windows of ``witness_window`` seconds start every half of that; those with fewer than ``witness_cues`` cues are left out. Speech is dealt
-    to the windows whose search it may meet, so a long file is many groups. ``gain`` is a share of the cues' time; of equal scores the later shift wins.
+    to the windows whose search it may meet, so a long file is many rows; a window is one row with its cues and speech, and a task scores many
+    windows at once. ``gain`` is a share of the cues' time; of equal scores the later shift wins.
     """
     half, pad = p.witness_window / 2, p.witness_reach + 5.0
     place = lambda t: F.floor(t / half).cast("long")
+    times = lambda a, b, name: F.collect_list(F.struct(F.coalesce(F.col(a).cast("double"), F.lit(float("nan"))).alias("a"), F.coalesce(F.col(b).cast("double"), F.lit(float("nan"))).alias("b"))).alias(name)
     lines = cues.select(KEY, "start", "end", F.explode(F.array(place(F.col("start")) - 1, place(F.col("start")))).alias("w")).where("w >= 0")
     heard = speech.select(F.col(KEY).alias("_f"), F.col("start").alias("s0"), F.col("end").alias("s1"), F.explode(F.sequence(place(F.col("start") - p.witness_window - pad) - 1, place(F.col("end") + pad) + 1)).alias("_w")).where("_w >= 0")
+    own = lines.groupBy(KEY, "w").agg(times("start", "end", "own")).where(F.size("own") >= p.witness_cues)
+    said = heard.groupBy("_f", "_w").agg(times("s0", "s1", "said"))
+    rows = own.join(said, F.col(KEY).eqNullSafe(F.col("_f")) & (F.col("w") == F.col("_w")), "left").select(KEY, "w", "own", F.coalesce("said", F.expr("cast(array() as array<struct<a: double, b: double>>)")).alias("said"))
 
-    def run(own: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        if len(own) < p.witness_cues:
-            return pd.DataFrame(columns=[KEY, "w", "best", "gain"])
-        best, gain = _best_shift(own[["start", "end"]].to_numpy(float), said[["s0", "s1"]].to_numpy(float), int(own["w"].iloc[0]) * half - pad, p)
-        return pd.DataFrame([(own[KEY].iloc[0], own["w"].iloc[0], best, gain)], columns=[KEY, "w", "best", "gain"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SCORED_WINDOWS):
+                part = batch.slice(k, SCORED_WINDOWS)
+                best, gain = _best_shifts(*_spans_of(part["own"]), *_spans_of(part["said"]), part["w"].to_numpy() * half - pad, p)
+                yield pa.RecordBatch.from_arrays([part[KEY], part["w"], pa.array(best), pa.array(gain)], names=[KEY, "w", "best", "gain"])
 
     kind = cues.schema[KEY].dataType.simpleString()
-    return lines.groupBy(KEY, "w").cogroup(heard.groupBy("_f", "_w")).applyInPandas(run, f"{KEY} {kind}, w long, best double, gain double")
+    return rows.mapInArrow(run, f"{KEY} {kind}, w long, best double, gain double")
+
+
+def _spans_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of all rows below each other, and the row of each."""
+    flat = lists.flatten()
+    return np.column_stack([flat.field(k).to_numpy(zero_copy_only=False) for k in range(2)]), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
-def _best_shift(cues: np.ndarray, speech: np.ndarray, t0: float, p: Params) -> tuple[float, float]:
+def _best_shifts(cues: np.ndarray, owner: np.ndarray, speech: np.ndarray, heard_by: np.ndarray, t0: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The best shift and its gain for each window: ``owner`` and ``heard_by`` tell whose a span is, ``t0`` where each window's search starts."""
     n = int((p.witness_window + 2 * p.witness_reach + 10.0) / p.witness_step)
-    slot = lambda t: np.clip(((t - t0) / p.witness_step).astype(int), 0, n)
-    edges = np.zeros(n + 1, int)
-    np.add.at(edges, slot(speech[:, 0]), 1)
-    np.add.at(edges, np.maximum(slot(speech[:, 1]), slot(speech[:, 0])), -1)
+    # a window's slots lie after those of the windows before it, so that one running count serves all
+    slot = lambda t, w: np.clip(((t - t0[w]) / p.witness_step).astype(int), 0, n) + w * (n + 1)
+    edges = np.zeros(len(t0) * (n + 1) + 1, int)
+    first = slot(speech[:, 0], heard_by)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, np.maximum(slot(speech[:, 1], heard_by), first), -1)
+    # whatever starts in a window ends in it, at its last slot at most, so the running count is none where the next begins
     said = np.concatenate(([0], np.cumsum(np.where(np.cumsum(edges[:-1]) > 0, 1, -1))))
-    cues = cues[np.argsort(cues[:, 0], kind="stable")]
+    order = np.lexsort((cues[:, 0], owner))
+    cues, owner = cues[order], owner[order]
+    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
 
-    def score(shift: float) -> int:
-        lo, hi = slot(cues[:, 0] + shift), slot(cues[:, 1] + shift)
+    def score(shift: float) -> np.ndarray:
+        lo, hi = slot(cues[:, 0] + shift, owner), slot(cues[:, 1] + shift, owner)
         ended = np.concatenate(([0], np.maximum.accumulate(hi)[:-1]))
         lo = np.maximum(lo, ended)
-        return int((said[np.maximum(hi, lo)] - said[lo]).sum())
+        return np.add.reduceat(said[np.maximum(hi, lo)] - said[lo], starts)
 
     shifts = np.arange(-int(2 * p.witness_reach), int(2 * p.witness_reach) + 1) * 0.5
-    scores = [score(s) for s in shifts]
-    most, best = max(zip(scores, shifts.tolist(), strict=True))
-    return best, (most - score(0.0)) / max((cues[:, 1] - cues[:, 0]).sum() / p.witness_step, 1.0)
+    most, best, unmoved = np.full(len(t0), np.iinfo(int).min), np.zeros(len(t0)), score(0.0)
+    for shift in shifts.tolist():
+        now = score(shift)
+        best, most = np.where(now >= most, shift, best), np.maximum(now, most)
+    return best, (most - unmoved) / np.maximum(np.add.reduceat(cues[:, 1] - cues[:, 0], starts) / p.witness_step, 1.0)
 
 
 def block_witness(cues: DataFrame, speech: DataFrame, p: Params = DEFAULTS) -> DataFrame:
