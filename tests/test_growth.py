@@ -1,6 +1,11 @@
 """What keeps queries within bounds as tables grow: shapes of plans, and the same results from what is batched as from one at a time."""
 
+import random
+
+import numpy as np
+
 from cuelattice.operators import intervals
+from cuelattice.params import DEFAULTS
 
 
 def plan(df):
@@ -11,3 +16,15 @@ def test_windows_are_rows_and_no_call_each(spark):
     c = spark.createDataFrame([("f", float(t), t + 2.0) for t in range(0, 300, 7)], "file_id string, start double, end double")
     assert "InPandas" not in plan(intervals.window_shifts(c, c))
     assert intervals.window_shifts(c, c).count() == 9
+
+
+def test_windows_scored_together_are_scored_as_alone(spark):
+    rng = random.Random(3)
+    spans = lambda n, most: np.array([(a, a + rng.uniform(0, most)) for a in (rng.uniform(0, 90) for _ in range(n))]).reshape(-1, 2)
+    own, said = [spans(rng.randint(1, 9), 8) for _ in range(40)], [spans(rng.randint(0, 9), 40) for _ in range(40)]
+    owner = lambda lists: np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    t0 = np.array([rng.uniform(-35, 0) for _ in own])
+    best, gain = intervals._best_shifts(np.concatenate(own), owner(own), np.concatenate(said), owner(said), t0, DEFAULTS)
+    for k in range(len(own)):
+        lone = intervals._best_shifts(own[k], owner(own[k : k + 1]), said[k], owner(said[k : k + 1]), t0[k : k + 1], DEFAULTS)
+        assert (best[k], round(gain[k], 9)) == (lone[0][0], round(lone[1][0], 9))
