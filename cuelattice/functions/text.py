@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import sequences
+
 # Words that carry no content, as the overlap rules leave them out.
 STOPWORDS = tuple(
     """your yours yourself yourselves this that these those been being having doing and but because until while against between into
@@ -98,25 +99,23 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        matcher = difflib.SequenceMatcher()
-
-        def one(x: str | None, y: str | None) -> float | None:
-            if x is None or y is None:
-                return None
-            matcher.set_seqs(x, y)
-            return matcher.ratio()
-
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+        return pd.Series([None if x is None or y is None else sequences.ratio(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
 
     return ratio(a, b)
 
 
 def order_verdict(heard: Column, first: Column, second: Column, margin: float = 0.1) -> Column:
     """True: the lines were said in the other order; false: in this one; null: too close to tell."""
-    told = sequence_text(heard)
-    space = F.lit(" ")
-    gap = sequence_ratio(told, F.concat(sequence_text(first), space, sequence_text(second))) - sequence_ratio(told, F.concat(sequence_text(second), space, sequence_text(first)))
-    return F.when(gap <= -margin, F.lit(True)).when(gap >= margin, F.lit(False))
+
+    @F.pandas_udf(T.DoubleType())
+    def gaps(told: pd.Series, kept: pd.Series, other: pd.Series) -> pd.Series:
+        one = lambda t, a, b: None if t is None or a is None or b is None else sequences.ratio(t, a) - sequences.ratio(t, b)
+        return pd.Series([one(*row) for row in zip(told, kept, other, strict=True)], dtype="float64")
+
+    told, space = sequence_text(heard), F.lit(" ")
+    # not deterministic to Spark, so that conditions on the verdict are not moved ahead of it, where it would be found again; both bars read one gap
+    gap = gaps.asNondeterministic()(told, F.concat(sequence_text(first), space, sequence_text(second)), F.concat(sequence_text(second), space, sequence_text(first)))
+    return F.get(F.transform(F.array(gap), lambda g: F.when(g <= -margin, F.lit(True)).when(g >= margin, F.lit(False))), F.lit(0))
 
 
 def wrapped(text: Column, parts: Column) -> Column:

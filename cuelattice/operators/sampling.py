@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, transcript
 from ..params import DEFAULTS, Params
-from ..stored import stored
+from ..stored import once, spread, stored
 from .align import match
 
 KEY = "file_id"
@@ -215,7 +215,7 @@ def judged_order(cues: DataFrame, segments: DataFrame, width: int, margin: float
     segment bridges both; with fewer, the order of the letters does. Null: a line that starts with a dash, nothing heard in one half, or too close to tell.
     ``suspicious`` lines look swapped by their capitals.
     """
-    pair = cues.select(KEY, "idx", F.col("start").alias("lo"), F.col("end").alias("hi"), text.two_lines(F.col("text")).alias("_p")).where("_p is not null")
+    pair = once(cues.select(KEY, "idx", F.col("start").alias("lo"), F.col("end").alias("hi"), "text"), _p=text.two_lines(F.col("text"))).drop("text").where("_p is not null")
     lines = pair.select(KEY, "idx", "lo", "hi", F.get("_p", F.lit(0)).alias("l1"), F.get("_p", F.lit(1)).alias("l2"))
     heard = segments.select(KEY, ((F.col("start") + F.col("end")) / 2).alias("at"), F.col("start").alias("s"), F.col("text").alias("said"))
     met = _meet(lines.select(KEY, "idx", "lo", "hi"), heard, width, closed=True)
@@ -224,12 +224,12 @@ def judged_order(cues: DataFrame, segments: DataFrame, width: int, margin: float
     joined = lambda f: F.array_join(F.transform(F.filter("p", f), lambda x: x["said"]), " ")
     told = lines.join(parts, [KEY, "idx"], "left").select(KEY, "idx", "l1", "l2", "p", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(joined(f), F.lit("")).alias(c) for c, f in (("all", lambda x: F.lit(True)), ("early", lambda x: ~x["late"]), ("late", lambda x: x["late"]))])
     e, l_, a, b = (text.tokens(F.col(c)) for c in ("early", "late", "l1", "l2"))
-    told = told.withColumn("e", e).withColumn("t", l_).withColumn("a", a).withColumn("b", b)
-    own_a, own_b, both = F.array_except("a", "b"), F.array_except("b", "a"), F.array_except(F.array_union("e", "t"), F.array_intersect("e", "t"))
-    bridge = F.exists("p", lambda x: F.arrays_overlap(text.tokens(x["said"]), own_a) & F.arrays_overlap(text.tokens(x["said"]), own_b))
-    firm = (F.trim("early") != "") & (F.trim("late") != "") & F.arrays_overlap(own_a, both) & F.arrays_overlap(own_b, both) & bridge
+    told = once(told, e=e, t=l_, a=a, b=b, heard=F.transform("p", lambda x: text.tokens(x["said"])))
+    told = once(told, own_a=F.array_except("a", "b"), own_b=F.array_except("b", "a"), both=F.array_except(F.array_union("e", "t"), F.array_intersect("e", "t")))
+    bridge = F.exists("heard", lambda x: F.arrays_overlap(x, F.col("own_a")) & F.arrays_overlap(x, F.col("own_b")))
+    firm = (F.trim("early") != "") & (F.trim("late") != "") & F.arrays_overlap("own_a", "both") & F.arrays_overlap("own_b", "both") & bridge
     by_words = F.when(F.coalesce(firm, F.lit(False)), transcript.order_by_words(F.col("e"), F.col("t"), F.col("a"), F.col("b"), margin))
-    judged = told.withColumn("_seq", text.order_verdict(F.when(F.col("n") < 2, F.col("all")).otherwise(""), F.col("l1"), F.col("l2"))).withColumn("_words", by_words)
+    judged = spread(told, KEY, "idx").withColumn("_seq", text.order_verdict(F.when(F.col("n") < 2, F.col("all")).otherwise(""), F.col("l1"), F.col("l2"))).withColumn("_words", by_words)
     dash = text.dash_prefixed(F.col("l1")) | text.dash_prefixed(F.col("l2"))
     return judged.select(KEY, "idx", "l1", "l2", text.cap_signal(F.col("l1"), F.col("l2")).alias("suspicious"), F.when(dash, F.lit(None).cast("boolean")).when(F.col("n") < 2, F.col("_seq")).otherwise(F.col("_words")).alias("swapped"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import dense, intervals
 from ..params import Params
+from ..stored import once
 from .analogues import CUES, cues, table
 from .intervals import _GAPS, _WINDOWS, HOUR, _windows
 from .words import _CONV, _conversation
@@ -38,10 +39,10 @@ def swap_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Every turn shown as two lines, in odd conversations the later half first, and heard as it stands; ratios of matching blocks are beyond SQL."""
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("idx"), (F.col("turn") * 30).alias("t"), "text")
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    half = F.ceil(F.size(words) / 2).cast("int")
-    early, late = F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.filter(words, lambda x, i: i >= half), " ")
+    half = F.ceil(F.size("words") / 2).cast("int")
+    early, late = F.array_join(F.slice("words", F.lit(1), half), " "), F.array_join(F.slice("words", half + 1, F.size("words") - half), " ")
     shown = F.when(F.col("file_id") % 2 == 1, F.concat_ws("\n", late, early)).otherwise(F.concat_ws("\n", early, late))
-    return dense.swap_evidence(dense.swap_verdicts(turns.withColumn("text", shown), turns))
+    return dense.swap_evidence(dense.swap_verdicts(once(once(turns, words=words), text=shown).drop("words"), turns))
 
 
 @query(f"""WITH {_CONV}, l AS (SELECT f, idx, w, lead(w) OVER (PARTITION BY f ORDER BY idx) AS x FROM cv)

@@ -7,7 +7,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _paths: list[tuple[SparkSession, str]] = []
 
@@ -32,6 +33,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as shuffles have, ahead of work that takes long for the bytes it reads: adaptive plans would put it into few."""
+    # a hash of the keys, since a repartition by keys that the rows are dealt by already is left out
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with columns that are worked out one time for each row: what a generator gives is not folded into the expressions that use it."""
+    held = F.explode(F.array(F.struct(*[v.alias(name) for name, v in values.items()]))).alias("_once")
+    return df.select(*[c for c in df.columns if c not in values], held).select(*[c for c in df.columns if c not in values], *[F.col(f"_once.{name}").alias(name) for name in values])
+
+
 def forget() -> None:
     """Delete every stored table; results that still read them must be written before."""
     while _paths:

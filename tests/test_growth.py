@@ -1,10 +1,12 @@
 """What keeps queries within bounds as tables grow: shapes of plans, and the same results from what is batched as from one at a time."""
 
+import difflib
 import random
 
 import numpy as np
 
-from cuelattice.operators import intervals
+from cuelattice.functions import sequences
+from cuelattice.operators import dense, intervals
 from cuelattice.params import DEFAULTS
 
 
@@ -28,3 +30,20 @@ def test_windows_scored_together_are_scored_as_alone(spark):
     for k in range(len(own)):
         lone = intervals._best_shifts(own[k], owner(own[k : k + 1]), said[k], owner(said[k : k + 1]), t0[k : k + 1], DEFAULTS)
         assert (best[k], round(gain[k], 9)) == (lone[0][0], round(lone[1][0], 9))
+
+
+def test_ratios_are_those_of_difflib():
+    rng = random.Random(7)
+    for _ in range(150):
+        letters = "ab cdefghijklmnopqrstuvwxyzé😀"[: rng.choice([2, 5, 12, 28])]
+        a, b = ("".join(rng.choices(letters, k=rng.choice([0, 1, 30, 199, 200, 260]))) for _ in range(2))
+        at = rng.randrange(len(a) + 1)
+        b = rng.choice([b, b[:100] + a[at : at + 150] + b[100:]])
+        assert sequences.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_an_order_is_judged_once_and_by_many_tasks(spark):
+    rows = spark.createDataFrame([("f", k, k * 30.0, f"alpha bravo {k} charlie\ndelta echo {k} foxtrot") for k in range(9)], "file_id string, idx int, t double, text string")
+    told = dense.swap_evidence(dense.swap_verdicts(rows, rows))
+    assert plan(told).count("ArrowEvalPython") == 1 and plan(told).count("Generate explode") >= 2 and "xxhash64" in plan(told)
+    assert told.first().swapped == 0 and told.first().checked == 9
