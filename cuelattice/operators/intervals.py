@@ -115,11 +115,34 @@ def slots(spans: DataFrame, step: int) -> DataFrame:
     return spans.where("end > start").select(KEY, own.alias("slot")).distinct()
 
 
+def slot_runs(spans: DataFrame, step: int, width: int) -> DataFrame:
+    """``(file_id, band, a, b)``: the fixed slots that the spans touch, each once, as runs ``[a, b)`` that end at the borders of bands of ``width`` slots."""
+    a, b = F.floor(F.col("start") / step).cast("long"), F.floor((F.col("end") - 1) / step).cast("long") + 1
+    band = F.explode(F.sequence(F.floor(F.col("a") / width).cast("long"), F.floor((F.col("b") - 1) / width).cast("long")))
+    cut = spans.where("end > start").select(KEY, a.alias("a"), b.alias("b")).select(KEY, "a", "b", band.alias("band")).select(KEY, "band", F.greatest("a", F.col("band") * width).alias("a"), F.least("b", (F.col("band") + 1) * width).alias("b"))
+    w = Window.partitionBy(KEY, "band").orderBy("a", "b")
+    new = F.coalesce((F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    runs = cut.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(KEY, "band", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
+
+
 def slot_score(cues: DataFrame, speech: DataFrame, step: int, shifts: list[int]) -> DataFrame:
-    """For each shift (in slots): slots of shifted cues on speech less those on silence."""
-    shifted = slots(cues, step).withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("slot", F.col("slot") + F.col("shift"))
-    said = slots(speech, step).withColumn("on", F.lit(1))
-    return shifted.join(said, [KEY, "slot"], "left").groupBy(KEY, "shift").agg(F.sum(F.when(F.col("on") == 1, 1).otherwise(-1)).alias("score"))
+    """For each shift (in slots): slots of shifted cues on speech less those on silence.
+
+    Slots are counted as runs, and only sums of a file leave a task: neither slots nor shifts become rows before.
+    """
+    width = max(240, *map(abs, shifts))
+    shown = slot_runs(cues, step, width)
+    heard = slot_runs(speech, step, width).select(F.col(KEY).alias("_f"), F.col("a").alias("s0"), F.col("b").alias("s1"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("_b"))
+    least, most = min(shifts), max(shifts)
+    near = (F.col(KEY) == F.col("_f")) & (F.col("band") == F.col("_b")) & (F.col("s0") < F.col("b") + most) & (F.col("s1") > F.col("a") + least)
+    met = shown.join(heard, near)
+    on = [F.sum(F.greatest(F.least(F.col("b") + h, F.col("s1")) - F.greatest(F.col("a") + h, F.col("s0")), F.lit(0))) for h in shifts]
+    names = [f"_h{k}" for k in range(len(shifts))]
+    sums = met.groupBy(KEY).agg(*[c.alias(n) for c, n in zip(on, names, strict=True)])
+    every = shown.groupBy(KEY).agg(F.sum(F.col("b") - F.col("a")).alias("_all")).join(sums.withColumnRenamed(KEY, "_f"), F.col(KEY).eqNullSafe(F.col("_f")), "left")
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("shift"), (2 * F.coalesce(F.col(n), F.lit(0)) - F.col("_all")).cast("long").alias("score")) for h, n in zip(shifts, names, strict=True)]))
+    return every.select(KEY, each.alias("_s")).select(KEY, "_s.shift", "_s.score")
 
 
 def best_shift(scores: DataFrame) -> DataFrame:

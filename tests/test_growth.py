@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from cuelattice.functions import sequences
+from cuelattice.functions import sequences, text
 from cuelattice.operators import dense, intervals
 from cuelattice.params import DEFAULTS
 
@@ -43,7 +43,25 @@ def test_ratios_are_those_of_difflib():
 
 
 def test_an_order_is_judged_once_and_by_many_tasks(spark):
-    rows = spark.createDataFrame([("f", k, k * 30.0, f"alpha bravo {k} charlie\ndelta echo {k} foxtrot") for k in range(9)], "file_id string, idx int, t double, text string")
+    rows = spark.createDataFrame([(f"f{k}", k, k * 30.0, f"alpha bravo {k} charlie\ndelta echo {k} foxtrot") for k in range(9)], "file_id string, idx int, t double, text string")
     told = dense.swap_evidence(dense.swap_verdicts(rows, rows))
     assert plan(told).count("ArrowEvalPython") == 1 and plan(told).count("Generate explode") >= 2 and "xxhash64" in plan(told)
-    assert told.first().swapped == 0 and told.first().checked == 9
+    assert {(r.swapped, r.checked) for r in told.collect()} == {(0, 1)} and told.count() == 9
+
+
+def test_runs_of_slots_are_scored_as_slots_are(spark):
+    rng = random.Random(9)
+    spans = lambda: [(f, a, a + rng.randint(0, 400)) for f in ("f", "g") for a in (rng.randint(-900, 9000) for _ in range(12))]
+    own, said, shifts = spans(), [*spans(), ("h", 1, 9)], [-12, -3, 0, 5, 12]
+    touched = lambda rows, f: {k for n, a, b in rows if n == f and b > a for k in range(a // 10, (b - 1) // 10 + 1)}
+    wanted = {(f, h, sum(1 if k + h in touched(said, f) else -1 for k in touched(own, f))) for f in ("f", "g") for h in shifts}
+    frames = [spark.createDataFrame(x, "file_id string, start long, end long") for x in (own, said)]
+    scores = intervals.slot_score(*frames, 10, shifts)
+    assert set(map(tuple, scores.collect())) == wanted and len(wanted) == scores.count()
+    # the shifts become rows after the last exchange only
+    assert plan(scores).index("_s") < plan(scores).index("Exchange")
+
+
+def test_two_lines_are_trimmed_of_spaces_and_not_of_their_number(spark):
+    rows = spark.createDataFrame([("01 first\n12 second ",), ("a\u00a0\n \u3000B",), ("C:\\Name\nB",)], "text string")
+    assert [r[0] for r in rows.select(text.two_lines(rows.text, marked=False)).collect()] == [["01 first", "12 second"], ["a", "B"], ["C:\\Name", "B"]]
