@@ -22,7 +22,8 @@ STOPWORDS = tuple(
     theirs what which were have with would could also even much many you're you've you'll you'd she's hers herself himself itself themselves
     whom it's he's""".split()
 )
-# Patterns of the text rules.
+# The spaces that lines are trimmed of, Unicode's space separators, and patterns of the text rules.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 WORD = r"[a-zA-ZæøåÆØÅéèêëüöäßñçÉÈÊËÜÖÄ']{4,}"
 ASIDE = r"[\[(][^\[\]()]*[\])]"
 NONSPEECH = r"^-?\s*(?:(?:[\[(][^\[\]()]*[\])]|\*[^*]+\*)\s*)+$"
@@ -66,9 +67,11 @@ def declares_music(text: Column) -> Column:
     return F.coalesce(text.rlike(MUSIC_CUE), F.lit(False))
 
 
-def two_lines(text: Column) -> Column:
-    """The two lines of a text that has just two with something in them, else null."""
-    said = F.filter(F.transform(lines(text), F.trim), lambda x: x != "")
+def two_lines(text: Column, marked: bool = True) -> Column:
+    """The two lines of a text that has just two with something in them besides spaces, else null; ``marked`` texts break at ``\\N`` as well."""
+    parts = lines(text) if marked else F.split(F.coalesce(text, F.lit("")), "\n")
+    # a function of one argument: with two, the line's number would be taken for what is to be trimmed
+    said = F.filter(F.transform(parts, lambda x: F.trim(x, F.lit(SPACES))), lambda x: x != "")
     return F.when(F.size(said) == 2, said)
 
 

@@ -59,7 +59,7 @@ def anchor_match(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)
 SELECT doc_id, p[1] AS l1, p[2] AS l2, regexp_matches(p[1], '^[^\p{L}]*\p{Ll}') AND regexp_matches(p[2], '^[^\p{L}]*\p{Lu}') AND NOT regexp_matches(p[1], '[.!?][^A-Za-z0-9_]*$') AS swapped FROM l WHERE len(p) = 2""")
 def two_line_swaps(spark: SparkSession, d: str) -> DataFrame:
-    pair = text.two_lines(F.col("text"))
+    pair = text.two_lines(F.col("text"), marked=False)
     rows = table(spark, d, "documents").select("doc_id", pair.alias("p")).where("p is not null")
     first, second = F.get("p", F.lit(0)), F.get("p", F.lit(1))
     return rows.select("doc_id", first.alias("l1"), second.alias("l2"), text.cap_signal(first, second).alias("swapped"))
