@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.transcript import slope_snaps
 from ..params import DEFAULTS, RATE_NAMES, RATE_RATIOS, Params
@@ -22,13 +23,28 @@ def median_mad(values: DataFrame, value: str, least: int = 1) -> DataFrame:
     return middle.join(apart, KEY).select(KEY, "n", "med", "mad")
 
 
+def _median_slope(a: np.ndarray, c: np.ndarray) -> float | None:
+    """Median slope over pairs with different ``a``; None without one."""
+    i, j = np.triu_indices(len(a), 1)
+    apart = a[j] - a[i]
+    slopes = np.sort((c[j] - c[i])[apart != 0] / apart[apart != 0])
+    low, high = (len(slopes) - 1) // 2, len(slopes) // 2
+    return float(0.5 * slopes[low] + 0.5 * slopes[high]) if len(slopes) else None
+
+
+@F.pandas_udf(T.DoubleType())
+def _slopes(a: pd.Series, c: pd.Series) -> pd.Series:
+    return pd.Series([_median_slope(np.asarray(x, dtype=float), np.asarray(y, dtype=float)) for x, y in zip(a, c, strict=True)], dtype="float64")
+
+
 def theil_sen(points: DataFrame, least: int = 3) -> DataFrame:
-    """Median slope over pairs with different ``a``, and the tilt: slope times span. Files are bounded; a file's pairs meet in its task only."""
-    p, q = points.alias("p"), points.alias("q")
-    pairs = p.join(q, (F.col("p.file_id") == F.col("q.file_id")) & (F.col("p.a") < F.col("q.a")))
-    slope = pairs.groupBy("p.file_id").agg(F.median((F.col("q.c") - F.col("p.c")) / (F.col("q.a") - F.col("p.a"))).alias("slope"))
-    span = points.groupBy(KEY).agg(F.count("*").alias("n"), (F.max("a") - F.min("a")).alias("span")).where(F.col("n") >= least)
-    return span.join(slope, KEY).select(KEY, "n", "slope", (F.col("slope") * F.col("span")).alias("tilt"))
+    """Median slope over pairs with different ``a``, and the tilt: slope times span.
+
+    Files are bounded: a file's points are one row, and its pairs are there only while that row is read. Points without ``a`` or ``c`` have no slope.
+    """
+    files = points.groupBy(KEY).agg(F.count("*").alias("n"), (F.max("a") - F.min("a")).alias("span"), F.collect_list(F.when(F.col("a").isNotNull() & F.col("c").isNotNull(), F.struct("a", "c"))).alias("_p")).where((F.col("n") >= least) & F.col(KEY).isNotNull())
+    told = files.select(KEY, "n", "span", _slopes.asNondeterministic()("_p.a", "_p.c").alias("slope")).where("slope is not null")
+    return told.select(KEY, "n", "slope", (F.col("slope") * F.col("span")).alias("tilt"))
 
 
 def strided(points: DataFrame, stride: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import difflib
 import random
+import statistics
 
 import numpy as np
 
 from cuelattice.functions import sequences, text
-from cuelattice.operators import dense, intervals
+from cuelattice.operators import dense, intervals, robust
 from cuelattice.params import DEFAULTS
 
 
@@ -65,3 +66,15 @@ def test_runs_of_slots_are_scored_as_slots_are(spark):
 def test_two_lines_are_trimmed_of_spaces_and_not_of_their_number(spark):
     rows = spark.createDataFrame([("01 first\n12 second ",), ("a\u00a0\n \u3000B",), ("C:\\Name\nB",)], "text string")
     assert [r[0] for r in rows.select(text.two_lines(rows.text, marked=False)).collect()] == [["01 first", "12 second"], ["a", "B"], ["C:\\Name", "B"]]
+
+
+def test_pairs_of_points_are_never_rows(spark):
+    rng = random.Random(2)
+    data = [(f, rng.randint(0, 30), rng.randint(0, 99)) for f in range(6) for _ in range(3 + f)] + [(9, 1, 1), (9, 1, 2), (9, 1, 3), (10, 1, 1)]
+    slopes = robust.theil_sen(spark.createDataFrame(data, "file_id int, a long, c long"))
+    assert "Join" not in plan(slopes)
+    wanted = {}
+    for f in range(6):
+        own = [x[1:] for x in data if x[0] == f]
+        wanted[f] = (len(own), statistics.median([(d - c) / (b - a) for a, c in own for b, d in own if a < b]))
+    assert {r.file_id: (r.n, r.slope) for r in slopes.collect()} == wanted
