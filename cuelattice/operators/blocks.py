@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..stored import stored
+from ..stored import spread, stored
 
 KEY = "file_id"
 
 
-def _windows(tokens: DataFrame, blocks: DataFrame, side: str) -> DataFrame:
+def _windows(tokens: DataFrame, blocks: DataFrame, side: str, parts: int) -> DataFrame:
     """Tokens outside all blocks with ``w``, the number of blocks before them."""
     marks = tokens.select(KEY, "pos", "token", F.lit(None).cast("long").alias("reach")).unionByName(blocks.select(KEY, F.col(side).alias("pos"), F.lit(None).cast("string").alias("token"), (F.col(side) + F.col("size")).alias("reach")))
     so_far = Window.partitionBy(KEY).orderBy("pos", F.col("reach").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    told = marks.withColumn("w", F.count("reach").over(so_far)).withColumn("held", F.last("reach", True).over(so_far))
+    told = marks.repartition(parts, KEY).withColumn("w", F.count("reach").over(so_far)).withColumn("held", F.last("reach", True).over(so_far))
     return told.where("token is not null and (held is null or pos >= held)").select(KEY, "w", "pos", "token")
 
 
@@ -82,8 +82,10 @@ def matching_blocks(a: DataFrame, b: DataFrame, grams: tuple[int, ...] = (8, 3,
     fold over one file. Files without a common token have no rows; null tokens match nothing.
     """
     found: DataFrame | None = None
+    # dealt by file to all tasks of a shuffle: choosing takes long for the few bytes it reads, which an adaptive plan would put into few; what follows keeps to it
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for size in grams:
-        sides = [t.withColumn("w", F.lit(0).cast("long")) if found is None else _windows(t, found, side) for t, side in ((a, "a"), (b, "b"))]
+        sides = [t.repartition(parts, KEY).withColumn("w", F.lit(0).cast("long")) if found is None else _windows(t, found, side, parts) for t, side in ((a, "a"), (b, "b"))]
 
         kind = a.schema[KEY].dataType.simpleString()
         fresh = _runs(*sides, size).groupBy(KEY).applyInPandas(_chosen(size), f"{KEY} {kind}, a long, b long, size long")
@@ -187,7 +189,7 @@ def word_quality(truth: DataFrame, heard: DataFrame, by: str) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     lone = heard.join(truth.select(KEY), KEY, "left_anti").select(KEY, by, none.alias("words"), F.col("words").alias("told"))
     rows = every.select(KEY, by, F.coalesce("words", none).alias("words"), F.coalesce("told", none).alias("told")).unionByName(lone)
-    counted = rows.select(by, F.size("words").alias("words"), F.size("told").alias("heard"), _hits("words", "told").alias("hits"))
+    counted = spread(rows, KEY, by).select(by, F.size("words").alias("words"), F.size("told").alias("heard"), _hits("words", "told").alias("hits"))
     sums = counted.groupBy(by).agg(*[F.sum(c).alias(c) for c in ("words", "heard", "hits")]).where("words > 0 and heard > 0")
     recall, precision = F.col("hits") / F.col("words"), F.col("hits") / F.col("heard")
     f1 = F.when(F.col("hits") > 0, 2 * recall * precision / (recall + precision)).otherwise(0.0)
