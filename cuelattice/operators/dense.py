@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..params import DEFAULTS, Params
 from ..stored import once, spread
-from .intervals import banded_coverage
 
 KEY = "file_id"
 
@@ -91,20 +90,60 @@ def window_texts(windows: DataFrame, cues: DataFrame, width: float) -> DataFrame
     return windows.join(texts, [KEY, "lo", "hi"], "left").select(KEY, "lo", "hi", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _clip_edges(cues: DataFrame, speech: DataFrame, clip: int) -> DataFrame:
+    """``(file_id, pos, kind, slope, jump, seen)``: where, as a clip's start moves on, its speech (by steps or at a new slope) and the number of cues it overlaps change.
+
+    Edges of ``kind`` 0 count from ``pos`` on, those of 2 past it only.
+    """
+    c0, c1, zero = F.col("start"), F.col("end"), F.lit(0)
+    edge = lambda pos, kind, slope=zero, jump=zero, seen=zero: F.struct(pos.cast("long").alias("pos"), F.lit(kind).alias("kind"), slope.cast("long").alias("slope"), jump.cast("long").alias("jump"), seen.cast("long").alias("seen"))
+    met = F.array(edge(c0 - clip, 2, seen=F.lit(1)), edge(c1, 0, seen=F.lit(-1)))
+    shown = cues.where((c1 > c0 - clip) & F.col(KEY).isNotNull()).select(KEY, F.inline(met))
+    ramps = F.array(*[edge(at, 0, slope=F.lit(by)) for at, by in ((c0 - clip, 1), (c1 - clip, -1), (c0, -1), (c1, 1))])
+    # a span that ends before it starts takes its length from every clip that holds both
+    steps = F.array(edge(c0 - clip, 2, jump=c1 - c0), edge(c1, 0, jump=c0 - c1))
+    heard = speech.where((c1 > c0 - clip) & (c1 != c0) & F.col(KEY).isNotNull()).select(KEY, F.inline(F.when(c1 > c0, ramps).otherwise(steps)))
+    return shown.unionByName(heard)
+
+
 def scan_regions(regions: DataFrame, cues: DataFrame, speech: DataFrame, clip: int, step: int, least: int, width: int) -> DataFrame:
     """``regions(file_id, lo, hi)`` to ``clip_at``, the start of a clip with most speech, and ``covered``; clips start every ``step`` from ``lo`` to ``hi``.
 
     A clip needs a cue that it overlaps and ``least`` of speech; of equals the earliest is taken, and regions without such a clip are not there.
+    Times are whole numbers. Neither cues nor speech are dealt to the clips they meet: a band of a file is gone through once, in order of time, from sums that the bands
+    before it leave; clips become rows after the exchange only.
     """
-    tries = regions.where("lo <= hi").withColumn("clip_at", F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))))
-    clips = tries.select(KEY, F.col("clip_at").alias("lo"), (F.col("clip_at") + clip).alias("hi")).distinct()
-    dealt = clips.withColumn("band", F.explode(F.sequence(_band("lo", width), _band("hi", width))))
-    shown = cues.select(F.col(KEY).alias("_f"), F.col("start").alias("c0"), F.col("end").alias("c1"), F.explode(F.sequence(_band("start", width), _band("end", width))).alias("_b"))
-    meet = (F.col(KEY) == F.col("_f")) & (F.col("band") == F.col("_b")) & (F.col("c0") < F.col("hi")) & (F.col("c1") > F.col("lo"))
-    useful = dealt.join(shown, meet, "left_semi").select(KEY, "lo", "hi").distinct()
-    heard = banded_coverage(useful, speech.select(KEY, "start", "end"), width).where(F.col("covered") >= least)
-    rated = tries.join(heard.select(KEY, F.col("lo").alias("clip_at"), "covered"), [KEY, "clip_at"])
-    return rated.groupBy(KEY, "lo", "hi").agg(F.min_by(F.struct("clip_at", "covered"), F.struct(-F.col("covered"), "clip_at")).alias("b")).select(KEY, "lo", "hi", "b.clip_at", "b.covered")
+    edges = _clip_edges(cues, speech, clip).withColumn("band", _band("pos", width))
+    until = (F.col("band") + 1) * width - F.col("pos")
+    lo, hi, border = F.col("lo").cast("long"), F.col("hi").cast("long"), F.col("band") * width
+    cut = regions.where(F.col(KEY).isNotNull() & (lo <= hi)).select(KEY, "lo", "hi", F.explode(F.sequence(_band("lo", width), _band("hi", width))).alias("band"))
+    tries = lambda t: lo + F.ceil((t - lo) / step).cast("long") * step
+    pieces = cut.select("*", F.when(border > lo, tries(border)).otherwise(lo).alias("pos"), F.least(hi, border + width - 1).alias("last")).where("pos <= last")
+
+    # what slope, speech and cues each band with clips begins with
+    sums = edges.groupBy(KEY, "band").agg(F.sum("slope").alias("slope"), F.sum(F.col("slope") * until + F.col("jump")).alias("gained"), F.sum("seen").alias("seen"), F.lit(False).alias("asked"))
+    asked = pieces.select(KEY, "band", *[F.lit(0).cast("long").alias(c) for c in ("slope", "gained", "seen")], F.lit(True).alias("asked")).distinct()
+    totals = sums.unionByName(asked).groupBy(KEY, "band").agg(*[F.sum(c).alias(c) for c in ("slope", "gained", "seen")], F.max("asked").alias("asked"))
+    by_band = Window.partitionBy(KEY).orderBy("band")
+    ahead = by_band.rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("*", F.coalesce(F.sum("slope").over(ahead), F.lit(0)).alias("_s"), F.coalesce(F.sum("seen").over(ahead), F.lit(0)).alias("_n"), (F.lead("band").over(by_band) - F.col("band")).alias("_to"))
+    # a band's own edges run on at its end's slope to where the next band begins
+    gained = F.col("gained") + F.col("_s") * F.col("_to") * width + F.col("slope") * (F.col("_to") - 1) * width
+    begun = carried.withColumn("_v", F.coalesce(F.sum(gained).over(ahead), F.lit(0))).where("asked")
+
+    none = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
+    zeros = [F.lit(0).cast("long").alias(c) for c in ("slope", "jump", "seen")]
+    kept = edges.select(KEY, "band", "pos", "kind", "slope", "jump", "seen", *none("last", "lo", "hi"))
+    starts = begun.select(KEY, "band", border.alias("pos"), F.lit(-1).alias("kind"), F.col("_s").alias("slope"), F.col("_v").alias("jump"), F.col("_n").alias("seen"), *none("last", "lo", "hi"))
+    wanted = pieces.select(KEY, "band", "pos", F.lit(1).alias("kind"), *zeros, "last", lo.alias("lo"), hi.alias("hi"))
+    dealt = kept.unionByName(starts).unionByName(wanted).repartition(KEY, "band")
+    rows = dealt.withColumn("pos", F.explode(F.sequence("pos", F.coalesce("last", "pos"), F.lit(step).cast("long"))))
+    w = Window.partitionBy(KEY, "band").orderBy("pos", "kind")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    moved = rows.select("*", (F.sum("slope").over(so_far) - F.col("slope")).alias("_s"), (F.col("pos") - F.lag("pos").over(w)).alias("_d"), F.sum("seen").over(so_far).alias("_n"))
+    rated = moved.withColumn("covered", F.sum(F.coalesce(F.col("_s") * F.col("_d"), F.lit(0)) + F.col("jump")).over(so_far)).where((F.col("kind") == 1) & (F.col("_n") > 0) & (F.col("covered") >= least))
+    best = rated.groupBy(KEY, "lo", "hi").agg(F.min_by(F.struct(F.col("pos").alias("clip_at"), "covered"), F.struct(-F.col("covered"), "pos")).alias("b"))
+    return best.select(KEY, "lo", "hi", "b.clip_at", "b.covered")
 
 
 def declared_music(gap_rows: DataFrame, cues: DataFrame, music: Column, most: int) -> DataFrame:

@@ -78,3 +78,26 @@ def test_pairs_of_points_are_never_rows(spark):
         own = [x[1:] for x in data if x[0] == f]
         wanted[f] = (len(own), statistics.median([(d - c) / (b - a) for a, c in own for b, d in own if a < b]))
     assert {r.file_id: (r.n, r.slope) for r in slopes.collect()} == wanted
+
+
+def test_clips_are_rated_without_pairs_of_clips_and_spans(spark):
+    rng = random.Random(4)
+    spans = lambda n, least: [(f, a, a + rng.randint(least, 90)) for f in ("f", "g") for a in (rng.randint(-200, 900) for _ in range(n))]
+    # odd spans too: of no length, and ending before they start
+    own, said, clip, step = [*spans(9, 0), ("f", 300, 290), ("g", 410, 360), (None, 0, 900)], [*spans(25, 0), ("f", 500, 495), ("g", 40, 40), (None, 0, 900)], 20, 7
+    regions = [("f", -150, 333), ("f", -150, 333), ("f", 200, 210), ("g", 5, 5), ("g", 0, 899), ("g", 9, 8), ("h", 0, 50), (None, 0, 50)]
+    wanted = set()
+    for f, lo, hi in regions:
+        rated = []
+        for at in range(lo, hi + 1, step):
+            met = [(a, b) for n, a, b in said if n == f and f and b > at and a < at + clip]
+            if any(n == f and b > at and a < at + clip for n, a, b in own) and sum(min(b, at + clip) - max(a, at) for a, b in met) >= 3:
+                rated.append((-sum(min(b, at + clip) - max(a, at) for a, b in met), at))
+        if f and rated:
+            wanted.add((f, lo, hi, min(rated)[1], -min(rated)[0]))
+    kind = "file_id string, {} long, {} long"
+    frames = [spark.createDataFrame(regions, kind.format("lo", "hi")), *[spark.createDataFrame(x, kind.format("start", "`end`")) for x in (own, said)]]
+    for width in (11, 30, 5000):
+        got = dense.scan_regions(*frames, clip, step, 3, width)
+        assert set(map(tuple, got.collect())) == wanted and got.count() == len(wanted) > 2
+    assert "Join" not in plan(got)
