@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import text, transcript
 from ..params import DEFAULTS, Params
 from ..stored import once, spread, stored
-from .align import match
 
 KEY = "file_id"
 HEARD, SILENT, UNMEASURED = "heard", "silent", "unmeasured"
@@ -162,25 +161,32 @@ def clip_evidence(clips: DataFrame, segments: DataFrame, cues: DataFrame, reach:
     ``mad`` the median distance from it, both null where the anchors are too few or too far apart. ``segments`` and ``cues`` have ``(file_id, idx, start, text)``.
     """
     asked = clips.where("at is not null").select(KEY, F.col("at").alias("lo"), F.col("until").alias("hi")).distinct()
-    named = F.concat_ws("|", F.col(KEY).cast("string"), F.col("lo").cast("string"), F.col("hi").cast("string"))
     spoken = segments.where(~text.is_nonspeech(F.col("text"))).select(KEY, "idx", F.col("start").alias("at"), text.tokens(F.col("text")).alias("toks"))
-    inside = _meet(asked, spoken, width).select(KEY, "lo", "hi", named.alias("clip"), "idx", F.col("at").alias("t"), "toks")
-    window = asked.select(KEY, F.col("lo").alias("c0"), F.col("hi").alias("c1"), named.alias("clip"), (F.col("lo") - reach).alias("lo"), (F.col("hi") + reach).alias("hi"))
-    shown = _meet(window, cues.select(KEY, "idx", F.col("start").alias("at"), text.tokens(F.col("text")).alias("toks")), width, closed=True)
-    words = inside.groupBy(KEY, "lo", "hi").agg(F.count("*").alias("said"), F.array_distinct(F.flatten(F.collect_list("toks"))).alias("t"))
-    if score:
-        claimed = shown.groupBy(KEY, F.col("c0").alias("lo"), F.col("c1").alias("hi")).agg(F.array_distinct(F.flatten(F.collect_list("toks"))).alias("w"))
-        words = words.join(claimed, [KEY, "lo", "hi"], "left").withColumn("score", F.when(F.size("t") > 0, F.round(F.coalesce(F.size(F.array_intersect("t", "w")), F.lit(0)) / F.size("t"), 3)))
-    else:
-        words = words.withColumn("score", F.lit(None).cast("double"))
-    keyed = lambda d, t: d.select(F.col("clip").alias(KEY), "idx", F.col(t).alias("t"), "toks")
-    pairs = match(keyed(inside, "t"), keyed(shown.withColumnRenamed("at", "t"), "t"), float("inf"), float("inf"), p).select(F.col(KEY).alias("clip"), ((F.col("s_t") - F.col("c_t")) / 1000).alias("d"))
-    middle = pairs.groupBy("clip").agg(F.median("d").alias("m"), F.count("*").alias("anchors"))
-    apart = pairs.join(middle, "clip").groupBy("clip").agg(F.median(F.abs(F.col("d") - F.col("m"))).alias("a"))
-    fits = middle.join(apart, "clip")
+    # segments meet cues once, as far as any clip in their band sees, and not again in each clip; clips get what was shared, and no words of cues
+    bands = asked.where("lo < hi").select(KEY, "lo", "hi", F.explode(F.sequence(_band("lo", width), _band(F.col("hi") - 1, width))).alias("band"))
+    seen = bands.groupBy(KEY, "band").agg((F.min("lo") - reach).alias("lo"), (F.max("hi") + reach).alias("hi"))
+    asking = spoken.where("size(toks) > 0").withColumn("band", _band("at", width)).join(seen, [KEY, "band"]).select(KEY, "lo", "hi", F.col("idx").alias("s_idx"), F.col("at").alias("s_t"), F.col("toks").alias("s_toks"))
+    shown = cues.select(KEY, "idx", F.col("start").alias("at"), text.tokens(F.col("text")).alias("toks")).where("size(toks) > 0")
+    met = _meet(asking, shown, 2 * (width + reach), closed=True).where(F.arrays_overlap("s_toks", "toks")).withColumn("words", F.array_intersect("s_toks", "toks"))
+    hit = F.struct(F.col("idx").alias("c_idx"), F.col("at").alias("c_t"), "s_idx", "s_t", F.size("words").alias("shared"), (F.size("words") / F.size("toks")).alias("share"))
+    pairs = met.select(KEY, F.col("s_t").alias("at"), F.lit(0).alias("n"), hit.alias("hit"), *(["words"] if score else []))
+    inside = _meet(asked, spoken.select(KEY, "at", F.lit(1).alias("n"), *(["toks"] if score else [])).unionByName(pairs, allowMissingColumns=True), width)
+    inside = inside.where(F.col("hit").isNull() | F.col("hit.c_t").between(F.col("lo") - reach, F.col("hi") + reach))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    words = [distinct("toks").alias("t"), distinct("words").alias("w")] if score else [F.lit(0).alias("t"), F.lit(0).alias("w")]
+    held = inside.groupBy(KEY, "lo", "hi").agg(F.sum("n").alias("said"), *words, F.collect_list("hit").alias("hits"))
+    each = held.select(KEY, "lo", "hi", "said", F.when(F.col("t") > 0, F.round(F.col("w") / F.col("t"), 3)).alias("score"), F.explode_outer("hits").alias("h")).select(KEY, "lo", "hi", "said", "score", "h.*")
+    # as align.match does: the best cue is found first and judged after, and goes to the earliest segment that chose it
+    by_segment = Window.partitionBy(KEY, "lo", "hi", "s_idx").orderBy(F.desc("share"), "c_t", "c_idx")
+    chosen = (F.row_number().over(by_segment) == 1) & (F.col("share") >= p.anchor_overlap) & (F.col("shared") >= p.anchor_shared)
+    each = each.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+    by_cue = Window.partitionBy(KEY, "lo", "hi", "chosen", "c_idx").orderBy("s_t", "s_idx")
+    apart = F.when(F.col("chosen") & (F.row_number().over(by_cue) == 1), (F.col("s_t") - F.col("c_t")) / 1000)
+    ends = each.withColumn("d", apart).groupBy(KEY, "lo", "hi").agg(F.first("said").alias("said"), F.first("score").alias("score"), F.count("d").alias("anchors"), F.array_sort(F.collect_list("d")).alias("d"))
+    middle = lambda d: F.when(F.size(d) > 0, (F.get(d, F.floor((F.size(d) - 1) / 2).cast("int")) * 0.5 + F.get(d, F.floor(F.size(d) / 2).cast("int")) * 0.5))
+    ends = ends.withColumn("m", middle(F.col("d"))).withColumn("a", F.array_sort(F.transform("d", lambda x: F.abs(x - F.col("m"))))).withColumn("a", middle(F.col("a")))
     good = (F.col("anchors") >= p.anchor_min) & (F.col("a") <= p.anchor_mad)
-    told = words.select(KEY, "lo", "hi", named.alias("clip"), "said", "score").join(fits, "clip", "left")
-    every = asked.join(told, [KEY, "lo", "hi"], "left")
+    every = asked.join(ends, [KEY, "lo", "hi"], "left")
     return every.select(KEY, F.col("lo").alias("at"), F.col("hi").alias("until"), F.coalesce("said", F.lit(0)).alias("said"), "score", F.when(good, F.col("m")).alias("shift"), F.when(good, F.col("a")).alias("mad"), F.coalesce("anchors", F.lit(0)).alias("anchors"))
 
 
@@ -229,7 +235,9 @@ def judged_order(cues: DataFrame, segments: DataFrame, width: int, margin: float
     bridge = F.exists("heard", lambda x: F.arrays_overlap(x, F.col("own_a")) & F.arrays_overlap(x, F.col("own_b")))
     firm = (F.trim("early") != "") & (F.trim("late") != "") & F.arrays_overlap("own_a", "both") & F.arrays_overlap("own_b", "both") & bridge
     by_words = F.when(F.coalesce(firm, F.lit(False)), transcript.order_by_words(F.col("e"), F.col("t"), F.col("a"), F.col("b"), margin))
-    judged = spread(told, KEY, "idx").withColumn("_seq", text.order_verdict(F.when(F.col("n") < 2, F.col("all")).otherwise(""), F.col("l1"), F.col("l2"))).withColumn("_words", by_words)
+    # letters are compared only where they decide; of nulls nothing is
+    few = lambda c: F.when(F.col("n") < 2, F.col(c))
+    judged = spread(told, KEY, "idx").withColumn("_seq", text.order_verdict(few("all"), few("l1"), few("l2"))).withColumn("_words", by_words)
     dash = text.dash_prefixed(F.col("l1")) | text.dash_prefixed(F.col("l2"))
     return judged.select(KEY, "idx", "l1", "l2", text.cap_signal(F.col("l1"), F.col("l2")).alias("suspicious"), F.when(dash, F.lit(None).cast("boolean")).when(F.col("n") < 2, F.col("_seq")).otherwise(F.col("_words")).alias("swapped"))
 

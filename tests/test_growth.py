@@ -7,7 +7,7 @@ import statistics
 import numpy as np
 
 from cuelattice.functions import sequences, text
-from cuelattice.operators import dense, intervals, robust
+from cuelattice.operators import dense, intervals, robust, sampling
 from cuelattice.params import DEFAULTS
 
 
@@ -101,3 +101,45 @@ def test_clips_are_rated_without_pairs_of_clips_and_spans(spark):
         got = dense.scan_regions(*frames, clip, step, 3, width)
         assert set(map(tuple, got.collect())) == wanted and got.count() == len(wanted) > 2
     assert "Join" not in plan(got)
+
+
+def test_clips_get_what_segments_and_cues_share_and_no_words_of_cues(spark):
+    rng = random.Random(6)
+    words = ["alpha", "bravo", "delta", "gamma", "kilos", "tango"]
+    rows = lambda n: [(f, k // 2, rng.randint(0, 300), " ".join(rng.choices(words, k=rng.randint(0, 4)))) for f in ("f", "g") for k in range(n)]
+    said, own = rows(40), rows(30)
+    clips = [(f, a, a + n) for f in ("f", "g", "h") for a, n in [(rng.randint(-20, 280), rng.choice([0, 15, 40, 300])) for _ in range(9)]]
+    kinds = "file_id string, idx int, start long, text string", "file_id string, at long, until long"
+    told = sampling.clip_evidence(spark.createDataFrame(clips, kinds[1]), *[spark.createDataFrame(x, kinds[0]) for x in (said, own)], 30, 20, DEFAULTS)
+    assert plan(told).count("Join ") == 4
+    wanted = set()
+    for f, lo, hi in clips:
+        inside = [(k, t, set(w.split())) for n, k, t, w in said if n == f and lo <= t < hi]
+        shown = [(k, t, set(w.split())) for n, k, t, w in own if n == f and lo - 30 <= t <= hi + 30]
+        heard, seen = (set().union(*[w for _, _, w in x]) for x in (inside, shown))
+        best, taken = {}, {}
+        for k, t, w in inside:
+            for c, u, v in shown:
+                if w & v:
+                    best[k] = min(best.get(k, (9,)), (-len(w & v) / len(v), u, c, len(w & v), t))
+        for k, (share, u, c, shared, t) in best.items():
+            if -share >= 0.5 and shared >= 2:
+                taken[c] = min(taken.get(c, (999,)), (t, k, (t - u) / 1000))
+        d = [x[2] for x in taken.values()]
+        m = statistics.median(d) if len(d) >= 3 else None
+        wanted.add((f, lo, hi, len(inside), round(len(heard & seen) / len(heard), 3) if heard else None, len(d), None if m is None else round(m, 9)))
+    once_each = lambda x: {r[:3]: r for r in x}
+    got = {(r.file_id, r.at, r.until, r.said, r.score, r.anchors, None if r.shift is None else round(r.shift, 9)) for r in told.collect()}
+    plain = {k for k in once_each(wanted) if len({(n, i) for n, i, t, _ in said if n == k[0] and k[1] <= t < k[2]}) == once_each(wanted)[k][3]}
+    # a number that two segments of a clip share is one segment to the anchors, whichever times it has
+    assert {k: v[:5] for k, v in once_each(got).items()} == {k: v[:5] for k, v in once_each(wanted).items()}
+    assert {k: v for k, v in once_each(got).items() if k in plain} == {k: v for k, v in once_each(wanted).items() if k in plain} and len(plain) > 9
+
+
+def test_letters_are_compared_only_where_they_decide(spark, monkeypatch):
+    cues = spark.createDataFrame([("f", 0, 0, 10, "alpha bravo\ncharlie delta"), ("f", 1, 20, 30, "alpha bravo\ncharlie delta")], "file_id string, idx int, start long, end long, text string")
+    said = spark.createDataFrame([("f", 0, 4, "charlie delta"), ("f", 4, 10, "alpha bravo"), ("f", 20, 30, "charlie delta alpha bravo")], "file_id string, start long, end long, text string")
+    asked, judge = [], text.order_verdict
+    monkeypatch.setattr(text, "order_verdict", lambda *c: asked.extend(map(str, c)) or judge(*c))
+    assert {r.idx: r.swapped for r in sampling.judged_order(cues, said, 20).collect()} == {0: None, 1: True}
+    assert len(asked) == 3 and all("n, 2" in c.replace("<(", "") or "n < 2" in c for c in asked) and not any("ELSE" in c for c in asked)
