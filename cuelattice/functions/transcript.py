@@ -84,10 +84,15 @@ def order_by_words(early: Column, late: Column, first: Column, second: Column, m
     """
     heard_both, shown_both = F.array_intersect(early, late), F.array_intersect(first, second)
     clear = lambda x: F.array_except(F.array_except(x, heard_both), shown_both)
-    a, b, one, two = clear(early), clear(late), clear(first), clear(second)
     share = lambda line, side: F.size(F.array_intersect(line, side)) / F.size(line)
-    kept, swapped = share(one, a) + share(two, b), share(one, b) + share(two, a)
-    return F.when((F.size(one) == 0) | (F.size(two) == 0), F.lit(None).cast("boolean")).when(swapped - kept >= margin, True).when(kept - swapped >= margin, False)
+
+    def told(x: Column) -> Column:
+        kept, swapped = share(x["one"], x["a"]) + share(x["two"], x["b"]), share(x["one"], x["b"]) + share(x["two"], x["a"])
+        return F.when((F.size(x["one"]) == 0) | (F.size(x["two"]) == 0), F.lit(None).cast("boolean")).when(swapped - kept >= margin, True).when(kept - swapped >= margin, False)
+
+    # the four sets are worked out once, and not again wherever a bar reads them
+    sets = F.struct(clear(early).alias("a"), clear(late).alias("b"), clear(first).alias("one"), clear(second).alias("two"))
+    return F.get(F.transform(F.array(sets), told), F.lit(0))
 
 
 def music_clusters(music: DataFrame, gap: float, margin: float, trail: float) -> DataFrame:

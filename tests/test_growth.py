@@ -6,7 +6,7 @@ import statistics
 
 import numpy as np
 
-from cuelattice.functions import sequences, text
+from cuelattice.functions import sequences, text, transcript
 from cuelattice.operators import dense, intervals, robust, sampling
 from cuelattice.params import DEFAULTS
 
@@ -136,6 +136,13 @@ def test_clips_get_what_segments_and_cues_share_and_no_words_of_cues(spark):
     assert {k: v for k, v in once_each(got).items() if k in plain} == {k: v for k, v in once_each(wanted).items() if k in plain} and len(plain) > 9
 
 
+def test_the_sets_that_tell_an_order_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(["alpha", "both"], ["bravo", "both"], ["bravo", "same"], ["alpha", "same"]), (["alpha"], ["bravo"], ["alpha"], ["bravo"]), (["alpha"], ["bravo"], [], ["bravo"]), (["x"], ["y"], ["z"], ["w"])], "e array<string>, l array<string>, a array<string>, b array<string>")
+    told = rows.select(transcript.order_by_words(*map(rows.__getattr__, "elab")).alias("v"))
+    assert plan(told).count("array_except") == 8
+    assert [r.v for r in told.collect()] == [True, False, None, None]
+
+
 def test_letters_are_compared_only_where_they_decide(spark, monkeypatch):
     cues = spark.createDataFrame([("f", 0, 0, 10, "alpha bravo\ncharlie delta"), ("f", 1, 20, 30, "alpha bravo\ncharlie delta")], "file_id string, idx int, start long, end long, text string")
     said = spark.createDataFrame([("f", 0, 4, "charlie delta"), ("f", 4, 10, "alpha bravo"), ("f", 20, 30, "charlie delta alpha bravo")], "file_id string, start long, end long, text string")
