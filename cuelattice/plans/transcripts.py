@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import blocks, dense
-from ..stored import stored
+from ..stored import once, stored
 from .analogues import table
 
 QUERIES: dict = {}
@@ -45,7 +45,8 @@ def heard(lines: DataFrame, models: dict[str, int] = MODELS) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(n).alias("limit")) for m, n in models.items()]))
     rows = lines.withColumn("_m", each).select("*", "_m.model", "_m.limit")
     late = lambda c: (F.col(c) + F.floor(F.col(c) / 500) + 120).cast("long")
-    return rows.select("model", "conv", "k", late("start").alias("start"), late("end").alias("end"), _mishears(F.col("model"), F.col("limit")).alias("text")).where("text != ''")
+    told = once(rows.select("model", "limit", "conv", "k", late("start").alias("start"), late("end").alias("end"), "text"), text=_mishears(F.col("model"), F.col("limit")))
+    return told.where("text != ''").drop("limit")
 
 
 _LINES = r"""s AS (SELECT conv_id AS conv, turn, generate_subscripts(p, 1) AS j, trim(unnest(p)) AS text FROM (SELECT conv_id, turn, string_split_regex(text, '[.!?\n]+') AS p FROM conversations)),

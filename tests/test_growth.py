@@ -9,6 +9,7 @@ import numpy as np
 from cuelattice.functions import sequences, text, transcript
 from cuelattice.operators import dense, intervals, robust, sampling
 from cuelattice.params import DEFAULTS
+from cuelattice.plans import transcripts
 
 
 def plan(df):
@@ -150,3 +151,9 @@ def test_letters_are_compared_only_where_they_decide(spark, monkeypatch):
     monkeypatch.setattr(text, "order_verdict", lambda *c: asked.extend(map(str, c)) or judge(*c))
     assert {r.idx: r.swapped for r in sampling.judged_order(cues, said, 20).collect()} == {0: None, 1: True}
     assert len(asked) == 3 and all("n, 2" in c.replace("<(", "") or "n < 2" in c for c in asked) and not any("ELSE" in c for c in asked)
+
+
+def test_a_line_is_misheard_once(spark):
+    lines = spark.createDataFrame([(1, 1, 0, 60, "some words of a line"), (1, 2, 600, 660, "")], "conv long, k long, start long, end long, text string")
+    told = transcripts.heard(lines)
+    assert told.columns == ["model", "conv", "k", "start", "end", "text"] and plan(told.select("text")).count("md5") == 1 and {r.k for r in told.collect()} == {1}
