@@ -20,13 +20,18 @@ def _band(c: str | Column, width: int) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / width).cast("long")
 
 
+def _never_sent(many: DataFrame) -> DataFrame:
+    """``many``, which a join sorts and never broadcasts: the planner takes rows that came from ranges and sequences for as few as those they were made of, and would build all of them in the driver."""
+    return many.hint("merge")
+
+
 def _meet(ranges: DataFrame, points: DataFrame, width: int, closed: bool = False, how: str = "inner") -> DataFrame:
     """``ranges(file_id, lo, hi, ...)`` with the ``points(file_id, at, ...)`` in ``[lo, hi)``, or ``[lo, hi]`` if ``closed``."""
     last = F.col("hi") if closed else F.col("hi") - 1
     r = ranges.where(F.col("lo") <= last).withColumn("_b", F.explode(F.sequence(_band("lo", width), _band(last, width))))
     p = points.withColumn("_b", _band("at", width))
     inside = (F.col("at") >= F.col("lo")) & (F.col("at") <= last)
-    met = r.join(p.withColumnRenamed(KEY, "_f").withColumnRenamed("_b", "_pb"), (F.col(KEY) == F.col("_f")) & (F.col("_b") == F.col("_pb")) & inside, how)
+    met = _never_sent(r).join(p.withColumnRenamed(KEY, "_f").withColumnRenamed("_b", "_pb"), (F.col(KEY) == F.col("_f")) & (F.col("_b") == F.col("_pb")) & inside, how)
     return met.drop("_f", "_b", "_pb")
 
 
@@ -35,7 +40,7 @@ def _overlap(ranges: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     r = ranges.where("hi > lo").withColumn("_b", F.explode(F.sequence(_band("lo", width), _band(F.col("hi") - 1, width))))
     s = spans.where("end > start").withColumn("_sb", F.explode(F.sequence(_band("start", width), _band(F.col("end") - 1, width)))).withColumnRenamed(KEY, "_f")
     once = _band(F.greatest("lo", "start"), width) == F.col("_b")
-    return r.join(s, (F.col(KEY) == F.col("_f")) & (F.col("_b") == F.col("_sb")) & (F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")) & once).drop("_f", "_b", "_sb")
+    return _never_sent(r).join(s, (F.col(KEY) == F.col("_f")) & (F.col("_b") == F.col("_sb")) & (F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")) & once).drop("_f", "_b", "_sb")
 
 
 def timeline(files: DataFrame, whole: DataFrame, clips: DataFrame, clip_speech: DataFrame) -> DataFrame:
@@ -165,7 +170,7 @@ def clip_evidence(clips: DataFrame, segments: DataFrame, cues: DataFrame, reach:
     # segments meet cues once, as far as any clip in their band sees, and not again in each clip; clips get what was shared, and no words of cues
     bands = asked.where("lo < hi").select(KEY, "lo", "hi", F.explode(F.sequence(_band("lo", width), _band(F.col("hi") - 1, width))).alias("band"))
     seen = bands.groupBy(KEY, "band").agg((F.min("lo") - reach).alias("lo"), (F.max("hi") + reach).alias("hi"))
-    asking = spoken.where("size(toks) > 0").withColumn("band", _band("at", width)).join(seen, [KEY, "band"]).select(KEY, "lo", "hi", F.col("idx").alias("s_idx"), F.col("at").alias("s_t"), F.col("toks").alias("s_toks"))
+    asking = spoken.where("size(toks) > 0").withColumn("band", _band("at", width)).join(_never_sent(seen), [KEY, "band"]).select(KEY, "lo", "hi", F.col("idx").alias("s_idx"), F.col("at").alias("s_t"), F.col("toks").alias("s_toks"))
     shown = cues.select(KEY, "idx", F.col("start").alias("at"), text.tokens(F.col("text")).alias("toks")).where("size(toks) > 0")
     met = _meet(asking, shown, 2 * (width + reach), closed=True).where(F.arrays_overlap("s_toks", "toks")).withColumn("words", F.array_intersect("s_toks", "toks"))
     hit = F.struct(F.col("idx").alias("c_idx"), F.col("at").alias("c_t"), "s_idx", "s_t", F.size("words").alias("shared"), (F.size("words") / F.size("toks")).alias("share"))
@@ -237,7 +242,9 @@ def judged_order(cues: DataFrame, segments: DataFrame, width: int, margin: float
     by_words = F.when(F.coalesce(firm, F.lit(False)), transcript.order_by_words(F.col("e"), F.col("t"), F.col("a"), F.col("b"), margin))
     # letters are compared only where they decide; of nulls nothing is
     few = lambda c: F.when(F.col("n") < 2, F.col(c))
-    judged = spread(told, KEY, "idx").withColumn("_seq", text.order_verdict(few("all"), few("l1"), few("l2"))).withColumn("_words", by_words)
+    # words have decided before the rows are dealt, so that none of their sets is
+    asked = told.select(KEY, "idx", "l1", "l2", "n", few("all").alias("all"), by_words.alias("_words"))
+    judged = spread(asked, KEY, "idx").withColumn("_seq", text.order_verdict(few("all"), few("l1"), few("l2")))
     dash = text.dash_prefixed(F.col("l1")) | text.dash_prefixed(F.col("l2"))
     return judged.select(KEY, "idx", "l1", "l2", text.cap_signal(F.col("l1"), F.col("l2")).alias("suspicious"), F.when(dash, F.lit(None).cast("boolean")).when(F.col("n") < 2, F.col("_seq")).otherwise(F.col("_words")).alias("swapped"))
 

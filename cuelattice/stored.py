@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _paths: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,7 +29,12 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back, so that later stages neither repeat its work nor depend on executors that held it."""
     spark = df.sparkSession
     path = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # else shuffle files stay until the driver happens to collect its garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _paths.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

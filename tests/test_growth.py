@@ -1,8 +1,10 @@
 """What keeps queries within bounds as tables grow: shapes of plans, and the same results from what is batched as from one at a time."""
 
 import difflib
+import glob
 import random
 import statistics
+import time
 
 import numpy as np
 
@@ -10,6 +12,7 @@ from cuelattice.functions import sequences, text, transcript
 from cuelattice.operators import dense, intervals, robust, sampling
 from cuelattice.params import DEFAULTS
 from cuelattice.plans import transcripts
+from cuelattice.stored import stored
 
 
 def plan(df):
@@ -157,3 +160,35 @@ def test_a_line_is_misheard_once(spark):
     lines = spark.createDataFrame([(1, 1, 0, 60, "some words of a line"), (1, 2, 600, 660, "")], "conv long, k long, start long, end long, text string")
     told = transcripts.heard(lines)
     assert told.columns == ["model", "conv", "k", "start", "end", "text"] and plan(told.select("text")).count("md5") == 1 and {r.k for r in told.collect()} == {1}
+
+
+def test_rows_made_of_ranges_are_never_broadcast(spark):
+    """Few files make many regions, clips and bands of them; the planner sees the size of the files."""
+    files = spark.range(2).selectExpr("id AS file_id", "100L AS duration", "5L AS n")
+    rows = spark.createDataFrame([(f, k, k * 7, k * 7 + 5, "alpha bravo delta") for f in (0, 1) for k in range(12)], "file_id long, idx int, start long, end long, text string")
+    windows = sampling.full_windows(files, rows, 10, 20)
+    told = sampling.clip_evidence(windows, rows, rows, 30, 20, DEFAULTS)
+    more = sampling.uncovered(sampling.grid(files, 10, 20), rows.selectExpr("file_id", "start AS at"), 3, 20)
+    spans = sampling.grid(files, 10, 20).selectExpr("file_id", "at AS lo", "until AS hi")
+    states = sampling.states_of(spans, rows.selectExpr("file_id", "start", "end", "'heard' AS state"), 20)
+    assert [plan(x).count("Broadcast") for x in (windows, told, more, states)] == [0, 0, 0, 0]
+    assert (told.count(), more.count()) == (windows.count(), 2 * 2) and {r.heard for r in states.collect()} == {2, 6, 7, 8}
+    assert all(r.score == 1.0 for r in told.where("said > 0").collect())
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    dirs = [d.toString() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", held()
+    asked = spark.conf.get(key, None)
+    told = stored(spark.range(99).selectExpr("id % 7 AS a", "id").groupBy("a").count())
+    until = time.time() + 10
+    while held() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(key, None) == asked and told.count() == 7
+
+
+def test_words_judge_an_order_before_its_rows_are_dealt(spark):
+    rows = spark.range(3).selectExpr("id AS file_id", "1 AS idx", "0L AS start", "9L AS end", "'alpha bravo\\ncharlie delta' AS text")
+    above, below = plan(sampling.judged_order(rows, rows, 20)).split("xxhash64")
+    assert "AS _words" in below and "own_a" not in above
